@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from vectorloom.llm import simhash
+from vectorloom.llm import chat_format, language_id, quality_classifier, simhash
 
 QUERIES = {
+    "op2_language_id": language_id.query,
+    "op4_quality_classifier": quality_classifier.query,
     "op6_simhash": simhash.query,
+    "op7_chat_format": chat_format.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op7_chat_format": chat_format.SQL}

@@ -15,7 +15,6 @@ result row each; a null doc_id never becomes a component_id unless all members h
 
 from __future__ import annotations
 
-from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -58,9 +57,13 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-@lru_cache(1)
+_TABLES: list = []
+
+
 def _cosets() -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """Syndromes of all single bits; by class of weight (up to 3, 4, 5): offsets and error patterns sorted by syndrome."""
+    if _TABLES:
+        return _TABLES[0]
     unit = []
     for i in range(BITS):
         x = 1 << i
@@ -78,7 +81,8 @@ def _cosets() -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
         order = np.argsort(s, kind="stable")
         offsets.append(np.searchsorted(np.array(s)[order], np.arange(2049)))
         patterns.append(np.array(e, dtype=np.int64)[order])
-    return np.array(unit, dtype=np.int64), offsets, patterns
+    _TABLES.append((np.array(unit, dtype=np.int64), offsets, patterns))
+    return _TABLES[0]
 
 
 def _syndrome(x: np.ndarray) -> np.ndarray:
