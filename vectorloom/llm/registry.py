@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from vectorloom.llm import chat_format, language_id, quality_classifier, simhash
+from vectorloom.llm import chat_format, language_id, pii, quality_classifier, quality_rules, simhash
 
 QUERIES = {
     "op2_language_id": language_id.query,
     "op4_quality_classifier": quality_classifier.query,
+    "op5_pii": pii.query,
     "op6_simhash": simhash.query,
     "op7_chat_format": chat_format.query,
+    "op10_quality_rules": quality_rules.query,
 }
 
 ORACLES = {"op7_chat_format": chat_format.SQL}
