@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from vectorloom.llm import chat_format, language_id, pii, quality_classifier, quality_rules, simhash
+from vectorloom.llm import chat_format, language_id, license_scan, pii, quality_classifier, quality_rules, simhash
 
 QUERIES = {
+    "op1_license_scan": license_scan.query,
     "op2_language_id": language_id.query,
     "op4_quality_classifier": quality_classifier.query,
     "op5_pii": pii.query,
@@ -13,4 +14,4 @@ QUERIES = {
     "op10_quality_rules": quality_rules.query,
 }
 
-ORACLES = {"op7_chat_format": chat_format.SQL}
+ORACLES = {"op1_license_scan": license_scan.SQL, "op7_chat_format": chat_format.SQL}
