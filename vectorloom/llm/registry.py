@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vectorloom.llm import chat_format, language_id, license_scan, pii, quality_classifier, quality_rules, simhash
+from vectorloom.llm import chat_format, decontaminate, language_id, license_scan, pii, quality_classifier, quality_rules, simhash
 
 QUERIES = {
     "op1_license_scan": license_scan.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_pii": pii.query,
     "op6_simhash": simhash.query,
     "op7_chat_format": chat_format.query,
+    "op8_decontaminate": decontaminate.query,
     "op10_quality_rules": quality_rules.query,
 }
 
