@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vectorloom.llm import chat_format, decontaminate, language_id, license_scan, pii, quality_classifier, quality_rules, simhash
+from vectorloom.llm import chat_format, decontaminate, language_id, license_scan, pii, quality_classifier, quality_rules, sentencepiece_fst, simhash
 
 QUERIES = {
     "op1_license_scan": license_scan.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_simhash": simhash.query,
     "op7_chat_format": chat_format.query,
     "op8_decontaminate": decontaminate.query,
+    "op9_sentencepiece": sentencepiece_fst.query,
     "op10_quality_rules": quality_rules.query,
 }
 
