@@ -53,3 +53,11 @@ def held_out(modulus: int, rest: int, doc_id: str = "doc_id") -> Column:
 def fraction_of(col: Column) -> Column:
     """A number in [0, 1) that depends on the value alone."""
     return F.pmod(F.xxhash64(col), F.lit(1_000_003)) / F.lit(1_000_003.0)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever its other columns are called."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorloom.llm.common import fraction_of, held_out, map_rows, table
+from vectorloom.llm.common import fraction_of, fresh, held_out, map_rows, table
 
 BINS = 8192
 PENALTY = 2.0
@@ -181,7 +181,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def accepted(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of docs whose language is identified with a score of at least `least`; columns unchanged."""
     model, names = train(docs), docs.columns
-    with_score = docs.select("*", F.col("text").cast("string").alias("__text"))
+    with_score = docs.select("*", F.col("text").cast("string").alias(fresh(docs, "__text")))
     keep = _keep_schema(with_score)
 
     def run(batches):

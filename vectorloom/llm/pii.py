@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorloom.llm.common import table
+from vectorloom.llm.common import fresh, table
 
 ADD_SCORE = 0.6
 NEAR = 48
@@ -91,14 +91,23 @@ def _spans(kind: str, text: Column) -> Column:
     return F.when(hit, found).otherwise(empty)
 
 
-def find(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with pii_<kind> arrays of spans and `pii`, all of them by start, then kind; spans of kinds may overlap."""
+def _found(docs: DataFrame, text: str) -> tuple[DataFrame, dict[str, str], str]:
+    """docs with a column of spans for each kind and one for all, under names that docs does not use."""
+    t, d, names, every = fresh(docs, "__t"), fresh(docs, "__d"), {k: fresh(docs, f"pii_{k}") for k in RULES}, fresh(docs, "pii")
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    clean = docs.withColumn("__t", F.when(F.contains(whole, F.lit("\x01")), F.replace(whole, F.lit("\x01"), F.lit("\x02"))).otherwise(whole))
-    digits = clean.withColumn("__d", F.col("__t").rlike("[0-9]"))
-    columns = {f"pii_{k}": F.when(F.lit(k in ("email", "secret")) | F.col("__d"), _spans(k, F.col("__t"))).otherwise(F.array().cast(SPAN)) for k in RULES}
+    clean = docs.withColumn(t, F.when(F.contains(whole, F.lit("\x01")), F.replace(whole, F.lit("\x01"), F.lit("\x02"))).otherwise(whole))
+    digits = clean.withColumn(d, F.col(t).rlike("[0-9]"))
+    columns = {names[k]: F.when(F.lit(k in ("email", "secret")) | F.col(d), _spans(k, F.col(t))).otherwise(F.array().cast(SPAN)) for k in RULES}
     found = digits.withColumns(columns)
-    return found.withColumn("pii", F.array_sort(F.concat(*(F.col(f"pii_{k}") for k in RULES)))).drop("__t", "__d")
+    return found.withColumn(every, F.array_sort(F.concat(*map(F.col, names.values())))).drop(t, d), names, every
+
+
+def find(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with pii_<kind> arrays of spans and `pii`, all of them by start, then kind; spans of kinds may overlap.
+
+    Where docs has a column of such a name, the new one gets underscores at its end.
+    """
+    return _found(docs, text)[0]
 
 
 def _listed(spans: Column) -> Column:
@@ -110,7 +119,8 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
 
     n_chars, if there, becomes the length of the new text where something was replaced.
     """
-    found = find(docs, text)
+    found, _, every = _found(docs, text)
+    spans, new_text = F.col(every), fresh(docs, "__new")
     whole = F.col(text)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
@@ -119,10 +129,10 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
         free = s["start"] >= acc["at"]
         return F.struct(F.when(free, s["end"]).otherwise(F.greatest(acc["at"], s["end"])).alias("at"), F.when(free, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
 
-    new = F.aggregate(F.col("pii"), start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(whole, acc["at"] + 1, F.length(whole))))
-    out = found.withColumn("__new", F.when(F.size("pii") > 0, new).otherwise(whole))
-    size = {"n_chars": F.when(F.size("pii") > 0, F.length("__new").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")).alias("n_chars")} if "n_chars" in docs.columns else {}
-    return out.select(*(F.col("__new").alias(text) if c == text else size.get(c, F.col(c)) for c in docs.columns))
+    new = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(whole, acc["at"] + 1, F.length(whole))))
+    out = found.withColumn(new_text, F.when(F.size(spans) > 0, new).otherwise(whole))
+    size = {"n_chars": F.when(F.size(spans) > 0, F.length(new_text).cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")).alias("n_chars")} if "n_chars" in docs.columns else {}
+    return out.select(*(F.col(new_text).alias(text) if c == text else size.get(c, F.col(c)) for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from vectorloom.llm import chat_format, decontaminate, language_id, license_scan, pii, quality_classifier, quality_rules, sentencepiece_fst, simhash
 
 QUERIES = {
@@ -14,6 +15,7 @@ QUERIES = {
     "op8_decontaminate": decontaminate.query,
     "op9_sentencepiece": sentencepiece_fst.query,
     "op10_quality_rules": quality_rules.query,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {"op1_license_scan": license_scan.SQL, "op7_chat_format": chat_format.SQL}

@@ -20,10 +20,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vectorloom.llm.common import map_rows, raw_texts, table
+from vectorloom.llm.common import fresh, map_rows, raw_texts, table
 from vectorloom.plans.components import connected_components, label_components
 from vectorloom.runtime import cut_lineage, shuffle_width
 
@@ -187,18 +187,24 @@ def link_components(fps: DataFrame, parts: int | None = None) -> DataFrame:
     return connected_components(blobs.groupBy("part").applyInArrow(_compare, "src long, dst long"))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id) of every row: component_id is the smallest doc_id reachable over links."""
+def _classes(docs: DataFrame, doc_id: str, text: str, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h, fp) of every row, h a hash of the text; (fp, component, component_id) of every fingerprint."""
 
     def make():
-        return lambda batch: {"doc_id": batch.column(0), "fp": [_signed(fingerprint(t, shingle)) for t in raw_texts(batch.column(1))]}
+        return lambda batch: {"doc_id": batch.column(0), "h": batch.column(2), "fp": [_signed(fingerprint(t, shingle)) for t in raw_texts(batch.column(1))]}
 
-    marked = cut_lineage(map_rows(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), make, "doc_id long, fp long"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(text)).alias("h"))
+    marked = cut_lineage(map_rows(rows, make, "doc_id long, h long, fp long"))
     first = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
     linked = link_components(first)
     owned = first.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     least = owned.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = owned.join(least, "component").select("fp", "component_id")
+    return marked, owned.join(least, "component").select("fp", "component", "component_id")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
+    """(doc_id, fp, component_id) of every row: component_id is the smallest doc_id reachable over links."""
+    marked, named = _classes(docs, doc_id, text, shingle)
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -208,13 +214,18 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each near-duplicate component: the one with the smallest doc_id.
+def keep_first(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """One row of each near-duplicate component, columns unchanged: the smallest doc_id (null last), then the smallest text hash.
 
-    Of rows that share that doc_id, the one with the smallest (fingerprint, text hash) stays; rows without
-    any doc_id in their component are kept once per fingerprint.
+    Of rows that repeat both, the one with the smallest other columns stays.
     """
-    key = [F.xxhash64(F.coalesce("text", F.lit(""))).alias("__h")]
-    marks = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.select("*", *key).join(marks.withColumnRenamed("doc_id", "__d"), F.col("doc_id").eqNullSafe(F.col("__d")), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*docs.columns)
+    marked, named = _classes(docs, "doc_id", "text", shingle)
+    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("h").alias("h"))
+    best = marked.join(named, "fp").groupBy("component").agg(F.min(order).alias("m"))
+    d, h, r = fresh(docs, "__d"), fresh(docs, "__h"), fresh(docs, "__r")
+    none = F.lit(-(1 << 63))
+    chosen = best.select(F.coalesce("m.d", none).alias(d), F.col("m.h").alias(h))
+    met = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), none).alias(d), F.xxhash64(F.col("text").cast("string")).alias(h)).join(chosen, [d, h], "left_semi")
+    others = [c for c, kind in docs.dtypes if c not in ("doc_id", "text") and not kind.startswith("map")]
+    one = met.withColumn(r, F.row_number().over(Window.partitionBy(d, h).orderBy(*others, F.lit(0))))
+    return one.where(F.col(r) == 1).select(*docs.columns)
