@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,3 +62,32 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+class Powers:
+    """Polynomial hashes of byte ranges modulo 2 ** 64, by prefix sums."""
+
+    BASE = 0x9E3779B97F4A7C15 | 1
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, dtype=np.uint64)
+
+    def grow(self, n: int) -> None:
+        """Powers of the base and of its inverse, for exponents below n."""
+        if len(self.up) < n:
+            n = max(n, 1 << 20)
+            inverse = pow(self.BASE, -1, 1 << 64)
+            self.up, self.down = (np.cumprod(np.r_[np.uint64(1), np.full(n - 1, b, dtype=np.uint64)], dtype=np.uint64) for b in (self.BASE, inverse))
+
+    def prefix(self, data: np.ndarray) -> np.ndarray:
+        self.grow(len(data) + 1)
+        return np.r_[np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[: len(data)], dtype=np.uint64)]
+
+    def ranges(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mixed((prefix[end] - prefix[start]) * self.down[start])
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """A bijection that spreads 64-bit hashes."""
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))

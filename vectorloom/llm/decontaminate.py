@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorloom.llm.common import map_rows, table
+from vectorloom.llm.common import Powers, map_rows, mixed, table
 from vectorloom.runtime import fits
 
 WINDOW, MIN_TOKENS, MIN_LITERALS = 8, 5, 4
@@ -31,24 +31,6 @@ MAX_BROADCAST_ITEMS = 100_000
 PIECE = 1 << 20
 UNITS = "mm cm m km in inch inches ft feet foot yard yards mile miles mg g kg lb lbs pound pounds ounce ounces ton tons ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hour hours day days week weeks month months year years percent dollar dollars euro euros cent cents usd eur mph kmh hz khz mhz ghz watt watts volt volts degree degrees".split()
 NUMBER, NAME, UNIT = np.uint64(0x9D39247E33776D41), np.uint64(0x2AF7398005AAA5C7), np.uint64(0x44DB015024623547)
-POWER = 0x9E3779B97F4A7C15 | 1
-_POWERS: dict = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """POWER ** i and its inverse modulo 2 ** 64, for i below n."""
-    if len(_POWERS.get("up", ())) < n:
-        inverse = pow(POWER, -1, 1 << 64)
-        for key, base in (("up", POWER), ("down", inverse)):
-            x = np.full(max(n, PIECE + 64), base, dtype=np.uint64)
-            x[0] = 1
-            _POWERS[key] = np.cumprod(x, dtype=np.uint64)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
 
 
 class Tokens:
@@ -58,6 +40,7 @@ class Tokens:
         byte = np.arange(256)
         self.inside = (byte >= 128) | ((byte >= 48) & (byte <= 57)) | ((byte >= 65) & (byte <= 90)) | ((byte >= 97) & (byte <= 122))
         self.ender = np.isin(byte, list(b".!?\n:;\"")) | (byte == 0)
+        self.powers = Powers()
         self.units = np.sort(self._plain(" ".join(UNITS).encode()))
 
     def _plain(self, low: bytes) -> np.ndarray:
@@ -72,9 +55,7 @@ class Tokens:
         after = np.r_[inside[1:], False]
         after[breaks[breaks > 0] - 1] = False
         end = np.flatnonzero(inside & ~after) + 1
-        up, down = _powers(len(low) + 1)
-        total = np.r_[np.uint64(0), np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[: len(low)], dtype=np.uint64)]
-        return start, end, _mixed((total[end] - total[start]) * down[start])
+        return start, end, self.powers.ranges(self.powers.prefix(low), start, end)
 
     def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text number, raw hash, canonical hash) of all tokens of some texts, in order."""
@@ -142,7 +123,7 @@ def _window_hashes(canon: np.ndarray, n: int) -> np.ndarray:
     out = np.zeros(max(0, len(canon) - n + 1), dtype=np.uint64)
     for k in range(n):
         out = out * np.uint64(0x100000001B3) + canon[k : k + len(out)]
-    return _mixed(out)
+    return mixed(out)
 
 
 def windows(row: np.ndarray, canon: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
