@@ -18,3 +18,8 @@ def register(name: str, sql: str | None = None):
         return f
 
     return add
+
+
+def load() -> None:
+    """Imports the modules that register queries."""
+    from vectorloom.queries import clusters, distances, indexes, neighbors  # noqa: F401
