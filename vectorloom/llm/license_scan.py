@@ -13,6 +13,7 @@ null, score 0.0); of equal scores the alphabetically last licence is the best on
 from __future__ import annotations
 
 import re
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,7 +80,7 @@ def bigrams(text: str) -> list[str]:
 
 def bounds(n: int, threshold: float = THRESHOLD) -> tuple[int, int]:
     """Sizes of bigram sets that can reach the threshold with a set of n."""
-    return -int(-n * threshold / (2 - threshold) // 1), int(n * (2 - threshold) / threshold)
+    return ceil(n * threshold / (2 - threshold) - 1e-9), int(n * (2 - threshold) / threshold + 1e-9)
 
 
 def _templates(templates: list[tuple[str, str]]) -> list[tuple[str, list[str], int, int]]:
