@@ -14,6 +14,8 @@ from vectorloom.operators.blocks import share, vectors_of
 from vectorloom.runtime import cut_lineage
 
 SMALL_GRAPH = 3000
+#: Vectors that a subspace has beside the wanted ones, so that those converge sooner.
+EXTRA = 6
 
 
 def moments(data: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
@@ -100,7 +102,7 @@ def _small(edges: DataFrame, n: int, nodes: DataFrame, want: int, normalized: bo
 
 
 def _large(edges: DataFrame, nodes: DataFrame, want: int, normalized: bool, rounds: int, seed: int) -> DataFrame:
-    """Subspace iteration on a shifted Laplacian: each round is one join with the edges and a want x want product on the driver."""
+    """Subspace iteration on a shifted Laplacian: each round is one join with the edges; small Gram matrices go to the driver."""
     degree = cut_lineage(nodes.join(edges.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("d")), "id", "left").select("id", F.coalesce("d", F.lit(0.0)).alias("d")))
     top = degree.agg(F.max("d")).first()[0] or 1.0
     scale = F.when(F.col("d") > 0, F.sqrt("d")).otherwise(1.0) if normalized else F.lit(1.0)
@@ -109,16 +111,32 @@ def _large(edges: DataFrame, nodes: DataFrame, want: int, normalized: bool, roun
     factor = degree.select("id", scale.alias("s"), own.alias("l"))
     scaled = edges.join(factor.select(F.col("id").alias("src"), F.col("s").alias("a")), "src").join(factor.select(F.col("id").alias("dst"), F.col("s").alias("b")), "dst")
     scaled = cut_lineage(scaled.select("src", "dst", (F.col("weight") / F.col("a") / F.col("b")).alias("weight")))
-    cols = [f"x{i}" for i in range(want)]
-    x = cut_lineage(nodes.select("id", *(F.randn(seed + i).alias(c) if i else F.lit(1.0).alias(c) for i, c in enumerate(cols))))
+    size = want + EXTRA
+    cols, moved_cols = [f"x{i}" for i in range(size)], [f"y{i}" for i in range(size)]
+
+    def multiplied(x: DataFrame) -> DataFrame:
+        """x beside its product with the shifted matrix."""
+        sums = scaled.join(x.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(*(F.sum(F.col(c) * F.col("weight")).alias(f"z{i}") for i, c in enumerate(cols)))
+        out = x.join(factor, "id").join(sums, "id", "left")
+        return cut_lineage(out.select("id", *cols, *((F.col(c) * (shift - F.col("l")) + F.coalesce(f"z{i}", F.lit(0.0))).alias(f"y{i}") for i, c in enumerate(cols))))
+
+    def products(t: DataFrame, left: list[str], right: list[str]) -> np.ndarray:
+        sums = t.agg(*(F.sum(F.col(a) * F.col(b)).alias(f"g{i}_{j}") for i, a in enumerate(left) for j, b in enumerate(right))).first()
+        return np.array([[sums[f"g{i}_{j}"] for j in range(len(right))] for i in range(len(left))])
+
+    def rotated(t: DataFrame, names: list[str], r: np.ndarray) -> DataFrame:
+        return t.select("id", *(sum((F.col(a) * float(r[i, j]) for i, a in enumerate(names)), F.lit(0.0)).alias(f"x{j}") for j in range(r.shape[1])))
+
+    x = cut_lineage(nodes.select("id", *((F.xxhash64("id", F.lit(seed + i)) / F.lit(float(1 << 63)) if i else F.lit(1.0)).alias(c) for i, c in enumerate(cols))))
     for _ in range(rounds):
-        moved = scaled.join(x.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(*(F.sum(F.col(c) * F.col("weight")).alias(f"y{i}") for i, c in enumerate(cols)))
-        y = cut_lineage(x.join(factor, "id").join(moved, "id", "left").select("id", *((F.col(c) * (shift - F.col("l")) + F.coalesce(f"y{i}", F.lit(0.0))).alias(c) for i, c in enumerate(cols))))
-        sums = y.agg(*(F.sum(F.col(a) * F.col(b)).alias(f"g{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if j <= i)).first()
-        g = np.array([[sums[f"g{max(i, j)}_{min(i, j)}"] for j in range(want)] for i in range(want)])
-        r = np.linalg.inv(np.linalg.cholesky(g + 1e-12 * np.trace(g) * np.eye(want))).T
-        x = y.select("id", *(sum((F.col(a) * float(r[i, j]) for i, a in enumerate(cols)), F.lit(0.0)).alias(c) for j, c in enumerate(cols)))
-    return x.join(factor, "id").select("id", F.array(*(F.col(c) / F.col("s") for c in cols)).alias("vector"))
+        y = multiplied(x)
+        g = products(y, moved_cols, moved_cols)
+        x = cut_lineage(rotated(y, moved_cols, np.linalg.inv(np.linalg.cholesky(g + 1e-13 * np.trace(g) * np.eye(size))).T))
+    y = multiplied(x)
+    h = products(y, cols, moved_cols)
+    _, r = np.linalg.eigh((h + h.T) / 2)
+    out = rotated(y, cols, r[:, ::-1][:, :want])
+    return out.join(factor, "id").select("id", F.array(*(F.col(f"x{i}") / F.col("s") for i in range(want))).alias("vector"))
 
 
 def spectral_embedding(edges: DataFrame, n_components: int, normalized: bool = True, drop_first: bool = True, rounds: int = 60, seed: int = 0) -> DataFrame:
