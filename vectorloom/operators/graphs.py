@@ -69,8 +69,10 @@ def nn_descent(data: DataFrame, graph_degree: int = 64, intermediate_degree: int
         w = Window.partitionBy("query_id").orderBy("rank")
         return found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= graph_degree).select(F.col("query_id").alias("src"), F.col("r").alias("rank"), F.col("id").alias("dst"), "distance")
     degree = intermediate_degree or max(graph_degree, 2 * sample)
-    dealt = rows.withColumn("b", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max(1, n // 64))))
-    pairs = dealt.select("b", F.col("id").alias("src")).join(dealt.select("b", F.col("id").alias("dst")), "b").where("src <> dst").select("src", "dst")
+    # a connected start: every row meets the rows of its bucket in several dealings
+    dealings = F.array(*(F.struct(F.lit(i).alias("i"), F.pmod(F.xxhash64("id", F.lit(seed + i)), F.lit(max(1, n // 24))).alias("b")) for i in range(3)))
+    dealt = rows.select("id", F.explode(dealings).alias("b"))
+    pairs = dealt.select("b", F.col("id").alias("src")).join(dealt.select("b", F.col("id").alias("dst")), "b").where("src <> dst").select("src", "dst").distinct()
 
     def scored(pairs: DataFrame) -> DataFrame:
         met = pairs.join(rows.select(F.col("id").alias("src"), F.col("vector").alias("x")), "src").join(rows.select(F.col("id").alias("dst"), F.col("vector").alias("y")), "dst")
@@ -324,7 +326,8 @@ class GraphIndex:
                         _, c = smallest(coarse(measure(part, m[upper])), upper, min(len(upper), 4))
                         seeds = upper[c].reshape(len(part), -1)
                     else:
-                        seeds = np.stack([rng.integers(0, len(ids), min(len(ids), 32 * num_random_samplings)) for _ in range(len(part))])
+                        n = min(len(ids), num_random_samplings * max(32, int(4 * np.sqrt(len(ids)))))
+                        seeds = np.tile(rng.choice(len(ids), n, replace=False), (len(part), 1))
                     who, d = beam(part, m, graph, seeds, itopk if ok.all() else itopk * 4, search_width, rounds, measure)
                     r, c = np.nonzero((who >= 0) & ok[np.maximum(who, 0)])
                     best = Best(len(part), k)
@@ -359,6 +362,25 @@ class GraphIndex:
         """The same graph over other vectors."""
         return replace(self, nodes=self.nodes.drop("vector").join(vectors_of(data), "id").select("shard", "id", "level", "vector", "neighbors"))
 
+    def with_graph(self, graph: DataFrame):
+        """Other edges (src, rank, dst) over the same vectors; both ends of an edge must lie in one shard."""
+        links = graph.groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_list(F.struct("rank", "dst"))).alias("e")).select("id", F.col("e.dst").alias("neighbors"))
+        nodes = self.nodes.drop("neighbors").join(links, "id", "left")
+        return replace(self, nodes=nodes.select("shard", "id", "level", "vector", F.coalesce("neighbors", F.array().cast("array<bigint>")).alias("neighbors")))
+
+    def with_ids(self, names: DataFrame):
+        """Rows renamed by a table (id, new_id)."""
+        names = cut_lineage(names.select(F.col("id").cast("long").alias("id"), F.col("new_id").cast("long").alias("new_id")))
+        links = self.nodes.select("id", F.posexplode_outer("neighbors").alias("rank", "dst")).join(names.select(F.col("id").alias("dst"), F.col("new_id").alias("to")), "dst", "left").groupBy("id").agg(F.array_sort(F.collect_list(F.when(F.col("to").isNotNull(), F.struct("rank", "to")))).alias("e"))
+        nodes = self.nodes.drop("neighbors").join(links, "id").join(names, "id")
+        return replace(self, nodes=nodes.select("shard", F.col("new_id").alias("id"), "level", "vector", F.col("e.to").alias("neighbors")))
+
+    def compressed(self, quantizer):
+        """The index over what a product quantiser keeps of its vectors; searches rank by decoded distances, refine() restores order."""
+        if self.metric not in ("sqeuclidean", "L2Expanded"):
+            raise ValueError("only squared L2 is supported")
+        return self.with_dataset(quantizer.inverse_transform(quantizer.transform(self.dataset())))
+
     def save(self, path: str) -> None:
         store.save(self.spark, path, "graph", {"metric": self.metric, "build": self.params}, {"nodes": self.nodes})
 

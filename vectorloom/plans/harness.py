@@ -39,18 +39,10 @@ class Backend:
     build: Callable
 
 
-class _Exact:
-    def __init__(self, data: DataFrame, metric: str = "sqeuclidean"):
-        self.data, self.metric = data, metric
-
-    def search(self, queries: DataFrame, k: int, **_) -> DataFrame:
-        return knn(queries, self.data, k, self.metric)
-
-
 def backends() -> dict[str, Backend]:
-    from vectorloom.operators import graphs, ivf
+    from vectorloom.operators import exact, graphs, ivf
 
-    known = {"brute_force": _Exact, "ivf_flat": ivf.build_flat, "ivf_sq": ivf.build_sq, "ivf_pq": ivf.build_pq, "ivf_rabitq": ivf.build_rabitq, "cagra": graphs.build_cagra, "hnsw": graphs.build_hnsw, "vamana": graphs.build_vamana}
+    known = {"brute_force": exact.build_exact, "ivf_flat": ivf.build_flat, "ivf_sq": ivf.build_sq, "ivf_pq": ivf.build_pq, "ivf_rabitq": ivf.build_rabitq, "cagra": graphs.build_cagra, "hnsw": graphs.build_hnsw, "vamana": graphs.build_vamana}
     return {n: Backend(n, f) for n, f in known.items()}
 
 

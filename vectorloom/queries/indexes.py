@@ -7,7 +7,7 @@ import uuid
 import numpy as np
 from pyspark.sql import functions as F
 
-from vectorloom.operators import graphs, ivf, kmeans, neighbors, tiered
+from vectorloom.operators import exact, graphs, ivf, kmeans, neighbors, quantizers, tiered
 from vectorloom.operators.blocks import vectors_of
 from vectorloom.plans import harness
 from vectorloom.queries.inputs import CENTERS, D, K, cte, data, label_means, queries, rounded, sq, sql_rounded, topk
@@ -81,6 +81,12 @@ def ivf_flat_list_sizes(spark, sf_dir):
     return _flat(spark, sf_dir)[1].list_sizes()
 
 
+@register("ivf_flat_list_range", f"{_BASE} SELECT c AS list_id, id FROM placed WHERE c = 3 QUALIFY row_number() OVER (ORDER BY id) BETWEEN 3 AND 7")
+def ivf_flat_list_range(spark, sf_dir):
+    """Five rows of a list from an offset: range access is the feature."""
+    return _flat(spark, sf_dir)[1].list_rows(3, 2, 5).select("list_id", "id")
+
+
 @register("ivf_flat_list_surgery", f"{_BASE} SELECT c AS list_id, count(*) AS size FROM placed WHERE c <> 4 GROUP BY c UNION ALL SELECT 4, count(*) FROM data WHERE label = 2 HAVING count(*) > 0")
 def ivf_flat_list_surgery(spark, sf_dir):
     """A list erased and filled again with chosen rows."""
@@ -272,6 +278,31 @@ def nn_descent(spark, sf_dir):
     return found.select("src", "rank", "dst", F.round("distance", 6).alias("distance"))
 
 
+@register("cagra_compressed")
+def cagra_compressed(spark, sf_dir):
+    """A graph over product-quantised vectors, its candidates in exact order."""
+    rows = data(spark, sf_dir)
+    ix = graphs.build_cagra(rows, intermediate_graph_degree=32, graph_degree=16).compressed(quantizers.train_pq(rows, 8, 16, use_vq=True, n_iters=8))
+    return rounded(neighbors.refine(rows, queries(rows), ix.search(queries(rows), 4 * K), K))
+
+
+@register("cagra_renamed")
+def cagra_renamed(spark, sf_dir):
+    """Results under other ids."""
+    rows = data(spark, sf_dir)
+    ix = graphs.build_cagra(rows, intermediate_graph_degree=32, graph_degree=16).with_ids(rows.select("id", (F.col("id") + 1_000_000).alias("new_id")))
+    return _digest(ix.search(queries(rows), K))
+
+
+@register("exact_index_store", EXACT)
+def exact_index_store(spark, sf_dir):
+    """An exact index built in two steps, saved and loaded."""
+    rows = data(spark, sf_dir, "scaled")
+    path = scratch(spark, "exact")
+    exact.build_exact(rows.where("label < 4")).extend(rows.where("label >= 4")).save(path)
+    return rounded(exact.ExactIndex.load(spark, path).search(queries(rows), K))
+
+
 @register("composite_index", EXACT)
 def composite_index(spark, sf_dir):
     """Two indexes searched as one."""
