@@ -394,7 +394,7 @@ def _remove(docs: pa.Table, blobs: pa.Table) -> pa.Table:
 
 def duplicate_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans) of every row; spans: removed byte ranges, start and end in turn."""
-    buckets = buckets or 4 * shuffle_width(docs.sparkSession)
+    buckets = buckets or 2 * shuffle_width(docs.sparkSession)
     whole = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("d"), F.col(text).cast("string").alias("text"))
     marked = whole.select("d", F.xxhash64("d", "text").bitwiseAND(F.lit(0xFFFFFFFF)).alias("t"), "text")
     placed = marked.withColumn("bucket", F.col("t") % buckets)
