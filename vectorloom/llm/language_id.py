@@ -6,7 +6,8 @@ document; the set of languages is chosen by penalised likelihood: starting from
 another is added while the log-likelihood gains more than PENALTY * log(number of n-grams) per language.
 
 Languages are learned from a bounded sample: about per_language documents of each language by a hash of
-doc_id, outside the held-out fold, with at most MAX_TRAIN_BYTES of text. Predictions see whole texts only.
+doc_id, outside the held-out fold, with at most MAX_TRAIN_BYTES of text, picked where they lie (the shares of
+at most MAX_BROADCAST_LANGS languages are broadcast). Predictions see whole texts only.
 A text that is null, empty or without letters is `und` with score 0, and so is every text if nothing was
 learned. The score is the share of the predicted language, times its probability against the others.
 """
@@ -21,10 +22,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectorloom.llm.common import fraction_of, fresh, held_out, map_rows, table
+from vectorloom.runtime import broadcast_if_small, cut_lineage
 
 BINS = 8192
 PENALTY = 2.0
 MAX_TRAIN_BYTES = 200_000
+MAX_BROADCAST_LANGS = 10_000
 PIECE = 1 << 20
 GROUP = 64
 SMOOTH = 0.2
@@ -78,7 +81,7 @@ def train(docs: DataFrame, per_language: int = 300) -> dict:
     """Bin probabilities of every language with a labelled document outside the held-out fold."""
     known = docs.where(F.col("lang").isNotNull() & ~held_out(4, 2))
     sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    share = sizes.select("lang", F.least(F.lit(1.0), per_language / F.col("n")).alias("share"))
+    share = broadcast_if_small(cut_lineage(sizes.select("lang", F.least(F.lit(1.0), per_language / F.col("n")).alias("share"))), MAX_BROADCAST_LANGS)
     sample = known.where(F.octet_length("text").between(1, MAX_TRAIN_BYTES)).select("lang", "text", "doc_id").join(share, "lang").where(fraction_of(F.struct("doc_id", F.octet_length("text"))) < F.col("share"))
 
     def make():
