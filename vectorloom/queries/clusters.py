@@ -36,19 +36,19 @@ _STEP = """cells1 AS (SELECT c, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS
 next AS (SELECT c, i, avg(x) AS x FROM cells1 GROUP BY c, i)"""
 
 
-@register("kmeans_fit_one_step", f"WITH {cte('scaled')}, {CENTERS}, {_NEAREST}, {_STEP} SELECT c AS label, CAST(i AS INT) AS i, round(x, 6) AS x FROM next")
+@register("kmeans_fit_one_step", f"WITH {cte('scaled')}, {CENTERS}, {_NEAREST}, {_STEP} SELECT c AS label, CAST(i AS INT) AS i, round(x, 6) + 0.0 AS x FROM next")
 def kmeans_fit_one_step(spark, sf_dir):
     """One Lloyd iteration from fixed centroids."""
     rows = data(spark, sf_dir, "scaled")
     model = kmeans.fit(rows, 10, label_means(rows), max_iter=1)
-    return model.table(spark).select("label", F.posexplode("vector").alias("i", "x")).select("label", (F.col("i") + 1).alias("i"), F.round("x", 6).alias("x"))
+    return model.table(spark).select("label", F.posexplode("vector").alias("i", "x")).select("label", (F.col("i") + 1).alias("i"), (F.round("x", 6) + 0.0).alias("x"))
 
 
-@register("kmeans_fit_weighted", f"WITH {cte('scaled')}, {CENTERS}, {_NEAREST}, w AS (SELECT best.*, 1.0 + label AS w FROM best JOIN data USING (id)), cells1 AS (SELECT c, w, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS x FROM w) SELECT c AS label, CAST(i AS INT) AS i, round(sum(w * x) / sum(w), 6) AS x FROM cells1 GROUP BY c, i")
+@register("kmeans_fit_weighted", f"WITH {cte('scaled')}, {CENTERS}, {_NEAREST}, w AS (SELECT best.*, 1.0 + label AS w FROM best JOIN data USING (id)), cells1 AS (SELECT c, w, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS x FROM w) SELECT c AS label, CAST(i AS INT) AS i, round(sum(w * x) / sum(w), 6) + 0.0 AS x FROM cells1 GROUP BY c, i")
 def kmeans_fit_weighted(spark, sf_dir):
     rows = data(spark, sf_dir, "scaled").withColumn("weight", 1.0 + F.col("label"))
     model = kmeans.fit(rows, 10, label_means(rows), max_iter=1, weight="weight")
-    return model.table(spark).select("label", F.posexplode("vector").alias("i", "x")).select("label", (F.col("i") + 1).alias("i"), F.round("x", 6).alias("x"))
+    return model.table(spark).select("label", F.posexplode("vector").alias("i", "x")).select("label", (F.col("i") + 1).alias("i"), (F.round("x", 6) + 0.0).alias("x"))
 
 
 @register("kmeans_fit_predict")
@@ -133,11 +133,11 @@ def scalar_quantizer_quantile(spark, sf_dir):
     return spark.createDataFrame([(round(q.low, 6), round(q.high, 6))], "low double, high double")
 
 
-@register("scalar_quantizer_inverse", f"WITH {cte('scaled')}, r AS ({_RANGE}), c AS (SELECT id, unnest(v) AS x FROM data) SELECT id, round(sum(({_CODE} - (-128.0 - 255.0 / (hi - lo) * lo)) / (255.0 / (hi - lo))), 5) AS total FROM c, r GROUP BY id")
+@register("scalar_quantizer_inverse", f"WITH {cte('scaled')}, r AS ({_RANGE}), c AS (SELECT id, unnest(v) AS x FROM data) SELECT id, round(sum(({_CODE} - (-128.0 - 255.0 / (hi - lo) * lo)) / (255.0 / (hi - lo))), 5) + 0.0 AS total FROM c, r GROUP BY id")
 def scalar_quantizer_inverse(spark, sf_dir):
     rows = vectors_of(data(spark, sf_dir, "scaled"))
     q = quantizers.train_scalar(rows, 1.0)
-    return rows.select("id", F.round(F.aggregate(q.inverse(q.transform("vector")), F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
+    return rows.select("id", (F.round(F.aggregate(q.inverse(q.transform("vector")), F.lit(0.0), lambda a, x: a + x), 5) + 0.0).alias("total"))
 
 
 def _binary(threshold: str, limit: str):

@@ -36,11 +36,11 @@ def _pairwise(metric: str):
     def query(spark, sf_dir):
         rows = data(spark, sf_dir, form)
         pairs = neighbors.pairwise(queries(rows), rows, metric, P)
-        return pairs.groupBy(F.col("xid").alias("query_id")).agg(F.count("yid").alias("n"), F.round(F.avg("distance"), 6).alias("mean"), F.round(F.min("distance"), 6).alias("low"), F.round(F.max("distance"), 6).alias("high"))
+        return pairs.groupBy(F.col("xid").alias("query_id")).agg(F.count("yid").alias("n"), (F.round(F.avg("distance"), 6) + 0.0).alias("mean"), (F.round(F.min("distance"), 6) + 0.0).alias("low"), (F.round(F.max("distance"), 6) + 0.0).alias("high"))
 
     register(
         f"pairwise_{NAMES[metric]}",
-        f"WITH {cte(form)}, pairs AS (SELECT query_id, {METRICS[metric].sql('qv', 'v', P)} AS d FROM q, data) SELECT query_id, count(*) AS n, round(avg(d), 6) AS mean, round(min(d), 6) AS low, round(max(d), 6) AS high FROM pairs GROUP BY query_id",
+        f"WITH {cte(form)}, pairs AS (SELECT query_id, {METRICS[metric].sql('qv', 'v', P)} AS d FROM q, data) SELECT query_id, count(*) AS n, round(avg(d), 6) + 0.0 AS mean, round(min(d), 6) + 0.0 AS low, round(max(d), 6) + 0.0 AS high FROM pairs GROUP BY query_id",
     )(query)
 
 
@@ -146,12 +146,12 @@ for _k in stats.KERNELS:
     _kde(_k)
 
 
-@register("l2_normalize", f"WITH {cte('scaled')} SELECT id, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS before, round(v[1] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS head FROM data")
+@register("l2_normalize", f"WITH {cte('scaled')} SELECT id, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS before, round(v[1] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) + 0.0 AS head FROM data")
 def normalize(spark, sf_dir):
     """Vectors over their norm."""
     rows = vectors_of(data(spark, sf_dir, "scaled"))
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
-    return rows.select("id", F.round(norm, 6).alias("before"), F.round(F.get(l2_normalize(F.col("vector")), F.lit(0)), 6).alias("head"))
+    return rows.select("id", F.round(norm, 6).alias("before"), (F.round(F.get(l2_normalize(F.col("vector")), F.lit(0)), 6) + 0.0).alias("head"))
 
 
 @register("sql_functions", f"WITH {cte('scaled')} SELECT query_id, round(min({sq('qv', 'v')}), 6) AS low, round(max(sqrt({sq('qv', 'v')})), 6) AS high FROM q, data WHERE id <> query_id GROUP BY query_id")

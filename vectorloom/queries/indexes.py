@@ -68,12 +68,12 @@ def ivf_flat_extend(spark, sf_dir):
     return rounded(ix.search(queries(rows), K, PROBES))
 
 
-@register("ivf_flat_adaptive_centers", f"{_BASE}, cells1 AS (SELECT c, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS x FROM placed) SELECT c AS list_id, CAST(i AS INT) AS i, round(avg(x), 6) AS x FROM cells1 GROUP BY c, i")
+@register("ivf_flat_adaptive_centers", f"{_BASE}, cells1 AS (SELECT c, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS x FROM placed) SELECT c AS list_id, CAST(i AS INT) AS i, round(avg(x), 6) + 0.0 AS x FROM cells1 GROUP BY c, i")
 def ivf_flat_adaptive_centers(spark, sf_dir):
     """Centres that follow the rows of their lists."""
     _, ix = _flat(spark, sf_dir)
     moved = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(ix.recentered().centers)], "list_id int, v array<double>")
-    return moved.select("list_id", F.posexplode("v").alias("i", "x")).select("list_id", (F.col("i") + 1).alias("i"), F.round("x", 6).alias("x"))
+    return moved.select("list_id", F.posexplode("v").alias("i", "x")).select("list_id", (F.col("i") + 1).alias("i"), (F.round("x", 6) + 0.0).alias("x"))
 
 
 @register("ivf_flat_list_sizes", f"{_BASE} SELECT c AS list_id, count(*) AS size FROM placed GROUP BY c")
@@ -362,14 +362,14 @@ def stream_search(spark, sf_dir):
     return rounded(streams.delta(spark, out))
 
 
-@register("stream_running_centroids", f"WITH {cte()}, c AS (SELECT label, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS x FROM data) SELECT CAST(label AS INT) AS label, CAST(i AS INT) AS i, max(n) AS size, round(avg(x), 6) AS x FROM c JOIN (SELECT label, count(*) AS n FROM data GROUP BY label) USING (label) GROUP BY label, i")
+@register("stream_running_centroids", f"WITH {cte()}, c AS (SELECT label, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS x FROM data) SELECT CAST(label AS INT) AS label, CAST(i AS INT) AS i, max(n) AS size, round(avg(x), 6) + 0.0 AS x FROM c JOIN (SELECT label, count(*) AS n FROM data GROUP BY label) USING (label) GROUP BY label, i")
 def stream_running_centroids(spark, sf_dir):
     """Means by label as streaming state."""
     stream = _stream(spark, sf_dir, "embeddings").select(F.col("label").cast("int").alias("label"), F.col("embedding").cast(D).alias("vector"))
     name = f"centroids_{uuid.uuid4().hex}"
     streams.running_centroids(stream, 64, "label").writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", scratch(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
     out = spark.table(name)
-    return out.select("label", "size", F.posexplode("center").alias("i", "x")).select("label", (F.col("i") + 1).alias("i"), "size", F.round("x", 6).alias("x"))
+    return out.select("label", "size", F.posexplode("center").alias("i", "x")).select("label", (F.col("i") + 1).alias("i"), "size", (F.round("x", 6) + 0.0).alias("x"))
 
 
 @register("stream_event_windows", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY date_trunc('hour', ts), event_type")
@@ -384,13 +384,13 @@ def stream_event_windows(spark, sf_dir):
 # sources, sinks, harness
 
 
-@register("vector_file_round_trip", f"WITH {cte()} SELECT CAST(row_number() OVER (ORDER BY id) - 1 AS BIGINT) AS id, round(list_sum(v), 6) AS total, round(list_sum(list_transform(v, lambda x: x * x)), 6) AS norm2 FROM data")
+@register("vector_file_round_trip", f"WITH {cte()} SELECT CAST(row_number() OVER (ORDER BY id) - 1 AS BIGINT) AS id, round(list_sum(v), 6) + 0.0 AS total, round(list_sum(list_transform(v, lambda x: x * x)), 6) AS norm2 FROM data")
 def vector_file_round_trip(spark, sf_dir):
     """Vectors written as part files with headers, and read again."""
     path = f"{scratch(spark, 'vectors')}.fbin"
     binary.write_vectors(data(spark, sf_dir), path, part_rows=200)
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
-    return binary.read_vectors(spark, path).select("id", F.round(total("vector"), 6).alias("total"), F.round(total(F.transform("vector", lambda x: x * x)), 6).alias("norm2"))
+    return binary.read_vectors(spark, path).select("id", (F.round(total("vector"), 6) + 0.0).alias("total"), F.round(total(F.transform("vector", lambda x: x * x)), 6).alias("norm2"))
 
 
 @register("vector_file_subset", f"WITH {cte()} SELECT count(*) AS n, round(sum(list_sum(v)), 5) AS total FROM (SELECT v FROM data ORDER BY id LIMIT 100)")
