@@ -6,7 +6,8 @@ medians and median-like spreads, concentration steps re-estimate mean and covari
 of vectors nearest by Mahalanobis distance, and vectors beyond CUTOFF are rejected.
 
 Groups with fewer than MIN_GROUP texts use the estimates of their language, or else of all texts. Estimates
-are rows of a table, joined by group; nothing but counts is gathered per group, however large it is.
+are rows of a table, joined by group, by broadcast if a count finds at most MAX_BROADCAST_GROUPS groups, so that
+rows of a large group stay where they are; nothing but counts is gathered per group, however large it is.
 Null texts have no words and fail; null lang or source form groups of their own; repeated rows are
 rows like others. An empty table gives an empty result.
 """
@@ -17,12 +18,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectorloom.llm.common import table
-from vectorloom.runtime import cut_lineage
+from vectorloom.runtime import broadcast_if_small, cut_lineage
 
 SUPPORT = 0.75
 STEPS = 3
 MIN_GROUP = 200
 CUTOFF = 80.0
+MAX_BROADCAST_GROUPS = 10_000
 #: Smallest standard deviation that a component counts with.
 FEATURES = {"x0": 0.4, "x1": 0.3, "x2": 0.06, "x3": 0.05, "x4": 0.06, "x5": 0.04}
 SPACE = r"[\x20\x09-\x0D]"
@@ -88,7 +90,7 @@ def _estimates(rows: DataFrame, scale: float) -> DataFrame:
 
 def _distances(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     """rows with the squared Mahalanobis distance d2 to the estimates of their group."""
-    out = rows.join(estimates, "g")
+    out = rows.join(broadcast_if_small(estimates, MAX_BROADCAST_GROUPS), "g")
     for i, x in enumerate(FEATURES):
         v = F.col(x) - F.col(f"m{i}")
         for k in range(i):
@@ -106,7 +108,7 @@ def outlier_distances(stats: DataFrame, lang: str = "lang", source: str = "sourc
     total = by_both.groupBy("__l").agg(F.sum("n").alias("of_lang"))
     level = F.when(F.col("n") >= MIN_GROUP, F.concat_ws("\x02", "__l", "__s")).when(F.col("of_lang") >= MIN_GROUP, F.concat_ws("\x02", "__l", F.lit("*"), F.lit("*"))).otherwise("*")
     groups = by_both.join(total, "__l").select("__l", "__s", level.alias("g"))
-    rows = rows.join(groups, ["__l", "__s"]).drop("__l", "__s")
+    rows = rows.join(broadcast_if_small(cut_lineage(groups), MAX_BROADCAST_GROUPS), ["__l", "__s"]).drop("__l", "__s")
     small = rows.select("g", *FEATURES)
     center = small.groupBy("g").agg(*(F.percentile_approx(x, [0.16, 0.5, 0.84], 2000).alias(f"p{i}") for i, x in enumerate(FEATURES)))
     first = center.select("g", *(F.element_at(f"p{i}", 2).alias(f"m{i}") for i in range(len(FEATURES))), *((F.greatest((F.element_at(f"p{i}", 3) - F.element_at(f"p{i}", 1)) / 2, F.lit(s)) if i == j else F.lit(0.0)).alias(f"l{i}_{j}") for i, s in enumerate(FEATURES.values()) for j in range(i + 1)))
@@ -114,7 +116,8 @@ def outlier_distances(stats: DataFrame, lang: str = "lang", source: str = "sourc
     for _ in range(STEPS):
         near = _distances(small, estimates)
         bound = near.groupBy("g").agg(F.percentile_approx("d2", SUPPORT, 2000).alias("bound"))
-        estimates = _estimates(near.join(bound, "g").where("d2 <= bound"), 1.35)
+        limits = broadcast_if_small(cut_lineage(bound), MAX_BROADCAST_GROUPS)
+        estimates = _estimates(near.join(limits, "g").where("d2 <= bound"), 1.35)
     return _distances(rows, estimates).drop("g", *FEATURES)
 
 
