@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,14 @@ def _types(schema: str) -> list[pa.DataType]:
     return [KINDS[f.split(" ", 1)[1]] for f in _fields(schema)]
 
 
+def per_process(key: str, make: Callable):
+    """What make() gives, kept for the life of this Python process under a key."""
+    held = sys.modules.setdefault("_vectorloom_process", ModuleType("_vectorloom_process")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 def raw_texts(col: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column, without decoding."""
     return col.cast(pa.binary()).to_pylist()

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorloom.llm.common import map_rows, table
+from vectorloom.llm.common import map_rows, per_process, table
 
 BLANK = "▁"
 WIDE = 48
@@ -60,7 +60,7 @@ def compile_model(path: str | None = None) -> dict:
         surfaces[i] = p.replace(BLANK, " ").encode()
     for b, i in enumerate(byte_ids):
         surfaces[i] = bytes([b])
-    return {"score": score, "ids": pieces, "bytes": byte_ids, "surfaces": surfaces}
+    return {"score": score, "ids": pieces, "bytes": byte_ids, "surfaces": surfaces, "key": hashlib.sha256(proto.SerializeToString()).hexdigest()}
 
 
 def merge(chars: str, score: dict[str, float], last: list | None = None) -> list[str]:
@@ -182,7 +182,7 @@ class Transducer:
         return out
 
     def _paths(self, words: list[str]) -> list[bytes]:
-        """Shortest paths of many short words at once."""
+        """Shortest paths of many short words at once; the words are ordered by length."""
         size = np.array([len(w) for w in words])
         top, n = int(size.max()), len(words)
         chars = np.zeros((n, top), dtype=np.uint64)
@@ -197,29 +197,48 @@ class Transducer:
         length = np.zeros((n, top + 1), dtype=np.int64)
         state[:, 0] = BARRIER
         for i in range(1, top + 1):
-            live = np.flatnonzero(size >= i)
-            spans = np.arange(1, min(self.longest, i) + 1)
-            h = prefix[live, i][:, None] - prefix[live][:, i - spans] * self.powers[spans][None, :]
-            piece = self._pieces(h.ravel()).reshape(h.shape)
-            before = state[live][:, i - spans]
-            r, c = np.nonzero((piece >= 0) & (before != NOWHERE))
-            p, q = before[r, c], piece[r, c]
+            lo, m = int(np.searchsorted(size, i)), min(self.longest, i)
+            h = prefix[lo:, i, None] - prefix[lo:, i - m : i][:, ::-1] * self.powers[1 : m + 1]
+            piece = self._pieces(h.ravel())
+            before = state[lo:, i - m : i][:, ::-1]
+            at = np.flatnonzero(piece >= 0)
+            r, c, q = at // m, at % m, piece[at]
+            p = before[r, c]
             ok = p == BARRIER
-            inner = np.flatnonzero(~ok)
+            inner = np.flatnonzero(p >= 0)
             ok[inner] = self.allowed(p[inner], q[inner])
-            r, c, q = r[ok], c[ok], q[ok]
-            state[live[r], i], length[live[r], i] = q, spans[c]
-            lost = live[state[live, i] == NOWHERE]
-            lone = lost[~np.isin(chars[lost, i - 1], self._known_codes())]
+            r, c, q = r[ok] + lo, c[ok], q[ok]
+            state[r, i], length[r, i] = q, c + 1
+            lost = lo + np.flatnonzero(state[lo:, i] == NOWHERE)
+            lone = lost[~np.isin(chars[lost, i - 1], self._known_codes())] if len(lost) else lost
             state[lone, i], length[lone, i] = BARRIER, 1
-        out = []
-        for k, w in enumerate(words):
+        # back from the ends of all words at once; words with bytes in their path are walked alone
+        at, step, who, piece = size.copy(), [], [], []
+        plain = ~((state[:, 1:] < 0) & (np.arange(1, top + 1)[None, :] <= size[:, None])).any(axis=1)
+        slow = np.flatnonzero(~plain)
+        live = np.flatnonzero(plain)
+        while len(live):
+            who.append(live)
+            step.append(np.full(len(live), len(step)))
+            piece.append(state[live, at[live]])
+            at[live] -= length[live, at[live]]
+            live = live[at[live] > 0]
+        ids = np.zeros(0, dtype="<i4")
+        if who:
+            who, step, piece = np.concatenate(who), np.concatenate(step), np.concatenate(piece)
+            order = np.lexsort((-step, who))
+            who, ids = who[order], self.out[piece[order]]
+        ends = np.searchsorted(who, np.arange(n + 1)) * 4 if len(ids) else np.zeros(n + 1, dtype=np.int64)
+        raw = ids.tobytes()
+        out = [raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        for k in slow.tolist():
+            w = words[k]
             i, path, st, ln = len(w), [], state[k], length[k]
             while i > 0:
                 s = int(st[i])
                 path.append(self.out_bytes[s] if s >= 0 else self._as_bytes(w[i - 1]))
                 i -= int(ln[i]) if s != NOWHERE else 1
-            out.append(b"".join(reversed(path)))
+            out[k] = b"".join(reversed(path))
         return out
 
     def _known_codes(self) -> np.ndarray:
@@ -356,6 +375,11 @@ class Transducer:
         return b"".join(map(self.model["surfaces"].__getitem__, ids)).decode(errors="replace")[1 if ids else 0 :]
 
 
+def transducer(model: dict) -> Transducer:
+    """The transducer of a model, one for each process: later tasks of a worker find it, and the words it has seen."""
+    return per_process(f"sentencepiece:{model['key']}", lambda: Transducer(model))
+
+
 def encode(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), path: str | None = None) -> DataFrame:
     """The columns in keep and ids, the encoding of text, with n_tokens and round_trip (decoding gives the text back)."""
     model = compile_model(path)
@@ -365,7 +389,7 @@ def encode(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), path: str | Non
     schema = StructType([*wanted.schema.fields[:-1], StructField("ids", ArrayType(IntegerType())), StructField("n_tokens", LongType()), StructField("round_trip", BooleanType())])
 
     def run(batches):
-        fst = Transducer(model)
+        fst = transducer(model)
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
@@ -400,7 +424,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = compile_model()
 
     def make():
-        fst = Transducer(model)
+        fst = transducer(model)
 
         def run(b: pa.RecordBatch) -> dict:
             out = {c: [] for c in ("doc_id", "n_tokens", "ids_sha256", "text_sha256", "round_trip")}
