@@ -150,7 +150,7 @@ def _ordered(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rows, new_c, np.bincount(group[new_c], minlength=group[-1] + 1 if len(rows) else 0)[group] if len(rows) else np.zeros(0, np.int64)
 
 
-def _settle_locally(rows: np.ndarray, buckets: int) -> pa.Table:
+def _settle_locally(rows: np.ndarray, buckets: int, docs: int) -> pa.Table:
     """What a map task sends: one row for each of its contexts; the other copies are covered."""
     rows, first, contexts = _ordered(rows)
     hot = contexts > HOT
@@ -159,8 +159,8 @@ def _settle_locally(rows: np.ndarray, buckets: int) -> pa.Table:
     direct = direct.copy()
     rest = np.concatenate([rest, marks])
     rest["k"][len(rest) - len(marks) :] = MARK
-    found = _deal(_ranges(cover), cover["t"].astype(np.int64) % buckets, COVER)
-    found += _deal(_wanted(direct, BY_WINDOW), direct["t"].astype(np.int64) % buckets, BY_WINDOW)
+    found = _deal(_ranges(cover), cover["t"].astype(np.int64) % docs, COVER)
+    found += _deal(_wanted(direct, BY_WINDOW), direct["t"].astype(np.int64) % docs, BY_WINDOW)
     return _blobs(found + _deal(rest, _spread(rest["h"], buckets), FIRST))
 
 
@@ -172,7 +172,7 @@ def _wanted(rows: np.ndarray, kind: int) -> np.ndarray:
     return out
 
 
-def _by_gram(buckets: int):
+def _by_gram(docs: int):
     """Step 1 for a bucket of GRAM hashes: blobs, by bucket of documents, of ranges and of contexts to look at."""
 
     def run(t: pa.Table) -> pa.Table:
@@ -184,8 +184,8 @@ def _by_gram(buckets: int):
         want = np.concatenate([_wanted(windows, BY_WINDOW), _wanted(context, BY_CONTEXT)])
         passed = zip(t["bucket"].to_pylist(), t["kind"].to_pylist(), t["rows"].to_pylist(), strict=True)
         found = [(b, COVER if k == COVER else BY_CONTEXT, r) for b, k, r in passed if k in (COVER, BY_WINDOW)]
-        found += _deal(_ranges(cover), cover["t"].astype(np.int64) % buckets, COVER)
-        return _blobs(found + _deal(want, want["t"].astype(np.int64) % buckets, BY_CONTEXT))
+        found += _deal(_ranges(cover), cover["t"].astype(np.int64) % docs, COVER)
+        return _blobs(found + _deal(want, want["t"].astype(np.int64) % docs, BY_CONTEXT))
 
     return run
 
@@ -202,7 +202,7 @@ def _documents(docs: pa.Table) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     return docs["d"].to_numpy(), docs["t"].to_numpy().astype(np.uint32), [x or b"" for x in docs["text"].combine_chunks().cast(pa.binary()).to_pylist()]
 
 
-def _fetch(buckets: int):
+def _fetch(buckets: int, n_docs: int):
     """Step 2 for a bucket of documents: the bytes of the wanted contexts, and the windows of hot ones."""
 
     def run(docs: pa.Table, blobs: pa.Table) -> pa.Table:
@@ -241,7 +241,7 @@ def _fetch(buckets: int):
             order = np.lexsort((rows["s"], rows["t"], rows["d"], h))
             h, rows = h[order], rows[order]
             first = np.r_[True, h[1:] != h[:-1]]
-            found += _deal(rows[~first], rows["t"][~first].astype(np.int64) % buckets, COVER)
+            found += _deal(rows[~first], rows["t"][~first].astype(np.int64) % n_docs, COVER)
             keyed = np.zeros(first.sum(), dtype=WINDOWED)
             keyed["h"], keyed["row"] = h[first], rows[first]
             found += _deal(keyed, _spread(keyed["h"], buckets), BY_WINDOW)
@@ -331,7 +331,7 @@ def _by_place(rows: np.ndarray) -> np.ndarray:
     return rows[np.lexsort((rows["p"], rows["t"], rows["d"]))]
 
 
-def _by_context(buckets: int):
+def _by_context(docs: int):
     """Step 2 for a bucket of GRAM hashes, step 3 for a bucket of window hashes: ranges by bucket of documents."""
 
     def run(t: pa.Table) -> pa.Table:
@@ -344,13 +344,13 @@ def _by_context(buckets: int):
             _, hi = np.nonzero(edges == -1)
             out = np.zeros(len(i), dtype=RANGE)
             out["d"], out["t"], out["s"], out["e"] = rows["d"][i], rows["t"][i], rows["p"][i] - (hi - 1), rows["p"][i] - lo
-            found += _deal(out, out["t"].astype(np.int64) % buckets, COVER)
+            found += _deal(out, out["t"].astype(np.int64) % docs, COVER)
         windows = _joined(t, BY_WINDOW, WINDOWED)
         if len(windows):
             place = windows["row"]
             windows = windows[np.lexsort((place["s"], place["t"], place["d"], windows["h"]))]
             again = windows["row"][np.r_[False, windows["h"][1:] == windows["h"][:-1]]]
-            found += _deal(again, again["t"].astype(np.int64) % buckets, COVER)
+            found += _deal(again, again["t"].astype(np.int64) % docs, COVER)
         return _blobs(found)
 
     return run
@@ -394,10 +394,11 @@ def _remove(docs: pa.Table, blobs: pa.Table) -> pa.Table:
 
 def duplicate_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans) of every row; spans: removed byte ranges, start and end in turn."""
-    buckets = buckets or 2 * shuffle_width(docs.sparkSession)
+    width = shuffle_width(docs.sparkSession)
+    buckets, doc_buckets = buckets or 2 * width, buckets or width
     whole = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("d"), F.col(text).cast("string").alias("text"))
     marked = whole.select("d", F.xxhash64("d", "text").bitwiseAND(F.lit(0xFFFFFFFF)).alias("t"), "text")
-    placed = marked.withColumn("bucket", F.col("t") % buckets)
+    placed = marked.withColumn("bucket", F.col("t") % doc_buckets)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors, held, n = Anchors(), [], 0
@@ -411,16 +412,16 @@ def duplicate_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 held.append(rows)
                 n += len(rows)
                 if n > FLUSH:
-                    yield from _settle_locally(np.concatenate(held), buckets).to_batches()
+                    yield from _settle_locally(np.concatenate(held), buckets, doc_buckets).to_batches()
                     held, n = [], 0
         if n:
-            yield from _settle_locally(np.concatenate(held), buckets).to_batches()
+            yield from _settle_locally(np.concatenate(held), buckets, doc_buckets).to_batches()
 
     anchors = marked.mapInArrow(find, BLOBS)
-    settled = cut_lineage(anchors.groupBy("bucket").applyInArrow(_by_gram(buckets), BLOBS))
+    settled = cut_lineage(anchors.groupBy("bucket").applyInArrow(_by_gram(doc_buckets), BLOBS))
     wanted = settled.where(F.col("kind") == BY_CONTEXT)
-    fetched = placed.groupBy("bucket").cogroup(wanted.groupBy("bucket")).applyInArrow(_fetch(buckets), BLOBS)
-    ranges = fetched.groupBy("bucket").applyInArrow(_by_context(buckets), BLOBS).union(settled.where(F.col("kind") == COVER))
+    fetched = placed.groupBy("bucket").cogroup(wanted.groupBy("bucket")).applyInArrow(_fetch(buckets, doc_buckets), BLOBS)
+    ranges = fetched.groupBy("bucket").applyInArrow(_by_context(doc_buckets), BLOBS).union(settled.where(F.col("kind") == COVER))
     out = placed.groupBy("bucket").cogroup(ranges.groupBy("bucket")).applyInArrow(_remove, "d long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
     return out.select(F.nullif("d", F.lit(NULL_ID)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
 
