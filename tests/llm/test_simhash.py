@@ -108,3 +108,51 @@ def test_compare_finds_all_links(n):
             break
         lab = new
     assert [int(root.get(int(f), int(f))) for f in fps] == [int(fps[i]) for i in lab]
+
+
+def jaccard(a, b, n=5):
+    x, y = (set(simhash.shingles(t.encode(), n)) for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_keep_first_catches_one_word_edits(spark):
+    """One-word edits have a similarity of 0.8 or more; a copy with many edits has less and stays."""
+    rng = np.random.default_rng(3)
+    texts, copies = [], []
+    for n in (60, 100, 400):
+        for _ in range(40):
+            words = [f"w{k}" for k in rng.integers(0, 50_000, n)]
+            texts.append(" ".join(words))
+            words[n // 2] = "changed"
+            copies.append(" ".join(words))
+    far = " ".join("other" if k % 12 == 5 else w for k, w in enumerate(texts[-1].split()))
+    assert all(jaccard(a, b) >= 0.8 for a, b in zip(texts, copies, strict=True)) and jaccard(texts[-1], far) < 0.8
+    rows = list(enumerate(texts)) + [(1000 + i, t) for i, t in enumerate(copies)] + [(5000, far)]
+    kept = {r.doc_id for r in simhash.keep_first(docs(spark, rows)).collect()}
+    assert kept == set(range(len(texts))) | {5000}
+
+
+def test_keep_first_of_a_chain(spark):
+    """A chain of edits is one group, whichever links it has; a large one too."""
+    words = [f"c{k}" for k in range(200)]
+    rows = []
+    for k in range(60):
+        words[3 * k] = f"new{k}"
+        rows.append((100 - k, " ".join(words)))
+    assert jaccard(rows[0][1], rows[-1][1]) < 0.2
+    assert [r.doc_id for r in simhash.keep_first(docs(spark, rows)).collect()] == [41]
+
+
+def test_keep_first_on_the_given_documents(spark):
+    """The components of all pairs of similarity 0.8 or more."""
+    rows = [(r.doc_id, r.text) for r in small(spark).collect()]
+    sets = [set(simhash.shingles((t or "").encode(), 5)) for _, t in rows]
+    root = list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            a, b = root[i], root[j]
+            root = [min(a, b) if r in (a, b) else r for r in root]
+    least = {}
+    for r, (i, _) in zip(root, rows, strict=True):
+        least[r] = min(least.get(r, i), i)
+    assert {r.doc_id for r in simhash.keep_first(small(spark)).collect()} == set(least.values())

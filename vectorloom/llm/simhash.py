@@ -9,6 +9,12 @@ anchor compares its home fingerprints with its replicas. Only distinct fingerpri
 many fingerprints is not compared pairwise: two words are within two bits exactly if a single-bit change (or
 none) of both gives the same word, so equal variants are joined by sorting, in linear time.
 
+The pipeline's near-dedup stage (keep_first) has a rule of its own, since two bits are far fewer than what a
+Jaccard similarity of 0.8 leaves apart: texts are linked whose sets of word shingles have a similarity of at
+least SIMILAR. Candidates meet in BANDS buckets of ROWS min-hashes each (a pair at exactly 0.8 shares none with
+probability (1 - 0.8 ** 4) ** 28, 4 in ten million), and every link is verified on the sets themselves, within the bucket, so a
+candidate of less similarity is never dropped.
+
 Nulls and empty texts have fingerprint zero and are linked like any other; rows that repeat a doc_id get one
 result row each; a null doc_id never becomes a component_id unless all members have none.
 """
@@ -23,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vectorloom.llm.common import fresh, map_rows, raw_texts, table
+from vectorloom.llm.common import fresh, map_rows, mixed, raw_texts, table
 from vectorloom.plans.components import connected_components, label_components
 from vectorloom.runtime import cut_lineage, shuffle_width
 
@@ -31,23 +37,30 @@ GOLAY = 0xAE3
 BITS, RADIUS, DISTANCE = 23, 3, 2
 MASK = (1 << BITS) - 1
 PAIRWISE = 1500
+SIMILAR, BANDS, ROWS = (4, 5), 28, 4
 
 
-def fingerprint(text: bytes | None, shingle: int = 3) -> int:
-    """64-bit SimHash of the word shingles of a text given as UTF-8 bytes."""
+def shingles(text: bytes | None, shingle: int) -> list[int]:
+    """Hashes of the word shingles of a text given as UTF-8 bytes; a shorter text is one shingle, an empty one none."""
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return []
     if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), 42)]
-    else:
-        ends, at = [], -1
-        for w in words:
-            at += len(w) + 1
-            ends.append(at)
-        line, digest = b" ".join(words), xxhash.xxh64_intdigest
-        starts = [0, *(e + 1 for e in ends[:-shingle])]
-        hashes = [digest(line[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :], strict=True)]
+        return [xxhash.xxh64_intdigest(b" ".join(words), 42)]
+    ends, at = [], -1
+    for w in words:
+        at += len(w) + 1
+        ends.append(at)
+    line, digest = b" ".join(words), xxhash.xxh64_intdigest
+    starts = [0, *(e + 1 for e in ends[:-shingle])]
+    return [digest(line[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :], strict=True)]
+
+
+def fingerprint(text: bytes | None, shingle: int = 3) -> int:
+    """64-bit SimHash of the word shingles of a text given as UTF-8 bytes."""
+    hashes = shingles(text, shingle)
+    if not hashes:
+        return 0
     bits = np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     ones = bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes)
     return int(np.packbits(ones, bitorder="little").view("<u8")[0])
@@ -214,14 +227,132 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+_TURNS = np.random.default_rng(20).integers(0, 1 << 63, (BANDS * ROWS, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def bands(grams: np.ndarray) -> np.ndarray:
+    """Bucket keys of a set of shingle hashes: one for each band of min-hashes."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for i in range(0, len(grams), 4096):
+        np.minimum(least, (grams[None, i : i + 4096] * _TURNS[:, :1] + _TURNS[:, 1:]).min(axis=1), out=least)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for row in least.reshape(BANDS, ROWS).T:
+        key = mixed(key * np.uint64(0x100000001B3) + row)
+    return key
+
+
+def _buckets(table: pa.Table) -> pa.Table:
+    """(bucket, node) of the buckets with several nodes; buckets of the same nodes count once."""
+    key = np.concatenate([np.frombuffer(b, "<u8") for b in table["keys"].to_pylist()])
+    node = np.concatenate([np.frombuffer(b, "<u8") for b in table["nodes"].to_pylist()])
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    new = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
+    key, node = key[new], node[new]
+    cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+    name = np.add.reduceat(mixed(node ^ np.uint64(0x9E3779B97F4A7C15)), cuts[:-1])
+    live = np.flatnonzero(np.diff(cuts) > 1)
+    live = live[np.unique(name[live], return_index=True)[1]]
+    row, at = _ragged(cuts[:-1][live], cuts[1:][live])
+    return pa.table({"bucket": pa.array(name[live][row].view(np.int64)), "node": pa.array(node[at].view(np.int64))})
+
+
+def _similar(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
+    """Links that span the components of some sets: every set not reached yet is compared with every set reached."""
+    size = np.array([len(s) for s in sets])
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    first = np.r_[0, np.cumsum(size)]
+    left, mark, a, b = np.arange(len(sets)), np.zeros(code.max() + 1, dtype=bool), [], []
+    while len(left) > 1:
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            x = queue.pop()
+            may = left[SIMILAR[1] * np.minimum(size[left], size[x]) >= SIMILAR[0] * np.maximum(size[left], size[x])]
+            if not len(may):
+                continue
+            mine = code[first[x] : first[x + 1]]
+            mark[mine] = True
+            row, at = _ragged(first[may], first[may + 1])
+            shared = np.bincount(row[mark[code[at]]], minlength=len(may))
+            mark[mine] = False
+            near = may[sum(SIMILAR) * shared >= SIMILAR[0] * (size[may] + size[x])]
+            a += [x] * len(near)
+            b += near.tolist()
+            queue += near.tolist()
+            left = np.setdiff1d(left, near, assume_unique=True)
+    return a, b
+
+
+def _verify(table: pa.Table) -> pa.Table:
+    bucket = table["bucket"].to_numpy()
+    order = np.argsort(bucket, kind="stable")
+    node, grams = table["node"].to_numpy(), table["grams"].combine_chunks()
+    cuts = np.flatnonzero(np.r_[True, bucket[order][1:] != bucket[order][:-1], True])
+    src, dst = [], []
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        at = order[lo:hi]
+        a, b = _similar([np.frombuffer(grams[int(i)].as_buffer(), "<u4") for i in at])
+        src.append(node[at[a]])
+        dst.append(node[at[b]])
+    none = [np.empty(0, np.int64)]
+    return pa.table({"src": pa.array(np.concatenate(none + src)), "dst": pa.array(np.concatenate(none + dst))})
+
+
+def similar_components(marked: DataFrame) -> DataFrame:
+    """(node, component) of the nodes (node, keys, grams; repeated rows count once) that are similar to another."""
+    spark = marked.sparkSession
+    parts, finer = 2 * shuffle_width(spark), 4 * shuffle_width(spark)
+
+    def deal():
+        def run(batch: pa.RecordBatch) -> dict | None:
+            node, at = np.unique(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), return_index=True)
+            key = np.concatenate([np.frombuffer(batch.column(1)[int(i)].as_buffer(), "<u8") for i in at])
+            node = np.repeat(node, BANDS)
+            part = (key % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            cuts = np.searchsorted(part[order], np.arange(parts + 1))
+            kept = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
+            key, node = key[order], node[order]
+            return {"part": kept, "keys": [key[cuts[p] : cuts[p + 1]].tobytes() for p in kept], "nodes": [node[cuts[p] : cuts[p + 1]].tobytes() for p in kept]}
+
+        return run
+
+    blobs = map_rows(marked.where("node <> 0").select("node", "keys"), deal, "part int, keys binary, nodes binary")
+    members = cut_lineage(blobs.groupBy("part").applyInArrow(_buckets, "bucket long, node long").distinct())
+    sets = marked.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("grams").alias("grams"))
+    met = members.join(sets, "node").withColumn("part", F.pmod(F.xxhash64("bucket"), F.lit(finer)))
+    return connected_components(met.groupBy("part").applyInArrow(_verify, "src long, dst long"))
+
+
+def _sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, h, node, keys, grams) of every row: node is a hash of the set of shingles, 0 for the empty one."""
+
+    def make():
+        def run(batch: pa.RecordBatch) -> dict:
+            node, keys, grams = [], [], []
+            for t in raw_texts(batch.column(1)):
+                s = np.unique(np.array(shingles(t, shingle), dtype=np.uint64))
+                node.append(_signed(xxhash.xxh64_intdigest(s.tobytes(), 7)) if len(s) else 0)
+                keys.append(bands(s).tobytes() if len(s) else b"")
+                grams.append(np.unique((s >> np.uint64(32)).astype("<u4")).tobytes())
+            return {"doc_id": batch.column(0), "h": batch.column(2), "node": node, "keys": keys, "grams": grams}
+
+        return run
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text")).alias("h"))
+    return cut_lineage(map_rows(rows, make, "doc_id long, h long, node long, keys binary, grams binary"))
+
+
 def keep_first(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """One row of each near-duplicate component, columns unchanged: the smallest doc_id (null last), then the smallest text hash.
+    """One row of each component of similar texts (Jaccard similarity of shingles), columns unchanged: the smallest doc_id (null last), then the smallest text hash.
 
     Of rows that repeat both, the one with the smallest other columns stays.
     """
-    marked, named = _classes(docs, "doc_id", "text", shingle)
+    marked = _sets(docs, shingle)
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("h").alias("h"))
-    best = marked.join(named, "fp").groupBy("component").agg(F.min(order).alias("m"))
+    linked = similar_components(marked)
+    named = marked.select("node", "doc_id", "h").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    best = named.groupBy("component").agg(F.min(order).alias("m"))
     d, h, r = fresh(docs, "__d"), fresh(docs, "__h"), fresh(docs, "__r")
     none = F.lit(-(1 << 63))
     chosen = best.select(F.coalesce("m.d", none).alias(d), F.col("m.h").alias(h))
