@@ -97,3 +97,20 @@ def test_odd_rows(spark):
     assert kept.columns == table.columns and kept.count() == len(ODD)
     assert D.contaminations(docs(spark, []), items).collect() == [] and D.contaminations(table, items.where("false")).collect() == []
     assert D.uncontaminated(table, items.where("false")).count() == len(rows)
+
+
+CITIES = "Rank Vienna, Budapest, Prague, Warsaw, Berlin, Rome, Madrid, Lisbon, Paris, London, Dublin, Oslo, Helsinki by population."
+GERMAN = "Welche Stadt liegt am Fluss mit der Burg auf dem Berg und dem Markt vor dem Tor am See im Land der Wiesen?"
+
+
+def found(spark, rows, items):
+    return {(r.doc_id, r.item_id) for r in D.contaminations(docs(spark, rows), bench(spark, items)).collect()}
+
+
+def test_both_ways_on_null_and_repeated_ids(spark, monkeypatch):
+    rows = [(None, ITEM), (None, "clean words that hold nothing of the kind"), (7, ITEM), (7, ITEM), (7, "another clean text under the same id"), (8, ITEM + " again"), (9, None)]
+    table, items = docs(spark, rows), bench(spark, [(10, ITEM), (10, ITEM), (None, ITEM), (11, None)])
+    here, kept = result(D.contaminations(table, items)), rows_of(D.uncontaminated(table, items))
+    monkeypatch.setattr(D, "MAX_BROADCAST_ITEMS", 0)
+    assert result(D.contaminations(table, items)) == here
+    assert rows_of(D.uncontaminated(table, items)) == kept and len(kept) == 3

@@ -8,8 +8,16 @@ consistency: over the tokens they cover, each original slot value must stand for
 the reverse. A document is contaminated by an item if consistent hits cover at least NEED_TOKENS of the item's
 tokens, or NEED_SHARE of a shorter item.
 
+Pairs that this rule does not find are looked for in two more streams of tokens. The literal one has the
+lower-cased tokens themselves, without placeholders, slot checks or a minimum of literals (lists of names,
+copies in another case). The folded one has one placeholder for a number with separators or decimals and one
+for a run of names, so values of another token count keep their place. In both, diagonals of an item within
+DRIFT tokens are added up (inserted and left-out words); items of WINDOW to SHORT - 1 tokens are
+met by windows of MIN_TOKENS there, and need WINDOW covered tokens at least. Counts are in tokens of the item.
+An item whose canonical hits are enough but inconsistent is found only by NEED_TOKENS literal tokens.
+
 The benchmark side is broadcast only behind a check of its number of tokens (MAX_BROADCAST_TOKENS); beyond it,
-the windows of both sides are joined by a shuffle on their hash. Items of fewer than WINDOW tokens match as a whole if they have
+pairs of texts with a common window are found by a shuffle on its hash and judged by the same code. Items of fewer than WINDOW tokens match as a whole if they have
 at least MIN_TOKENS; shorter ones (and null or empty texts) match nothing. Windows need MIN_LITERALS tokens
 that are no placeholders. Repeated rows and items give repeated results.
 """
@@ -21,11 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorloom.llm.common import Powers, map_rows, mixed, table
+from vectorloom.llm.common import Powers, fresh, map_rows, mixed, table
 from vectorloom.runtime import fits
 
 WINDOW, MIN_TOKENS, MIN_LITERALS = 8, 5, 4
 NEED_TOKENS, NEED_SHARE = 20, 0.6
+DRIFT, SHORT = 8, 20
 MAX_BROADCAST_TOKENS = 2_000_000
 MAX_BROADCAST_ITEMS = 100_000
 PIECE = 1 << 20
@@ -57,22 +66,22 @@ class Tokens:
         end = np.flatnonzero(inside & ~after) + 1
         return start, end, self.powers.ranges(self.powers.prefix(low), start, end)
 
-    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text number, raw hash, canonical hash) of all tokens of some texts, in order."""
-        rows, raws, canons = [], [], []
+    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text number, raw hash, canonical hash, whether it goes on with the slot before) of all tokens of some texts, in order."""
+        rows, raws, canons, joins = [], [], [], []
         group, size = [], 0
         for i, t in enumerate(texts):
             for piece in self._pieces(t):
                 group.append((i, piece))
                 size += len(piece)
                 if size >= PIECE:
-                    self._add(group, rows, raws, canons)
+                    self._add(group, rows, raws, canons, joins)
                     group, size = [], 0
         if group:
-            self._add(group, rows, raws, canons)
+            self._add(group, rows, raws, canons, joins)
         if not rows:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        return np.concatenate(rows), np.concatenate(raws), np.concatenate(canons)
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)
+        return np.concatenate(rows), np.concatenate(raws), np.concatenate(canons), np.concatenate(joins)
 
     @staticmethod
     def _pieces(text: bytes):
@@ -86,7 +95,7 @@ class Tokens:
             yield text[at:end]
             at = end
 
-    def _add(self, group: list[tuple[int, bytes]], rows: list, raws: list, canons: list) -> None:
+    def _add(self, group: list[tuple[int, bytes]], rows: list, raws: list, canons: list, joins: list) -> None:
         raw = b"".join(p for _, p in group)
         low = raw.decode(errors="replace").lower().encode()
         if len(low) != len(raw):
@@ -117,6 +126,29 @@ class Tokens:
         rows.append(np.array([i for i, _ in group])[piece])
         raws.append(h)
         canons.append(canon)
+        gap = a[np.minimum(last, len(a) - 1)]
+        beside = ~first & (start - last == 1)
+        digits = number & np.r_[False, number[:-1]] & ((gap == 44) | (gap == 46))
+        names = (canon == NAME) & np.r_[False, canon[:-1] == NAME] & (gap == 32)
+        joins.append(beside & (digits | names))
+
+
+class Stream:
+    """Tokens to be matched: text number, key in windows, value, whether it is a slot, tokens of the text that it stands for."""
+
+    def __init__(self, row: np.ndarray, key: np.ndarray, value: np.ndarray, slots: bool, weight: np.ndarray | None = None):
+        self.row, self.key, self.value, self.literals = row, key, value, MIN_LITERALS if slots else 0
+        self.slot = np.isin(key, (NUMBER, NAME, UNIT)) & slots
+        self.weight = np.ones(len(row), np.int64) if weight is None else weight
+
+
+def streams(row: np.ndarray, raw: np.ndarray, canon: np.ndarray, joins: np.ndarray) -> list[Stream]:
+    """The canonical, the literal and the folded stream."""
+    start = np.flatnonzero(~joins)
+    weight = np.diff(np.r_[start, len(row)])
+    place = np.arange(len(row)) - np.repeat(start, weight)
+    value = np.add.reduceat(np.where(place > 0, mixed(raw + place.astype(np.uint64)), raw), start) if len(start) else raw
+    return [Stream(row, canon, raw, True)]
 
 
 def _window_hashes(canon: np.ndarray, n: int) -> np.ndarray:
@@ -126,14 +158,28 @@ def _window_hashes(canon: np.ndarray, n: int) -> np.ndarray:
     return mixed(out)
 
 
-def windows(row: np.ndarray, canon: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def windows(of: Stream, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(position, hash) of the windows of n tokens within one text that have enough literal tokens."""
-    if len(canon) < n:
+    row = of.row
+    if len(row) < n:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    literal = np.r_[0, np.cumsum(~np.isin(canon, (NUMBER, NAME, UNIT)))]
-    ok = (row[: len(row) - n + 1] == row[n - 1 :]) & (literal[n:] - literal[:-n] >= min(n, MIN_LITERALS))
+    literal = np.r_[0, np.cumsum(~of.slot)]
+    ok = (row[: len(row) - n + 1] == row[n - 1 :]) & (literal[n:] - literal[:-n] >= min(n, of.literals))
     at = np.flatnonzero(ok)
-    return at, _window_hashes(canon, n)[at]
+    return at, _window_hashes(of.key, n)[at]
+
+
+def item_windows(of: Stream, size: np.ndarray, loose: bool) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By their length: windows that stand for items, which have size tokens of the stream each."""
+    out = {}
+    for n in range(MIN_TOKENS, WINDOW + 1):
+        at, h = windows(of, n)
+        mine = size[of.row[at]]
+        short = loose & (mine >= WINDOW) & (mine < SHORT)
+        keep = np.where(short, n == MIN_TOKENS, (mine == n) | ((n == WINDOW) & (mine > n)))
+        if keep.any():
+            out[n] = at[keep], h[keep]
+    return out
 
 
 def _first_of(row: np.ndarray, n: int) -> np.ndarray:
@@ -145,31 +191,29 @@ class Benchmark:
 
     def __init__(self, items: list[tuple[int, bytes]]):
         self.ids = [i for i, _ in items]
-        row, self.raw, self.canon = Tokens().of([t for _, t in items])
-        self.first = _first_of(row, len(items))
-        size = np.diff(self.first)
-        self.size = size
-        self.tables = {}
-        for n in range(MIN_TOKENS, WINDOW + 1):
-            at, h = windows(row, self.canon, n)
-            if n < WINDOW:
-                at, h = at[size[row[at]] == n], h[size[row[at]] == n]
-            if len(at):
+        row, *rest = Tokens().of([t for _, t in items])
+        self.size = np.diff(_first_of(row, len(items)))
+        self.streams = streams(row, *rest)
+        self.tables = []
+        for k, of in enumerate(self.streams):
+            held = {}
+            for n, (at, h) in item_windows(of, np.diff(_first_of(of.row, len(items))), k > 0).items():
                 order = np.argsort(h, kind="stable")
                 bits = np.zeros(1 << 20, dtype=bool)
                 bits[(h & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-                self.tables[n] = (h[order], at[order], row[at[order]], bits)
+                held[n] = (h[order], at[order], of.row[at[order]], bits)
+            self.tables.append(held)
 
-    def hits(self, row: np.ndarray, canon: np.ndarray) -> dict[int, list[tuple[int, int, int, int]]]:
-        """By text number: (item number, token in the text, token in the item, window size), counted from their starts in the arrays."""
+    def hits(self, k: int, of: Stream) -> dict[int, list[tuple[int, int, int, int]]]:
+        """By text number, in stream k: (item number, token in the text, token in the item, window size), counted from their starts in the arrays."""
         out: dict[int, list] = {}
-        for n, (h, at, item, bits) in self.tables.items():
-            pos, found = windows(row, canon, n)
+        for n, (h, at, item, bits) in self.tables[k].items():
+            pos, found = windows(of, n)
             maybe = np.flatnonzero(bits[(found & np.uint64((1 << 20) - 1)).astype(np.int64)])
             lo, hi = np.searchsorted(h, found[maybe], "left"), np.searchsorted(h, found[maybe], "right")
             for m, a, b in zip(maybe[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
-                for k in range(a, b):
-                    out.setdefault(int(row[pos[m]]), []).append((int(item[k]), int(pos[m]), int(at[k]), n))
+                for j in range(a, b):
+                    out.setdefault(int(of.row[pos[m]]), []).append((int(item[j]), int(pos[m]), int(at[j]), n))
         return out
 
 
@@ -190,28 +234,73 @@ def _verdict(size: int, pairs: np.ndarray) -> tuple[int, int] | None:
 PAIR = np.dtype([("at", "<i8"), ("item", "<u8"), ("text", "<u8"), ("slot", "?")])
 
 
-def judge(hits: list[tuple[int, int, int, int]], raw: np.ndarray, bench: Benchmark) -> list[tuple[int, int, int]]:
-    """(item number, covered tokens, slots) of the items that contaminate a text, by its hits."""
+def judge(hits: list[tuple[int, int, int, int]], raw: np.ndarray, bench: Benchmark) -> tuple[dict[int, tuple[int, int]], set[int]]:
+    """By item number: (covered tokens, slots) of the items that contaminate a text, by its hits in the canonical stream; items with enough hits that are all inconsistent."""
+    of = bench.streams[0]
     lines: dict[tuple[int, int], list] = {}
     for item, p, q, n in hits:
         lines.setdefault((item, p - q), []).append((q, n))
     best: dict[int, tuple[int, int]] = {}
+    refused = set()
     for (item, shift), found in lines.items():
         at = np.unique(np.concatenate([np.arange(q, q + n) for q, n in found]))
         pairs = np.zeros(len(at), dtype=PAIR)
-        pairs["at"], pairs["item"], pairs["text"] = at, bench.raw[at], raw[at + shift]
-        pairs["slot"] = np.isin(bench.canon[at], (NUMBER, NAME, UNIT))
+        pairs["at"], pairs["item"], pairs["text"], pairs["slot"] = at, of.value[at], raw[at + shift], of.slot[at]
         if got := _verdict(int(bench.size[item]), pairs):
             best[item] = max(best.get(item, (0, 0)), got)
-    return [(i, *best[i]) for i in sorted(best)]
+        elif len(at) >= min(NEED_TOKENS, int(np.ceil(NEED_SHARE * bench.size[item]))):
+            refused.add(item)
+    return best, refused - set(best)
+
+
+def judge_loosely(hits: list[tuple[int, int, int, int]], value: np.ndarray, bench: Benchmark, k: int) -> dict[int, tuple[int, int]]:
+    """The same in stream k, with diagonals of an item within DRIFT tokens added up; of two for one token the longer one counts."""
+    of = bench.streams[k]
+    lines: dict[int, dict[int, set[int]]] = {}
+    for item, p, q, n in hits:
+        lines.setdefault(item, {}).setdefault(p - q, set()).update(range(q, q + n))
+    best: dict[int, tuple[int, int]] = {}
+    for item, found in lines.items():
+        size = int(bench.size[item])
+        need = min(NEED_TOKENS, int(np.ceil(NEED_SHARE * size)))
+        need = max(need, WINDOW) if size >= WINDOW else need
+        shifts = sorted(found)
+        end = last = 0
+        for i, shift in enumerate(shifts):
+            while end < len(shifts) and shifts[end] <= shift + DRIFT:
+                end += 1
+            if i and end == last:
+                continue  # a part of the group before
+            last, cover = end, {}
+            for d in sorted(shifts[i:end], key=lambda d: (-len(found[d]), d)):
+                for q in found[d]:
+                    cover.setdefault(q, d)
+            at = np.array(sorted(cover))
+            total, slot = int(of.weight[at].sum()), of.slot[at]
+            if total < need:
+                continue
+            there = at + np.array([cover[q] for q in at.tolist()])
+            slots = set(zip(of.value[at[slot]].tolist(), value[there[slot]].tolist(), strict=True))
+            if len({a for a, _ in slots}) == len(slots) == len({b for _, b in slots}):
+                best[item] = max(best.get(item, (0, 0)), (total, int(of.weight[at[slot]].sum())))
+    return best
 
 
 def _matcher(bench: Benchmark):
     tokens = Tokens()
 
     def match(texts: list[bytes]) -> dict[int, list[tuple[int, int, int]]]:
-        row, raw, canon = tokens.of(texts)
-        return {i: got for i, hits in bench.hits(row, canon).items() if (got := judge(hits, raw, bench))}
+        out: dict[int, dict[int, tuple[int, int]]] = {}
+        refused: dict[int, set[int]] = {}
+        for k, of in enumerate(streams(*tokens.of(texts))):
+            for i, hits in bench.hits(k, of).items():
+                if k == 0:
+                    out[i], refused[i] = judge(hits, of.value, bench)
+                    continue
+                known, bad = out.setdefault(i, {}), refused.get(i, ())
+                found = judge_loosely([x for x in hits if x[0] not in known], of.value, bench, k)
+                known |= {m: got for m, got in found.items() if m not in bad or k == 1 and got[0] >= NEED_TOKENS}
+        return {i: [(m, *got[m]) for m in sorted(got)] for i, got in out.items() if got}
 
     return match
 
@@ -256,62 +345,69 @@ def contaminations(docs: DataFrame, items: DataFrame) -> DataFrame:
     return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), make, MATCH)
 
 
-def _window_rows(df: DataFrame, key: str, whole_only: bool) -> DataFrame:
-    """(key, th, size, h, n, pos, items) of all windows: items holds the (raw hash, is a slot) of its tokens, flattened."""
+def _window_rows(df: DataFrame, th: str, of_items: bool) -> DataFrame:
+    """(th, w) of the distinct texts of df (th, text): hashes of their windows, in all streams."""
 
     def make():
         tokens = Tokens()
 
         def run(batch: pa.RecordBatch) -> dict:
-            keys, texts = batch.column(0).to_pylist(), _bytes(batch.column(1))
-            out = {c: [] for c in ("key", "th", "size", "h", "n", "pos", "raw", "slot")}
-            th = batch.column(2).to_pylist()
-            row, raw, canon = tokens.of(texts)
-            first = _first_of(row, len(texts))
-            slot = np.isin(canon, (NUMBER, NAME, UNIT))
-            for n in range(MIN_TOKENS, WINDOW + 1):
-                at, h = windows(row, canon, n)
-                for p, x in zip(at.tolist(), h.view(np.int64).tolist(), strict=True):
-                    i = int(row[p])
-                    size = int(first[i + 1] - first[i])
-                    if n < WINDOW and whole_only and size != n:
-                        continue
-                    out["key"].append(keys[i])
-                    out["th"].append(th[i])
-                    out["size"].append(size)
-                    out["h"].append(x)
-                    out["n"].append(n)
-                    out["pos"].append(p - int(first[i]))
-                    out["raw"].append(raw[p : p + n].view(np.int64).tolist())
-                    out["slot"].append(slot[p : p + n].astype(np.int32).tolist())
-            return out
+            ths, texts = batch.column(0).to_pylist(), _bytes(batch.column(1))
+            out = [set() for _ in ths]
+            for k, of in enumerate(streams(*tokens.of(texts))):
+                found = item_windows(of, np.diff(_first_of(of.row, len(texts))), k > 0) if of_items else {n: windows(of, n) for n in range(MIN_TOKENS, WINDOW + 1)}
+                for n, (at, h) in found.items():
+                    for i, x in zip(of.row[at].tolist(), mixed(h + np.uint64(16 * k + n)).view(np.int64).tolist(), strict=True):
+                        out[i].add(x)
+            return {"th": ths, "w": [sorted(x) for x in out]}
+
+        return run
+
+    return map_rows(df, make, "th long, w array<long>").select(F.col("th").alias(th), F.explode("w").alias("w"))
+
+
+def _texts(df: DataFrame, th: str, text: str) -> DataFrame:
+    """(th, text) of the distinct texts."""
+    return df.where("text is not null").select(F.xxhash64(F.col("text").cast("string")).alias(th), F.col("text").cast("string").alias(text)).dropDuplicates([th])
+
+
+def _verdicts(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(dth, ith, n_tokens, coverage, n_slots) of distinct texts, for a benchmark of any size: pairs with a common window, judged each."""
+    d, b = _texts(docs, "dth", "dtext"), _texts(items, "ith", "itext")
+    pairs = _window_rows(d, "dth", False).join(_window_rows(b, "ith", True), "w").select("dth", "ith").distinct()
+
+    def make():
+        def run(batch: pa.RecordBatch) -> dict | None:
+            out = []
+            dths, iths, dtexts, itexts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), _bytes(batch.column(2)), _bytes(batch.column(3))
+            for at in range(0, len(dths), STEP):
+                cut = slice(at, at + STEP)
+                asked, texts, known = set(zip(dths[cut], iths[cut], strict=True)), dict(zip(dths[cut], dtexts[cut], strict=True)), dict(zip(iths[cut], itexts[cut], strict=True))
+                bench, names = Benchmark(list(known.items())), list(texts)
+                for i, got in _matcher(bench)(list(texts.values())).items():
+                    out += [(names[i], bench.ids[m], n, n / int(bench.size[m]), s) for m, n, s in got if (names[i], bench.ids[m]) in asked]
+            return dict(zip(("dth", "ith", "n_tokens", "coverage", "n_slots"), map(list, zip(*out, strict=True)), strict=True)) if out else None
 
         return run
 
-    rows = df.select(F.col(key).cast("long").alias("key"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("th"))
-    return map_rows(rows, make, "key long, th long, size int, h long, n int, pos int, raw array<long>, slot array<int>")
+    met = pairs.join(d, "dth").join(b, "ith").select("dth", "ith", "dtext", "itext")
+    return map_rows(met, make, "dth long, ith long, n_tokens int, coverage double, n_slots int")
 
 
 def _by_shuffle(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The same result for a benchmark of any size: windows joined on their hash, slots checked by aggregation."""
-    d = _window_rows(docs, "doc_id", False).select(F.col("key").alias("doc_id"), F.col("th").alias("dth"), "h", "n", F.col("pos").alias("dpos"), F.col("raw").alias("draw"))
-    b = _window_rows(items, "item_id", True).select(F.col("key").alias("item_id"), F.col("th").alias("ith"), "size", "h", "n", "pos", "raw", "slot")
-    hit = d.join(b, ["h", "n"]).withColumn("shift", F.col("dpos") - F.col("pos"))
-    line = ["doc_id", "dth", "item_id", "ith", "size", "shift"]
-    each = hit.select(*line, "pos", F.posexplode(F.arrays_zip("raw", "draw", "slot")).alias("k", "x")).select(*line, (F.col("pos") + F.col("k")).alias("at"), "x.raw", "x.draw", "x.slot").distinct()
-    slots = F.when(F.col("slot") == 1, F.struct("raw", "draw"))
-    sums = each.groupBy(*line).agg(F.count(F.lit(1)).alias("n"), F.sum("slot").cast("int").alias("n_slots"), F.count_distinct(slots).alias("p"), F.count_distinct(F.when(F.col("slot") == 1, F.col("raw"))).alias("a"), F.count_distinct(F.when(F.col("slot") == 1, F.col("draw"))).alias("b"))
-    good = sums.where((F.col("p") == F.col("a")) & (F.col("p") == F.col("b")) & (F.col("n") >= F.least(F.lit(NEED_TOKENS), F.ceil(F.col("size") * NEED_SHARE))))
-    best = good.groupBy("doc_id", "dth", "item_id", "ith", "size").agg(F.max(F.struct("n", "n_slots")).alias("m"))
-    return best.select("doc_id", "item_id", F.col("m.n").cast("int").alias("n_tokens"), (F.col("m.n") / F.col("size")).alias("coverage"), F.col("m.n_slots").alias("n_slots"))
+    """The same result for a benchmark of any size; a verdict holds for every row of its texts, whatever the ids."""
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("dth"))
+    b = items.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64(F.col("text").cast("string")).alias("ith"))
+    return _verdicts(docs, items).join(b, "ith").join(d, "dth").select("doc_id", "item_id", "n_tokens", "coverage", "n_slots")
 
 
 def uncontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs that no item contaminates; columns unchanged."""
     bench = _small(items)
     if bench is None:
-        bad = _by_shuffle(docs, items).select("doc_id").distinct()
-        return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+        th = fresh(docs, "__th")
+        bad = _verdicts(docs, items).select(F.col("dth").alias(th)).distinct()
+        return docs.withColumn(th, F.xxhash64(F.col("text").cast("string"))).join(bad, th, "left_anti").select(*docs.columns)
     at = docs.columns.index("text")
 
     def run(batches):
