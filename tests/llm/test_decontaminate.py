@@ -107,10 +107,16 @@ def found(spark, rows, items):
     return {(r.doc_id, r.item_id) for r in D.contaminations(docs(spark, rows), bench(spark, items)).collect()}
 
 
+def test_literal_copies(spark):
+    """Lists of names have no window of enough literals; case changes what counts as a name."""
+    rows = [(1, "Before. " + CITIES + " After."), (2, "so " + GERMAN.lower()), (3, GERMAN.upper()), (4, "Vienna, Budapest, Prague and Warsaw by population.")]
+    assert found(spark, rows, [(10, CITIES), (11, GERMAN)]) == {(1, 10), (2, 11), (3, 11)}
+
+
 def test_both_ways_on_null_and_repeated_ids(spark, monkeypatch):
-    rows = [(None, ITEM), (None, "clean words that hold nothing of the kind"), (7, ITEM), (7, ITEM), (7, "another clean text under the same id"), (8, ITEM + " again"), (9, None)]
-    table, items = docs(spark, rows), bench(spark, [(10, ITEM), (10, ITEM), (None, ITEM), (11, None)])
+    rows = [(None, ITEM), (None, "clean words that hold nothing of the kind"), (7, ITEM), (7, ITEM), (7, "another clean text under the same id"), (8, CITIES), (9, None)]
+    table, items = docs(spark, rows), bench(spark, [(10, ITEM), (10, ITEM), (None, CITIES), (11, None)])
     here, kept = result(D.contaminations(table, items)), rows_of(D.uncontaminated(table, items))
     monkeypatch.setattr(D, "MAX_BROADCAST_ITEMS", 0)
-    assert result(D.contaminations(table, items)) == here
+    assert result(D.contaminations(table, items)) == here and len(here) == 7
     assert rows_of(D.uncontaminated(table, items)) == kept and len(kept) == 3
