@@ -113,6 +113,17 @@ def test_literal_copies(spark):
     assert found(spark, rows, [(10, CITIES), (11, GERMAN)]) == {(1, 10), (2, 11), (3, 11)}
 
 
+def test_values_of_other_token_counts(spark):
+    other = ITEM.replace("120", "1,250").replace("3 hours", "2.5 hours")
+    named = ITEM.replace("Boston", "New York").replace("Maria", "Anna Maria")
+    short = "please count all of the red and blue balls in the two big boxes"
+    rows = [(1, other), (2, named), (3, short.replace("and blue", "and also blue")), (4, ITEM.replace("120", "1,250").replace("waits at the station, how fast", "sleeps"))]
+    clash = "Each of 7 boxes holds 7 red balls and each of 9 bags holds 9 blue balls so count all the balls there"
+    rows += [(6, clash.replace("7", "5.5"))]
+    got = found(spark, rows, [(10, ITEM), (11, short), (12, clash)])
+    assert got - {(4, 10)} == {(1, 10), (2, 10), (3, 11), (6, 12)}
+
+
 def test_both_ways_on_null_and_repeated_ids(spark, monkeypatch):
     rows = [(None, ITEM), (None, "clean words that hold nothing of the kind"), (7, ITEM), (7, ITEM), (7, "another clean text under the same id"), (8, CITIES), (9, None)]
     table, items = docs(spark, rows), bench(spark, [(10, ITEM), (10, ITEM), (None, CITIES), (11, None)])

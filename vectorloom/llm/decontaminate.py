@@ -148,7 +148,7 @@ def streams(row: np.ndarray, raw: np.ndarray, canon: np.ndarray, joins: np.ndarr
     weight = np.diff(np.r_[start, len(row)])
     place = np.arange(len(row)) - np.repeat(start, weight)
     value = np.add.reduceat(np.where(place > 0, mixed(raw + place.astype(np.uint64)), raw), start) if len(start) else raw
-    return [Stream(row, canon, raw, True), Stream(row, raw, raw, False)]
+    return [Stream(row, canon, raw, True), Stream(row, raw, raw, False), Stream(row[start], canon[start], value, True, weight)]
 
 
 def _window_hashes(canon: np.ndarray, n: int) -> np.ndarray:
