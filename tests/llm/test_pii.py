@@ -77,3 +77,11 @@ def test_redact(spark):
     assert [r.text for r in rows] == ["write to <email> now", None, "nothing", "x <card> y <phone>"]
     assert rows[0].n_chars == len(rows[0].text) and rows[2].n_chars == 7
     assert pii.find(docs(spark, [])).collect() == []
+
+
+def test_context_on_both_sides(spark):
+    """Words count across other matches, and after a span; secrets have no greatest length."""
+    a, b = "0123456789abcdef" * 2, "fedcba9876543210" * 12
+    texts = ["SSN: 111-22-3333, 444-55-6666", "111-22-3333 is the ssn", f"{a} was the token", f"secret {b}", f"token {'x' * 60} {a}", f"{a} {'x' * 60} token"]
+    out = pii.find(docs(spark, list(enumerate(texts)))).orderBy("doc_id").collect()
+    assert [[(s.kind, r.text[s.start : s.end]) for s in r.pii if s.kind in ("ssn", "secret")] for r in out] == [[("ssn", "111-22-3333"), ("ssn", "444-55-6666")], [("ssn", "111-22-3333")], [("secret", a)], [("secret", b)], [], []]

@@ -1,7 +1,7 @@
 """Personal data in text, with DataFrame functions only.
 
 Regular expressions propose spans, checksums and digit counts confirm them (Luhn for cards, mod-97 for IBANs),
-and words near a span adjust its score. The base kinds email, ip, card and phone are reported whenever they
+and words within NEAR characters before or after a span adjust its score. The base kinds email, ip, card and phone are reported whenever they
 are confirmed; iban, ssn and secret spans are added if their score reaches ADD_SCORE.
 
 Positions come from the text itself: every match is wrapped in the character U+0001 (a U+0001 of the text
@@ -28,7 +28,7 @@ RULES = {
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", 0.7, r"phone|tel|call|mobile|fax"),
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}", 0.8, r"iban|bank|account"),
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]-[0-9]{2}-[0-9]", 0.4, r"ssn|social|security"),
-    "secret": (r"(?<![A-Za-z0-9])[A-Fa-f0-9]{32,128}+(?![A-Za-z0-9])", r"[A-Fa-f0-9]{32}", 0.3, r"token|secret|passw|key"),
+    "secret": (r"(?<![A-Za-z0-9])[A-Fa-f0-9]{32,}+(?![A-Za-z0-9])", r"[A-Fa-f0-9]{32}", 0.3, r"token|secret|passw|key"),
 }
 
 
@@ -77,15 +77,18 @@ def _spans(kind: str, text: Column) -> Column:
 
     def step(acc: Column, p: Column) -> Column:
         size = F.length(p)
-        near = F.lower(F.substring(acc["before"], -NEAR, NEAR))
+        # both sides apart, across other matches
+        left = F.substring(text, F.greatest(acc["at"] - NEAR, F.lit(0)) + 1, F.least(acc["at"], F.lit(NEAR)))
+        right = F.substring(text, acc["at"] + size + 1, F.lit(NEAR))
+        near = F.lower(F.concat(left, F.lit("\n"), right))
         score = F.when(near.rlike(words), F.least(F.lit(1.0), F.lit(plain) + 0.35)).otherwise(F.lit(plain))
         span = F.struct(acc["at"].alias("start"), F.lit(rank).alias("rank"), (acc["at"] + size).alias("end"), F.lit(kind).alias("kind"), score.alias("score"))
         good = acc["match"] & _confirmed(kind, p)
         if kind not in BASE_KINDS:
             good = good & (score >= ADD_SCORE)
-        return F.struct((acc["at"] + size).alias("at"), (~acc["match"]).alias("match"), p.alias("before"), F.when(good, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).cast(SPAN).alias("out"))
+        return F.struct((acc["at"] + size).alias("at"), (~acc["match"]).alias("match"), F.when(good, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).cast(SPAN).alias("out"))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("match"), F.lit("").alias("before"), empty.alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("match"), empty.alias("out"))
     found = F.aggregate(pieces, start, step, lambda acc: acc["out"])
     hit = F.contains(text, F.lit(trigger)) if trigger == "@" else text.rlike(trigger)
     return F.when(hit, found).otherwise(empty)
