@@ -1,39 +1,76 @@
 """Quality rules with robust multivariate outliers, with DataFrame functions only.
 
 Every text gets a few counts. Texts that fail the base rules are rejected; of the others, a vector of
-transformed counts is compared with its own language and source by minimum covariance determinant: from
-medians and median-like spreads, concentration steps re-estimate mean and covariance from the SUPPORT share
-of vectors nearest by Mahalanobis distance, and vectors beyond CUTOFF are rejected.
-
-Groups with fewer than MIN_GROUP texts use the estimates of their language, or else of all texts. Estimates
-are rows of a table, joined by group, by broadcast if a count finds at most MAX_BROADCAST_GROUPS groups, so that
-rows of a large group stay where they are; nothing but counts is gathered per group, however large it is.
-Null texts have no words and fail; null lang or source form groups of their own; repeated rows are
-rows like others. An empty table gives an empty result.
+transformed counts is compared with the others of its language and source by the minimum covariance
+determinant: of several starts (marginal spreads, covariance of squashed values, covariance of directions)
+concentration steps keep the SUPPORT share of vectors nearest by Mahalanobis distance and estimate mean and
+covariance from them; the start with the least determinant goes on until the determinant falls no more. The
+covariance is made consistent by the chi-square law, estimated once more from the vectors within its REWEIGHT
+quantile, and vectors beyond its CUTOFF quantile are rejected.
+
+The same is done for every language and for all texts. The estimate of n texts counts n / (n + SHRINK) against
+the one above it (source, language, all), whatever n is, so a small group leans on its language without a
+switch. RESOLUTION is the variance that counting alone gives a feature (one more symbol or repeated word
+in a short text); it is added to every covariance, which keeps groups of equal texts regular.
+
+Estimates are rows of a table, joined by group, by broadcast if a count finds at most MAX_BROADCAST_GROUPS
+groups, salted otherwise, so that rows of a large group stay where they are; nothing but sums and sketches is gathered
+per group, however large it is. Quantiles have a rank error below 1 / ACCURACY; they are exact for groups below half of it.
+
+Null texts have no words and fail; empty ones as well; null lang or source form groups of their own; texts of
+any length count whole; equal distances are on the same side of every bound; repeated rows are rows like others.
+Columns to keep may have any name but those of the results (ValueError). An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from math import exp, factorial
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectorloom.llm.common import table
-from vectorloom.runtime import broadcast_if_small, cut_lineage
+from vectorloom.runtime import cut_lineage, fits
 
-SUPPORT = 0.75
-STEPS = 3
-MIN_GROUP = 200
-CUTOFF = 80.0
+SUPPORT, REWEIGHT, CUTOFF = 0.75, 0.975, 0.9999
+SHRINK = 100.0
+TOLERANCE = 1e-3
+ACCURACY = 5000
 MAX_BROADCAST_GROUPS = 10_000
-#: Smallest standard deviation that a component counts with.
-FEATURES = {"x0": 0.4, "x1": 0.3, "x2": 0.06, "x3": 0.05, "x4": 0.06, "x5": 0.04}
+SALTS = 64
+#: Standard deviation of a feature that counting alone explains.
+RESOLUTION = {"x0": 0.25, "x1": 0.1, "x2": 0.1, "x3": 0.06, "x4": 0.05, "x5": 0.02}
+XS = list(RESOLUTION)
+PAIRS = [(i, j) for i in range(len(XS)) for j in range(i + 1)]
 SPACE = r"[\x20\x09-\x0D]"
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper")
+
+
+def chi_square(x: float, dof: int) -> float:
+    """Distribution function of the chi-square law for an even number of degrees."""
+    return 1 - exp(-x / 2) * sum((x / 2) ** i / factorial(i) for i in range(dof // 2))
+
+
+def chi_square_quantile(p: float, dof: int) -> float:
+    low, high = 0.0, 1000.0
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if chi_square(mid, dof) < p else (low, mid)
+    return (low + high) / 2
 
 
-def text_stats(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_upper of every row, and the columns in keep."""
+def consistency(share: float) -> float:
+    """What the covariance of the share of normal vectors nearest to the mean falls short by."""
+    return share / chi_square(chi_square_quantile(share, len(XS)), len(XS) + 2)
+
+
+def text_stats(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+    """kept (a struct of the columns in keep), lang, source and COUNTS of every row."""
+    held = F.struct(*(F.col(c) for c in keep)) if keep else F.struct(F.lit(0).alias("none"))
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    step = docs.select(*keep, t.alias("__t")).select(*keep, "__t", F.filter(F.split("__t", SPACE + "+", -1), lambda w: w != "").alias("__w"))
+    keep = ("kept", "lang", "source")
+    step = docs.select(held.alias("kept"), F.col(lang).cast("string").alias("lang"), F.col(source).cast("string").alias("source"), t.alias("__t"))
+    step = step.select(*keep, "__t", F.filter(F.split("__t", SPACE + "+", -1), lambda w: w != "").alias("__w"))
     t, w = F.col("__t"), F.col("__w")
     bare = t
     for c in " \t\n\x0b\x0c\r":
@@ -62,75 +99,161 @@ def text_stats(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ())
 
 
 def _features() -> dict[str, Column]:
-    n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
+    n, lines, chars = (F.greatest(F.col(c), F.lit(1)).cast("double") for c in ("n_words", "n_lines", "word_chars"))
     return {
         "x0": F.log(n),
         "x1": F.col("word_chars") / n,
         "x2": F.sqrt(F.col("n_symbols") / n),
-        "x3": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
-        "x4": F.col("n_repeat_words") / n,
-        "x5": F.col("n_upper") / F.greatest(F.col("word_chars"), F.lit(1)),
+        "x3": F.col("n_dup_lines") / (lines + 10),
+        "x4": F.col("n_repeat_words") / (n + 100),
+        "x5": F.col("n_upper") / chars,
     }
 
 
-def _estimates(rows: DataFrame, scale: float) -> DataFrame:
-    """Per group: mean m_i and lower Cholesky factor l_i_j of the covariance, with spreads floored."""
-    xs = list(FEATURES)
-    sums = [F.avg(x).alias(f"m{i}") for i, x in enumerate(xs)]
-    pairs = [F.covar_pop(a, b).alias(f"c{i}_{j}") for i, a in enumerate(xs) for j, b in enumerate(xs) if j <= i]
-    out = rows.groupBy("g").agg(*sums, *pairs)
-    for i, x in enumerate(xs):
-        for j in range(i + 1):
-            v = F.col(f"c{i}_{j}") * scale + (FEATURES[x] ** 2 if i == j else 0.0)
-            for k in range(j):
-                v = v - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
-            out = out.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(v, F.lit(FEATURES[x] ** 2 * 0.25))) if i == j else v / F.col(f"l{j}_{j}"))
-    return cut_lineage(out.drop(*(f"c{i}_{j}" for i in range(len(xs)) for j in range(i + 1))))
-
-
-def _distances(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """rows with the squared Mahalanobis distance d2 to the estimates of their group."""
-    out = rows.join(broadcast_if_small(estimates, MAX_BROADCAST_GROUPS), "g")
-    for i, x in enumerate(FEATURES):
-        v = F.col(x) - F.col(f"m{i}")
-        for k in range(i):
-            v = v - F.col(f"l{i}_{k}") * F.col(f"z{k}")
-        out = out.withColumn(f"z{i}", v / F.col(f"l{i}_{i}"))
-    d2 = sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, len(FEATURES))), F.col("z0") * F.col("z0"))
-    return out.withColumn("d2", d2).select(*rows.columns, "d2")
-
-
-def outlier_distances(stats: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """stats with d2, the squared robust distance of each row's features to its group; stats should be cut from its lineage."""
-    names = {"__l": F.coalesce(F.col(lang), F.lit("\x01")), "__s": F.coalesce(F.col(source), F.lit("\x01"))}
+def _key(*parts: str) -> Column:
+    """One string for some columns, distinct for distinct values; null is a value of its own."""
+    return F.concat(*(F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)), F.lit("-")) for c in parts))
+
+
+def _factored(estimates: DataFrame, scale: float = 1.0) -> DataFrame:
+    """estimates with the lower Cholesky factor l_i_j of scale * c_i_j plus the resolution, and the log-determinant ld."""
+    out = estimates
+    for i, j in PAIRS:
+        v = F.col(f"c{i}_{j}") * scale + (RESOLUTION[XS[i]] ** 2 if i == j else 0.0)
+        for k in range(j):
+            v = v - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
+        out = out.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(v, F.lit(1e-12))) if i == j else v / F.col(f"l{j}_{j}"))
+    return out.withColumn("ld", 2 * sum((F.log(f"l{i}_{i}") for i in range(1, len(XS))), F.log("l0_0")))
+
+
+def _moments(rows: DataFrame, *by: str) -> DataFrame:
+    means = [F.avg(x).alias(f"m{i}") for i, x in enumerate(XS)]
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *means, *(F.covar_pop(XS[i], XS[j]).alias(f"c{i}_{j}") for i, j in PAIRS))
+
+
+class _Join:
+    """Rows meet the estimates of their group: by broadcast where there are few groups, else over salted keys."""
+
+    def __init__(self, few: bool):
+        self.few = few
+
+    def __call__(self, rows: DataFrame, estimates: DataFrame) -> DataFrame:
+        if self.few:
+            return rows.join(F.broadcast(estimates), "g")
+        salted = rows.withColumn("salt", F.pmod(F.xxhash64(*XS), F.lit(SALTS)))
+        return salted.join(estimates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["g", "salt"]).drop("salt")
+
+    def distances(self, rows: DataFrame, estimates: DataFrame, *keep: str) -> DataFrame:
+        """rows with d2, the squared Mahalanobis distance to the estimates of their group, and some columns of these."""
+        used = [*(f"m{i}" for i in range(len(XS))), *(f"l{i}_{j}" for i, j in PAIRS)]
+        out = self(rows, estimates.select("g", *keep, *used))
+        for i, x in enumerate(XS):
+            v = F.col(x) - F.col(f"m{i}")
+            for k in range(i):
+                v = v - F.col(f"l{i}_{k}") * F.col(f"z{k}")
+            out = out.withColumn(f"z{i}", v / F.col(f"l{i}_{i}"))
+        d2 = sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, len(XS))), F.col("z0") * F.col("z0"))
+        return out.withColumn("d2", d2).select(*rows.columns, *keep, "d2")
+
+
+def _starts(rows: DataFrame, join: _Join) -> DataFrame:
+    """(g, s, m_i, l_i_j): per group three first estimates about the medians."""
+    center = rows.groupBy("g").agg(*(F.percentile_approx(x, [0.16, 0.5, 0.84], ACCURACY).alias(f"p{i}") for i, x in enumerate(XS)))
+    spread = lambda i: (F.element_at(f"p{i}", 3) - F.element_at(f"p{i}", 1)) / 2
+    size = lambda i, x: F.sqrt(spread(i) * spread(i) + RESOLUTION[x] ** 2)
+    center = cut_lineage(center.select("g", *(F.element_at(f"p{i}", 2).alias(f"m{i}") for i in range(len(XS))), *(size(i, x).alias(f"s{i}") for i, x in enumerate(XS))))
+    near = join(rows, center).select("g", *((F.col(x) - F.col(f"m{i}")) / F.col(f"s{i}") for i, x in enumerate(XS))).toDF("g", *(f"z{i}" for i in range(len(XS))))
+    norm = F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, len(XS))), F.col("z0") * F.col("z0")))
+    near = near.withColumn("norm", F.greatest(norm, F.lit(1e-12)))
+    squashed = [F.covar_pop(F.tanh(f"z{i}"), F.tanh(f"z{j}")).alias(f"t{i}_{j}") for i, j in PAIRS]
+    turned = [F.avg(F.col(f"z{i}") * F.col(f"z{j}") / (F.col("norm") * F.col("norm"))).alias(f"u{i}_{j}") for i, j in PAIRS]
+    both = center.join(near.groupBy("g").agg(*squashed, *turned), "g")
+    means = [f"m{i}" for i in range(len(XS))]
+    plain = {(i, j): F.col(f"s{i}") * F.col(f"s{i}") - RESOLUTION[XS[i]] ** 2 if i == j else F.lit(0.0) for i, j in PAIRS}
+    tanh = {(i, j): F.col(f"t{i}_{j}") * F.col(f"s{i}") * F.col(f"s{j}") for i, j in PAIRS}
+    sign = {(i, j): F.col(f"u{i}_{j}") * F.col(f"s{i}") * F.col(f"s{j}") * float(len(XS)) for i, j in PAIRS}
+    each = F.array(*(F.struct(F.lit(s).alias("s"), *(v.alias(f"c{i}_{j}") for (i, j), v in cov.items())) for s, cov in enumerate((plain, tanh, sign))))
+    return cut_lineage(_factored(both.select("g", *means, F.explode(each).alias("e")).select("g", *means, "e.*")))
+
+
+def _concentrated(rows: DataFrame, estimates: DataFrame, join: _Join) -> DataFrame:
+    """One concentration step: estimates from the SUPPORT share of each group that is nearest by those given."""
+    near = join.distances(rows, estimates, "s")
+    bound = near.groupBy("g", "s").agg(F.percentile_approx("d2", SUPPORT, ACCURACY).alias("bound"))
+    limited = cut_lineage(estimates.join(bound, ["g", "s"]))
+    return cut_lineage(_factored(_moments(join.distances(rows, limited, "s", "bound").where("d2 <= bound"), "g", "s")))
+
+
+def least_determinant(rows: DataFrame, join: _Join) -> DataFrame:
+    """(g, n, m_i, c_i_j): the reweighted minimum-covariance-determinant estimate of every group of rows (g, x_i)."""
+    now = _starts(rows, join)
+    for _ in range(2):
+        now = _concentrated(rows, now, join)
+    columns = [c for c in now.columns if c not in ("g", "s")]
+    best = now.groupBy("g").agg(F.min(F.struct("ld", "s")).alias("m")).select("g", F.col("m.s").alias("s"))
+    live = cut_lineage(now.join(best, ["g", "s"]))
+    done = []
+    while True:
+        # a group goes on while its determinant falls by more than TOLERANCE, so this ends
+        then = _concentrated(rows, live, join)
+        both = then.join(live.select("g", F.col("ld").alias("was")), "g")
+        falls = F.col("was") - F.col("ld") > TOLERANCE
+        settled = live.join(both.where(~falls).select("g"), "g", "left_semi")
+        done.append(cut_lineage(settled.select("g", *columns)))
+        live = cut_lineage(both.where(falls).select("g", "s", *columns))
+        if live.isEmpty():
+            break
+    raw = done[0]
+    for more in done[1:]:
+        raw = raw.unionByName(more)
+    wide = cut_lineage(_factored(raw.select("g", *(c for c in columns if c[0] in "mc")), consistency(SUPPORT)))
+    inside = join.distances(rows, wide).where(F.col("d2") <= chi_square_quantile(REWEIGHT, len(XS)))
+    return cut_lineage(_moments(inside, "g"))
+
+
+def _shrunk(groups: DataFrame, estimates: DataFrame) -> DataFrame:
+    """(g, m_i, l_i_j) of every group of language and source, leaning on its language and that on all texts."""
+    means, covs = [f"m{i}" for i in range(len(XS))], [f"c{i}_{j}" for i, j in PAIRS]
+    out = groups
+    for level in ("all", "of_lang", "g"):
+        own = estimates.select(F.col("g").alias(level), "n", *(F.col(c).alias(f"own_{c}") for c in (*means, *covs)))
+        out = out.join(own, level, "left")
+        share = F.coalesce(F.col("n") / (F.col("n") + SHRINK), F.lit(0.0))
+        if level == "all":
+            columns = [F.col(f"own_{c}").alias(c) for c in means] + [(F.col(f"own_{c}") * consistency(REWEIGHT)).alias(c) for c in covs]
+        else:
+            factor = {**dict.fromkeys(means, 1.0), **dict.fromkeys(covs, consistency(REWEIGHT))}
+            columns = [(F.coalesce(share * F.col(f"own_{c}") * f, F.lit(0.0)) + (1 - share) * F.col(c)).alias(c) for c, f in factor.items()]
+        out = out.select("g", "of_lang", "all", *columns)
+    return cut_lineage(_factored(out.drop("of_lang", "all")))
+
+
+def outlier_distances(stats: DataFrame) -> DataFrame:
+    """stats (lang, source, COUNTS, ...) with d2, the squared robust distance of each row's features to its group; stats should be cut from its lineage."""
+    names = {"all": F.lit("*"), "of_lang": F.concat(F.lit("l"), _key("lang")), "g": F.concat(F.lit("s"), _key("lang", "source"))}
     rows = stats.withColumns({**_features(), **names})
-    by_both = rows.groupBy("__l", "__s").agg(F.count(F.lit(1)).alias("n"))
-    total = by_both.groupBy("__l").agg(F.sum("n").alias("of_lang"))
-    level = F.when(F.col("n") >= MIN_GROUP, F.concat_ws("\x02", "__l", "__s")).when(F.col("of_lang") >= MIN_GROUP, F.concat_ws("\x02", "__l", F.lit("*"), F.lit("*"))).otherwise("*")
-    groups = by_both.join(total, "__l").select("__l", "__s", level.alias("g"))
-    rows = rows.join(broadcast_if_small(cut_lineage(groups), MAX_BROADCAST_GROUPS), ["__l", "__s"]).drop("__l", "__s")
-    small = rows.select("g", *FEATURES)
-    center = small.groupBy("g").agg(*(F.percentile_approx(x, [0.16, 0.5, 0.84], 2000).alias(f"p{i}") for i, x in enumerate(FEATURES)))
-    first = center.select("g", *(F.element_at(f"p{i}", 2).alias(f"m{i}") for i in range(len(FEATURES))), *((F.greatest((F.element_at(f"p{i}", 3) - F.element_at(f"p{i}", 1)) / 2, F.lit(s)) if i == j else F.lit(0.0)).alias(f"l{i}_{j}") for i, s in enumerate(FEATURES.values()) for j in range(i + 1)))
-    estimates = cut_lineage(first)
-    for _ in range(STEPS):
-        near = _distances(small, estimates)
-        bound = near.groupBy("g").agg(F.percentile_approx("d2", SUPPORT, 2000).alias("bound"))
-        limits = broadcast_if_small(cut_lineage(bound), MAX_BROADCAST_GROUPS)
-        estimates = _estimates(near.join(limits, "g").where("d2 <= bound"), 1.35)
-    return _distances(rows, estimates).drop("g", *FEATURES)
-
-
-def judge(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:
-    """Stats of every row with base_failed and kept."""
-    stats = cut_lineage(text_stats(docs, keep=keep))
+    groups = cut_lineage(rows.groupBy("g", "of_lang", "all").agg(F.count(F.lit(1)).alias("size")).drop("size"))
+    join = _Join(fits(groups, MAX_BROADCAST_GROUPS))
+    leveled = rows.select(F.explode(F.array("all", "of_lang", "g")).alias("g"), *XS)
+    estimates = _shrunk(groups, least_determinant(leveled, join))
+    return join.distances(rows.drop("all", "of_lang"), estimates).drop("g", *XS)
+
+
+def judge(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang", "source"), text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """The columns in keep, the counts, base_failed, kept and d2 (null if base_failed) of every row."""
+    results = (*COUNTS, "base_failed", "kept", "d2")
+    if clash := {c.lower() for c in keep} & set(results):
+        raise ValueError(f"columns of the results cannot be kept: {sorted(clash)}")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    marked = stats.withColumn("base_failed", failed)
-    judged = outlier_distances(marked.where(~failed)).withColumn("kept", F.col("d2") <= CUTOFF)
-    rest = marked.where(failed).withColumn("d2", F.lit(None).cast("double")).withColumn("kept", F.lit(False))
-    return judged.unionByName(rest)
+    marked = cut_lineage(text_stats(docs, text, lang, source, keep)).withColumn("base_failed", failed)
+    judged = outlier_distances(marked.where(~F.col("base_failed")))
+    rest = marked.where("base_failed").withColumn("d2", F.lit(None).cast("double"))
+    near = F.coalesce(F.col("d2") <= chi_square_quantile(CUTOFF, len(XS)), F.lit(False))
+    held = [F.col("kept")[c].alias(c) for c in keep]
+    return judged.unionByName(rest).select(*held, *COUNTS, "base_failed", near.alias("kept"), "d2")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract of op10: doc_id, the counts, base_failed, kept (and d2)."""
-    return judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")
+    out = judge(table(spark, sf_dir, "documents"), keep=("doc_id",))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")
