@@ -41,7 +41,9 @@ SALTS = 64
 #: Standard deviation of a feature that counting alone explains.
 RESOLUTION = {"x0": 0.25, "x1": 0.1, "x2": 0.1, "x3": 0.06, "x4": 0.05, "x5": 0.02}
 XS = list(RESOLUTION)
-PAIRS = [(i, j) for i in range(len(XS)) for j in range(i + 1)]
+N = len(XS)
+PAIRS = [(i, j) for i in range(N) for j in range(i + 1)]
+MEANS, COVS, INVERSE = [f"m{i}" for i in range(N)], [f"c{i}_{j}" for i, j in PAIRS], [f"p{i}_{j}" for i, j in PAIRS]
 SPACE = r"[\x20\x09-\x0D]"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper")
 
@@ -61,7 +63,7 @@ def chi_square_quantile(p: float, dof: int) -> float:
 
 def consistency(share: float) -> float:
     """What the covariance of the share of normal vectors nearest to the mean falls short by."""
-    return share / chi_square(chi_square_quantile(share, len(XS)), len(XS) + 2)
+    return share / chi_square(chi_square_quantile(share, N), N + 2)
 
 
 def text_stats(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -115,20 +117,27 @@ def _key(*parts: str) -> Column:
     return F.concat(*(F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)), F.lit("-")) for c in parts))
 
 
-def _factored(estimates: DataFrame, scale: float = 1.0) -> DataFrame:
-    """estimates with the lower Cholesky factor l_i_j of scale * c_i_j plus the resolution, and the log-determinant ld."""
-    out = estimates
-    for i, j in PAIRS:
-        v = F.col(f"c{i}_{j}") * scale + (RESOLUTION[XS[i]] ** 2 if i == j else 0.0)
-        for k in range(j):
-            v = v - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
-        out = out.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(v, F.lit(1e-12))) if i == j else v / F.col(f"l{j}_{j}"))
-    return out.withColumn("ld", 2 * sum((F.log(f"l{i}_{i}") for i in range(1, len(XS))), F.log("l0_0")))
+def _at(name: str, i: int, j: int) -> str:
+    return f"{name}{max(i, j)}_{min(i, j)}"
 
 
-def _moments(rows: DataFrame, *by: str) -> DataFrame:
-    means = [F.avg(x).alias(f"m{i}") for i, x in enumerate(XS)]
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *means, *(F.covar_pop(XS[i], XS[j]).alias(f"c{i}_{j}") for i, j in PAIRS))
+def _inverted(estimates: DataFrame, scale: float = 1.0) -> DataFrame:
+    """estimates with p_i_j, the negative inverse of scale * c_i_j plus the resolution, by sweeps, and the log-determinant ld."""
+    rest = estimates.columns
+    whole = [f"c{i}_{j} * {scale!r}D + {RESOLUTION[XS[i]] ** 2 if i == j else 0.0!r}D AS p{i}_{j}" for i, j in PAIRS]
+    out = estimates.selectExpr(*(f"`{c}`" for c in rest), *whole, "0D AS ld")
+    for k in range(N):
+        swept = []
+        for i, j in PAIRS:
+            if i == j == k:
+                new = f"-1 / p{k}_{k}"
+            elif k in (i, j):
+                new = f"p{i}_{j} / p{k}_{k}"
+            else:
+                new = f"p{i}_{j} - {_at('p', i, k)} * {_at('p', j, k)} / p{k}_{k}"
+            swept.append(f"{new} AS p{i}_{j}")
+        out = out.selectExpr(*(f"`{c}`" for c in rest), *swept, f"ld + ln(p{k}_{k}) AS ld")
+    return out
 
 
 class _Join:
@@ -144,36 +153,37 @@ class _Join:
         return salted.join(estimates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["g", "salt"]).drop("salt")
 
     def distances(self, rows: DataFrame, estimates: DataFrame, *keep: str) -> DataFrame:
-        """rows with d2, the squared Mahalanobis distance to the estimates of their group, and some columns of these."""
-        used = [*(f"m{i}" for i in range(len(XS))), *(f"l{i}_{j}" for i, j in PAIRS)]
-        out = self(rows, estimates.select("g", *keep, *used))
-        for i, x in enumerate(XS):
-            v = F.col(x) - F.col(f"m{i}")
-            for k in range(i):
-                v = v - F.col(f"l{i}_{k}") * F.col(f"z{k}")
-            out = out.withColumn(f"z{i}", v / F.col(f"l{i}_{i}"))
-        d2 = sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, len(XS))), F.col("z0") * F.col("z0"))
-        return out.withColumn("d2", d2).select(*rows.columns, *keep, "d2")
+        """rows with v_i, their difference to the mean of their group, d2, the squared Mahalanobis distance, and some columns of the estimates."""
+        met = self(rows, estimates.select("g", *keep, *MEANS, *INVERSE))
+        names = [f"`{c}`" for c in (*rows.columns, *keep)]
+        apart = met.selectExpr(*names, *INVERSE, *(f"{x} - m{i} AS v{i}" for i, x in enumerate(XS)))
+        d2 = " + ".join(f"{1 if i == j else 2} * p{i}_{j} * v{i} * v{j}" for i, j in PAIRS)
+        return apart.selectExpr(*names, *(f"v{i}" for i in range(N)), f"-({d2}) AS d2")
+
+
+def _moments(near: DataFrame, estimates: DataFrame, *by: str) -> DataFrame:
+    """(by, n, m_i, c_i_j) of some of the rows that distances() gave for estimates."""
+    sums = near.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *(F.avg(f"v{i}").alias(f"a{i}") for i in range(N)), *(F.expr(f"avg(v{i} * v{j}) AS q{i}_{j}") for i, j in PAIRS))
+    return sums.join(estimates.select(*by, *MEANS), list(by)).selectExpr(*by, "n", *(f"m{i} + a{i} AS m{i}" for i in range(N)), *(f"q{i}_{j} - a{i} * a{j} AS c{i}_{j}" for i, j in PAIRS))
 
 
 def _starts(rows: DataFrame, join: _Join) -> DataFrame:
-    """(g, s, m_i, l_i_j): per group three first estimates about the medians."""
+    """(g, s, m_i, c_i_j, p_i_j, ld): per group three first estimates about the medians."""
     center = rows.groupBy("g").agg(*(F.percentile_approx(x, [0.16, 0.5, 0.84], ACCURACY).alias(f"p{i}") for i, x in enumerate(XS)))
-    spread = lambda i: (F.element_at(f"p{i}", 3) - F.element_at(f"p{i}", 1)) / 2
-    size = lambda i, x: F.sqrt(spread(i) * spread(i) + RESOLUTION[x] ** 2)
-    center = cut_lineage(center.select("g", *(F.element_at(f"p{i}", 2).alias(f"m{i}") for i in range(len(XS))), *(size(i, x).alias(f"s{i}") for i, x in enumerate(XS))))
-    near = join(rows, center).select("g", *((F.col(x) - F.col(f"m{i}")) / F.col(f"s{i}") for i, x in enumerate(XS))).toDF("g", *(f"z{i}" for i in range(len(XS))))
-    norm = F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, len(XS))), F.col("z0") * F.col("z0")))
-    near = near.withColumn("norm", F.greatest(norm, F.lit(1e-12)))
-    squashed = [F.covar_pop(F.tanh(f"z{i}"), F.tanh(f"z{j}")).alias(f"t{i}_{j}") for i, j in PAIRS]
-    turned = [F.avg(F.col(f"z{i}") * F.col(f"z{j}") / (F.col("norm") * F.col("norm"))).alias(f"u{i}_{j}") for i, j in PAIRS]
-    both = center.join(near.groupBy("g").agg(*squashed, *turned), "g")
-    means = [f"m{i}" for i in range(len(XS))]
-    plain = {(i, j): F.col(f"s{i}") * F.col(f"s{i}") - RESOLUTION[XS[i]] ** 2 if i == j else F.lit(0.0) for i, j in PAIRS}
-    tanh = {(i, j): F.col(f"t{i}_{j}") * F.col(f"s{i}") * F.col(f"s{j}") for i, j in PAIRS}
-    sign = {(i, j): F.col(f"u{i}_{j}") * F.col(f"s{i}") * F.col(f"s{j}") * float(len(XS)) for i, j in PAIRS}
-    each = F.array(*(F.struct(F.lit(s).alias("s"), *(v.alias(f"c{i}_{j}") for (i, j), v in cov.items())) for s, cov in enumerate((plain, tanh, sign))))
-    return cut_lineage(_factored(both.select("g", *means, F.explode(each).alias("e")).select("g", *means, "e.*")))
+    center = center.selectExpr("g", *(f"p{i}[1] AS m{i}" for i in range(N)), *(f"pow((p{i}[2] - p{i}[0]) / 2, 2) AS w{i}" for i in range(N)))
+    center = cut_lineage(center.selectExpr("*", *(f"sqrt(w{i} + {RESOLUTION[x] ** 2!r}D) AS s{i}" for i, x in enumerate(XS))))
+    near = join(rows, center).selectExpr("g", *(f"({x} - m{i}) / s{i} AS z{i}" for i, x in enumerate(XS)))
+    near = near.selectExpr("*", f"greatest({' + '.join(f'z{i} * z{i}' for i in range(N))}, 1e-24D) AS norm", *(f"tanh(z{i}) AS h{i}" for i in range(N)))
+    sums = [F.expr(f"avg(h{i}) AS a{i}") for i in range(N)]
+    sums += [F.expr(f"avg(h{i} * h{j}) AS h{i}_{j}") for i, j in PAIRS] + [F.expr(f"avg(z{i} * z{j} / norm) AS u{i}_{j}") for i, j in PAIRS]
+    both = center.join(near.groupBy("g").agg(*sums), "g")
+    first = {
+        0: [f"{f'w{i}' if i == j else '0D'} AS c{i}_{j}" for i, j in PAIRS],
+        1: [f"(h{i}_{j} - a{i} * a{j}) * s{i} * s{j} AS c{i}_{j}" for i, j in PAIRS],
+        2: [f"u{i}_{j} * s{i} * s{j} * {N} AS c{i}_{j}" for i, j in PAIRS],
+    }
+    each = ", ".join(f"struct({s} AS s, {', '.join(covs)})" for s, covs in first.items())
+    return cut_lineage(_inverted(both.selectExpr("g", *MEANS, f"explode(array({each})) AS e").select("g", *MEANS, "e.*")))
 
 
 def _concentrated(rows: DataFrame, estimates: DataFrame, join: _Join) -> DataFrame:
@@ -181,7 +191,7 @@ def _concentrated(rows: DataFrame, estimates: DataFrame, join: _Join) -> DataFra
     near = join.distances(rows, estimates, "s")
     bound = near.groupBy("g", "s").agg(F.percentile_approx("d2", SUPPORT, ACCURACY).alias("bound"))
     limited = cut_lineage(estimates.join(bound, ["g", "s"]))
-    return cut_lineage(_factored(_moments(join.distances(rows, limited, "s", "bound").where("d2 <= bound"), "g", "s")))
+    return cut_lineage(_inverted(_moments(join.distances(rows, limited, "s", "bound").where("d2 <= bound"), limited, "g", "s")))
 
 
 def least_determinant(rows: DataFrame, join: _Join) -> DataFrame:
@@ -189,43 +199,34 @@ def least_determinant(rows: DataFrame, join: _Join) -> DataFrame:
     now = _starts(rows, join)
     for _ in range(2):
         now = _concentrated(rows, now, join)
-    columns = [c for c in now.columns if c not in ("g", "s")]
-    best = now.groupBy("g").agg(F.min(F.struct("ld", "s")).alias("m")).select("g", F.col("m.s").alias("s"))
-    live = cut_lineage(now.join(best, ["g", "s"]))
-    done = []
+    best = now.groupBy("g").agg(F.min(F.struct(F.round("ld", 9).alias("ld"), "s")).alias("m")).select("g", F.col("m.s").alias("s"))
+    live, done = cut_lineage(now.join(best, ["g", "s"])), []
     while True:
         # a group goes on while its determinant falls by more than TOLERANCE, so this ends
         then = _concentrated(rows, live, join)
         both = then.join(live.select("g", F.col("ld").alias("was")), "g")
         falls = F.col("was") - F.col("ld") > TOLERANCE
-        settled = live.join(both.where(~falls).select("g"), "g", "left_semi")
-        done.append(cut_lineage(settled.select("g", *columns)))
-        live = cut_lineage(both.where(falls).select("g", "s", *columns))
+        done.append(live.join(both.where(falls).select("g"), "g", "left_anti").select("g", *MEANS, *COVS))
+        live = cut_lineage(both.where(falls).select("g", "s", *MEANS, *COVS, *INVERSE, "ld"))
         if live.isEmpty():
             break
     raw = done[0]
     for more in done[1:]:
         raw = raw.unionByName(more)
-    wide = cut_lineage(_factored(raw.select("g", *(c for c in columns if c[0] in "mc")), consistency(SUPPORT)))
-    inside = join.distances(rows, wide).where(F.col("d2") <= chi_square_quantile(REWEIGHT, len(XS)))
-    return cut_lineage(_moments(inside, "g"))
+    wide = cut_lineage(_inverted(raw, consistency(SUPPORT)))
+    inside = join.distances(rows, wide).where(F.col("d2") <= chi_square_quantile(REWEIGHT, N))
+    return cut_lineage(_moments(inside, wide, "g"))
 
 
 def _shrunk(groups: DataFrame, estimates: DataFrame) -> DataFrame:
-    """(g, m_i, l_i_j) of every group of language and source, leaning on its language and that on all texts."""
-    means, covs = [f"m{i}" for i in range(len(XS))], [f"c{i}_{j}" for i, j in PAIRS]
+    """(g, m_i, p_i_j) of every group of language and source, leaning on its language and that on all texts."""
+    scale = {**dict.fromkeys(MEANS, 1.0), **dict.fromkeys(COVS, consistency(REWEIGHT))}
     out = groups
     for level in ("all", "of_lang", "g"):
-        own = estimates.select(F.col("g").alias(level), "n", *(F.col(c).alias(f"own_{c}") for c in (*means, *covs)))
-        out = out.join(own, level, "left")
-        share = F.coalesce(F.col("n") / (F.col("n") + SHRINK), F.lit(0.0))
-        if level == "all":
-            columns = [F.col(f"own_{c}").alias(c) for c in means] + [(F.col(f"own_{c}") * consistency(REWEIGHT)).alias(c) for c in covs]
-        else:
-            factor = {**dict.fromkeys(means, 1.0), **dict.fromkeys(covs, consistency(REWEIGHT))}
-            columns = [(F.coalesce(share * F.col(f"own_{c}") * f, F.lit(0.0)) + (1 - share) * F.col(c)).alias(c) for c, f in factor.items()]
-        out = out.select("g", "of_lang", "all", *columns)
-    return cut_lineage(_factored(out.drop("of_lang", "all")))
+        own = estimates.selectExpr(f"g AS `{level}`", "n", *(f"{c} * {f!r}D AS own_{c}" for c, f in scale.items()))
+        mixed = [f"own_{c} AS {c}" if level == "all" else f"coalesce((n * own_{c} + {SHRINK!r}D * {c}) / (n + {SHRINK!r}D), {c}) AS {c}" for c in scale]
+        out = out.join(own, level, "left").selectExpr("g", "of_lang", "all", *mixed)
+    return cut_lineage(_inverted(out.drop("of_lang", "all")))
 
 
 def outlier_distances(stats: DataFrame) -> DataFrame:
@@ -236,7 +237,7 @@ def outlier_distances(stats: DataFrame) -> DataFrame:
     join = _Join(fits(groups, MAX_BROADCAST_GROUPS))
     leveled = rows.select(F.explode(F.array("all", "of_lang", "g")).alias("g"), *XS)
     estimates = _shrunk(groups, least_determinant(leveled, join))
-    return join.distances(rows.drop("all", "of_lang"), estimates).drop("g", *XS)
+    return join.distances(rows.drop("all", "of_lang"), estimates).drop("g", *XS, *(f"v{i}" for i in range(N)))
 
 
 def judge(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang", "source"), text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -248,7 +249,7 @@ def judge(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang", "source"),
     marked = cut_lineage(text_stats(docs, text, lang, source, keep)).withColumn("base_failed", failed)
     judged = outlier_distances(marked.where(~F.col("base_failed")))
     rest = marked.where("base_failed").withColumn("d2", F.lit(None).cast("double"))
-    near = F.coalesce(F.col("d2") <= chi_square_quantile(CUTOFF, len(XS)), F.lit(False))
+    near = F.coalesce(F.col("d2") <= chi_square_quantile(CUTOFF, N), F.lit(False))
     held = [F.col("kept")[c].alias(c) for c in keep]
     return judged.unionByName(rest).select(*held, *COUNTS, "base_failed", near.alias("kept"), "d2")
 
