@@ -3,13 +3,19 @@
 A document's character bigrams and trigrams (lower-cased letters, one blank between words) are hashed to BINS
 bins. Expectation-maximisation over the bins estimates the proportions of the learned languages in the
 document; the set of languages is chosen by penalised likelihood: starting from the single best language,
-another is added while the log-likelihood gains more than PENALTY * log(number of n-grams) per language.
+sets of any size are tried, made of the languages with the largest proportions, and the one with the greatest
+log-likelihood less PENALTY * log(number of n-grams) for every further language is taken. A size is skipped only if
+no mixture of all languages could reach it (an upper bound from the gradient of the likelihood).
 
 Languages are learned from a bounded sample: about per_language documents of each language by a hash of
-doc_id, outside the held-out fold, with at most MAX_TRAIN_BYTES of text, picked where they lie (the shares of
-at most MAX_BROADCAST_LANGS languages are broadcast). Predictions see whole texts only.
+doc_id, outside the held-out fold, picked where they lie (the shares of at most MAX_BROADCAST_LANGS
+languages are broadcast, more are joined by a shuffle). Texts of any length are counted whole, in learning as in
+prediction; only histograms are gathered. Predictions see texts only.
+
 A text that is null, empty or without letters is `und` with score 0, and so is every text if nothing was
-learned. The score is the share of the predicted language, times its probability against the others.
+learned. The score is the share of the predicted language, times its probability against the others. Ties go to the
+alphabetically first language; repeated rows repeat their result; an empty table gives an empty one. identify()
+returns doc_id and its results only, so other columns cannot clash; accepted() keeps all columns.
 """
 
 from __future__ import annotations
@@ -26,7 +32,6 @@ from vectorloom.runtime import broadcast_if_small, cut_lineage
 
 BINS = 8192
 PENALTY = 2.0
-MAX_TRAIN_BYTES = 200_000
 MAX_BROADCAST_LANGS = 10_000
 PIECE = 1 << 20
 GROUP = 64
@@ -41,23 +46,57 @@ class Grams:
 
     def counts(self, texts: list[str | None]) -> np.ndarray:
         out = np.zeros((len(texts), BINS), dtype=np.float32)
-        pieces, size = [], 0
+        group, size = [], 0
         for i, t in enumerate(texts):
             t = (t or "").lower()
-            for k in range(0, len(t), PIECE):
-                pieces.append((i, t[max(0, k - 2) : k + PIECE]))
-                size += len(pieces[-1][1])
-                if size > PIECE:
-                    self._add(out, pieces)
-                    pieces, size = [], 0
-        if pieces:
-            self._add(out, pieces)
+            if len(t) > PIECE:
+                out[i] = self._long(f" {t} ")
+                continue
+            group.append((i, t))
+            size += len(t)
+            if size > PIECE:
+                self._add(out, group)
+                group, size = [], 0
+        if group:
+            self._add(out, group)
+        return out
+
+    @staticmethod
+    def _codes(text: str) -> np.ndarray:
+        return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+
+    @staticmethod
+    def _bins(c: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(bins, whether they count) of the bigrams and of the trigrams of letters and blanks."""
+        blank = c == 32
+        two = c[:-1] * np.uint32(0x9E3779B1) + c[1:] * np.uint32(0x85EBCA77)
+        three = two[:-1] ^ (c[2:] * np.uint32(0xC2B2AE3D) + np.uint32(0x27D4EB2F))
+        shift = np.uint32(32 - BINS.bit_length() + 1)
+        return [((h * np.uint32(0x2C1B3C6D) >> shift).astype(np.int64), ok) for h, ok in ((two, ~(blank[:-1] & blank[1:])), (three, ~blank[1:-1]))]
+
+    def _long(self, text: str) -> np.ndarray:
+        """Histogram of one text, piece by piece; n-grams over a cut count once."""
+        out, carry = np.zeros(BINS), np.zeros(0, np.uint32)
+        for a in range(0, len(text), PIECE):
+            b = min(len(text), a + PIECE)
+            c = self._codes(text[max(0, a - 1) : b + 1])
+            is_letter = self.letter[c]
+            keep = is_letter.copy()
+            keep[1:] |= is_letter[:-1]
+            keep[:-1] |= is_letter[1:]
+            own = slice(min(a, 1), min(a, 1) + b - a)
+            symbols = np.r_[carry, np.where(is_letter, c, np.uint32(32))[own][keep[own]]]
+            if len(symbols) > 1:
+                for k, (bins, ok) in enumerate(self._bins(symbols)):
+                    new = max(0, len(carry) - 1 - k)
+                    out += np.bincount(bins[new:][ok[new:]], minlength=BINS)
+            carry = symbols[-2:]
         return out
 
-    def _add(self, out: np.ndarray, pieces: list[tuple[int, str]]) -> None:
-        c = np.frombuffer("".join(f" {t} " for _, t in pieces).encode("utf-32-le", "surrogatepass"), dtype="<u4")
-        rows, first = np.unique([i for i, _ in pieces], return_index=True)
-        at = np.cumsum([0] + [len(t) + 2 for _, t in pieces])[first]
+    def _add(self, out: np.ndarray, group: list[tuple[int, str]]) -> None:
+        c = self._codes("".join(f" {t} " for _, t in group))
+        rows = np.array([i for i, _ in group])
+        at = np.cumsum([0] + [len(t) + 2 for _, t in group])[:-1]
         is_letter = self.letter[c]
         keep = is_letter.copy()
         keep[1:] |= is_letter[:-1]
@@ -67,14 +106,9 @@ class Grams:
         if len(c) < 3:
             return
         row = np.searchsorted(at, kept, side="right") - 1
-        blank = c == 32
-        two = c[:-1] * np.uint32(0x9E3779B1) + c[1:] * np.uint32(0x85EBCA77)
-        three = two[:-1] ^ (c[2:] * np.uint32(0xC2B2AE3D) + np.uint32(0x27D4EB2F))
-        shift = np.uint32(32 - BINS.bit_length() + 1)
-        for h, ok in ((two, ~(blank[:-1] & blank[1:])), (three, ~blank[1:-1])):
-            b = (h * np.uint32(0x2C1B3C6D) >> shift)[ok].astype(np.int64)
-            r = row[: len(h)][ok]
-            out[rows] += np.bincount(r * BINS + b, minlength=len(rows) * BINS).reshape(len(rows), BINS).astype(np.float32)
+        for bins, ok in self._bins(c):
+            r = row[: len(bins)][ok]
+            out[rows] += np.bincount(r * BINS + bins[ok], minlength=len(rows) * BINS).reshape(len(rows), BINS).astype(np.float32)
 
 
 def train(docs: DataFrame, per_language: int = 300) -> dict:
@@ -82,7 +116,7 @@ def train(docs: DataFrame, per_language: int = 300) -> dict:
     known = docs.where(F.col("lang").isNotNull() & ~held_out(4, 2))
     sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     share = broadcast_if_small(cut_lineage(sizes.select("lang", F.least(F.lit(1.0), per_language / F.col("n")).alias("share"))), MAX_BROADCAST_LANGS)
-    sample = known.where(F.octet_length("text").between(1, MAX_TRAIN_BYTES)).select("lang", "text", "doc_id").join(share, "lang").where(fraction_of(F.struct("doc_id", F.octet_length("text"))) < F.col("share"))
+    sample = known.where(F.octet_length("text") > 0).select("lang", "text", "doc_id").join(share, "lang").where(fraction_of(F.struct("doc_id", F.octet_length("text"))) < F.col("share"))
 
     def make():
         grams = Grams()
@@ -116,7 +150,7 @@ def _mix(c: np.ndarray, p: np.ndarray, start: np.ndarray, steps: int) -> tuple[n
     return share, np.einsum("ij,ij->i", c, np.log(share @ p)).astype(np.float64)
 
 
-def infer(c: np.ndarray, p: np.ndarray, most: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def infer(c: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Predicted language, score and number of languages of every histogram (rows of c, none empty)."""
     langs, n = len(p), c.sum(axis=1).astype(np.float64)
     single = (c @ np.log(p).T).astype(np.float64)
@@ -128,10 +162,13 @@ def infer(c: np.ndarray, p: np.ndarray, most: int = 4) -> tuple[np.ndarray, np.n
     if langs > 1:
         start = np.full((len(c), langs), 1.0 / langs)
         mixed, full = _mix(c, p, start, 8)
+        # the likelihood is concave in the proportions: no mixture gains more than the largest gradient less n
+        slope = (c / (mixed @ p)) @ p.T
+        most = full + slope.max(axis=1) - n + 1e-3 + 1e-5 * n
         cost = PENALTY * np.log(np.maximum(2.0, n))
         value = top.copy()
-        for m in range(2, min(langs, most) + 1):
-            at = np.flatnonzero(full - (m - 1) * cost > value)
+        for m in range(2, langs + 1):
+            at = np.flatnonzero(most - (m - 1) * cost > value)
             if not len(at):
                 break
             order = np.argsort(-mixed[at], axis=1)[:, :m]
@@ -147,13 +184,12 @@ def infer(c: np.ndarray, p: np.ndarray, most: int = 4) -> tuple[np.ndarray, np.n
 
 
 def identify(docs: DataFrame, model: dict) -> DataFrame:
-    """(doc_id, lang_pred, score, n_langs) of every row, with its other columns but text."""
-    rest = [c for c in docs.columns if c in ("doc_id",)]
+    """(doc_id, lang_pred, score, n_langs) of every row."""
 
     def make():
         return _predictor(model)
 
-    return map_rows(docs.select(*[F.col(c).cast("long") for c in rest], F.col("text").cast("string").alias("text")), make, "doc_id long, lang_pred string, score double, n_langs int")
+    return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), make, "doc_id long, lang_pred string, score double, n_langs int")
 
 
 def _predictor(model: dict):
