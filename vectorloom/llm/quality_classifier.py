@@ -1,14 +1,19 @@
 """Quality classifier by compression.
 
 Two zstandard dictionaries are built from good and from bad labelled text. A text is compressed in blocks of
-a few kilobytes with each of them (all of its blocks: the whole text); the difference of the two sizes over
-their sum becomes, through a logistic calibration, the probability of a good label. The calibration also sees
-the compression ratio and the length, which tell how much the difference is worth. Dictionaries and
-calibration use disjoint halves of a bounded sample of the labelled rows (max_docs documents in expectation,
-chosen by a hash of doc_id, texts of at most MAX_TRAIN_BYTES); scoring covers every row.
-
-Null and empty texts score the share of good labels. Labels that disagree on a document count by their mean;
-null labels are ignored. With labels of one kind only, the score is the share of good labels.
+BLOCK bytes with each of them (all of its blocks: the whole text); the difference of the two sizes over
+their sum, and nothing else, becomes the probability of a good label through a logistic calibration.
+
+Learning uses a bounded sample of the labelled rows: at most max_docs documents by a hash of doc_id. Half of them, by a
+hash of the row, give the dictionaries, from at most max_blocks pieces of PIECE bytes a label, chosen
+by a hash among all pieces of whole texts; the other half, at most max_docs rows, gives differences for the
+calibration. Only these pieces and numbers come to the driver, whatever the number or the length of texts under a doc_id.
+
+Null and empty texts score the share of good labels. Labels that disagree on a document count by their mean,
+a mean of 0.5 as good; null labels are ignored. Equal texts under one doc_id are learned from once; every row is scored,
+so repeated rows repeat their score, and texts of any length count whole. With too few labels of a kind, the
+score is the share of good labels. Only doc_id and text are read, so other columns cannot clash; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,15 +21,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectorloom.llm.common import fraction_of, held_out, map_rows, raw_texts, table
+from vectorloom.runtime import cut_lineage
 
-BLOCK = 4096
+BLOCK = 1024
 LEVEL = 3
-DICT_BYTES = 65_536
-MAX_TRAIN_BYTES = 200_000
+DICT_BYTES = 262_144
+PIECE = 512
+SCALE = 20.0
 
 
 class Compressors:
@@ -37,20 +44,23 @@ class Compressors:
             d.precompute_compress(level=LEVEL)
             self.pair.append(zstandard.ZstdCompressor(dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False))
 
-    def features(self, text: bytes | None) -> tuple[float, float, float]:
-        """Normalised difference, compression ratio, log length."""
+    def difference(self, text: bytes | None) -> float:
+        """Size under the bad dictionary less size under the good one, over their sum."""
         text = text or b""
         good = bad = 0
         for i in range(0, len(text), BLOCK):
             block = text[i : i + BLOCK]
             good += len(self.pair[0].compress(block))
             bad += len(self.pair[1].compress(block))
-        return (bad - good) / max(1, good + bad), (good + bad) / max(1, 2 * len(text)), float(np.log1p(len(text)))
+        return (bad - good) / max(1, good + bad)
 
 
-def design(x: np.ndarray) -> np.ndarray:
-    d, r, n = x.T
-    return np.stack([np.ones_like(d), 20 * d, 4 * (r - 0.4), (n - 7) / 2, 80 * d * (r - 0.4), 10 * d * (n - 7) / 2, 16 * (r - 0.4) ** 2], axis=1)
+def design(d: np.ndarray) -> np.ndarray:
+    return np.stack([np.ones_like(d), SCALE * d], axis=1)
+
+
+def probability(d: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(design(d) @ w, -30, 30)))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 40) -> np.ndarray:
@@ -67,30 +77,52 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int =
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = 4000) -> dict:
-    """Dictionaries and calibration from at most about max_docs labelled documents outside the held-out fold."""
-    marked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(5, 0)).groupBy("doc_id").agg(F.avg("quality").alias("quality"))
-    n = marked.count()
-    sample = marked.where(fraction_of(F.col("doc_id")) < min(1.0, max_docs / max(1, n)))
-    rows = docs.where(F.octet_length("text").between(1, MAX_TRAIN_BYTES)).select("doc_id", "text").join(F.broadcast(sample), "doc_id").orderBy("doc_id", "text").collect()
-    texts, good = [r["text"].encode() for r in rows], np.array([r["quality"] >= 0.5 for r in rows], dtype=bool)
-    prior = float((good.sum() + 1) / (len(good) + 2))
-    model = {"prior": prior, "good": b"", "bad": b"", "w": None}
-    first = np.arange(len(rows)) % 2 == 0
-    if min((good & first).sum(), (~good & first).sum(), (good & ~first).sum(), (~good & ~first).sum()) < 3:
+def dictionary(pieces: list[bytes]) -> bytes:
+    """A zstandard dictionary of some pieces of text; their concatenation where there are too few to train one."""
+    try:
+        return zstandard.train_dictionary(DICT_BYTES, pieces).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(pieces)[:DICT_BYTES]
+
+
+def _least(df: DataFrame, by: Column, n: int) -> DataFrame:
+    """At most n rows, those with the least hashes."""
+    return df.orderBy(by, *df.columns).limit(n)
+
+
+def sample(docs: DataFrame, labels: DataFrame, max_docs: int) -> DataFrame:
+    """(key, text, good, half) of the distinct labelled texts of at most max_docs documents outside the held-out fold."""
+    marked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(5, 0))
+    marked = marked.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).alias("good"))
+    share = min(1.0, 1.2 * max_docs / max(1, marked.count()))
+    chosen = _least(marked.where(fraction_of(F.col("doc_id")) <= share), F.xxhash64("doc_id"), max_docs)
+    texts = docs.where(F.octet_length("text") > 0).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    met = texts.join(F.broadcast(chosen), "doc_id").withColumn("key", F.xxhash64("doc_id", "text")).dropDuplicates(["key"])
+    return cut_lineage(met.select("key", F.col("text").cast("binary").alias("text"), "good", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(2)).alias("half")))
+
+
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, max_blocks: int = 8000) -> dict:
+    """Dictionaries and calibration from a bounded sample of the labelled documents outside the held-out fold."""
+    rows = sample(docs, labels, max_docs)
+    counts = {(r["half"], r["good"]): r["count"] for r in rows.groupBy("half", "good").count().collect()}
+    good, n = sum(v for (_, g), v in counts.items() if g), sum(counts.values())
+    model = {"prior": (good + 1) / (n + 2), "good": b"", "bad": b"", "w": None}
+    if min(counts.get((h, g), 0) for h in (0, 1) for g in (True, False)) < 3:
         return model
-    for name, side in (("good", good), ("bad", ~good)):
-        own = [texts[i] for i in np.flatnonzero(side & first)]
-        blocks = [t[i : i + 1024] for t in own for i in range(0, len(t), 1024)]
-        rng = np.random.default_rng(7)
-        picked = [blocks[i] for i in rng.permutation(len(blocks))[:4000]]
-        try:
-            model[name] = zstandard.train_dictionary(DICT_BYTES, picked).as_bytes()
-        except zstandard.ZstdError:
-            model[name] = b"".join(picked)[:DICT_BYTES]
-    c = Compressors(model["good"], model["bad"])
-    x = np.array([c.features(texts[i]) for i in np.flatnonzero(~first)])
-    model["w"] = fit_logistic(design(x), good[~first].astype(float))
+    last = F.floor((F.octet_length("text") - 1) / PIECE).cast("int")
+    pieces = rows.where("half = 0").select("good", "key", "text", F.explode(F.sequence(F.lit(0), last)).alias("i"))
+    pieces = pieces.select("good", "key", "i", F.substring("text", F.col("i") * PIECE + 1, F.lit(PIECE)).alias("piece"))
+    for name, side in (("good", F.col("good")), ("bad", ~F.col("good"))):
+        picked = _least(pieces.where(side), F.xxhash64("key", "i"), max_blocks).collect()
+        model[name] = dictionary([bytes(r["piece"]) for r in picked])
+
+    def make():
+        c = Compressors(model["good"], model["bad"])
+        return lambda b: {"key": b.column(0), "d": [c.difference(t) for t in b.column(1).to_pylist()], "good": b.column(2)}
+
+    apart = map_rows(rows.where("half = 1").select("key", "text", "good"), make, "key long, d double, good boolean")
+    known = _least(apart, F.xxhash64("key"), max_docs).collect()
+    model["w"] = fit_logistic(design(np.array([r["d"] for r in known])), np.array([float(r["good"]) for r in known]))
     return model
 
 
@@ -104,8 +136,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             texts = raw_texts(batch.column(1))
             out = np.full(len(texts), model["prior"])
             if c is not None:
-                x = np.array([c.features(t) for t in texts])
-                p = 1 / (1 + np.exp(-np.clip(design(x) @ model["w"], -30, 30)))
+                p = probability(np.array([c.difference(t) for t in texts]), model["w"])
                 out = np.where([bool(t) for t in texts], p, out)
             return {"doc_id": batch.column(0), "score": out}
 
