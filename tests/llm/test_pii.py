@@ -85,3 +85,46 @@ def test_context_on_both_sides(spark):
     texts = ["SSN: 111-22-3333, 444-55-6666", "111-22-3333 is the ssn", f"{a} was the token", f"secret {b}", f"token {'x' * 60} {a}", f"{a} {'x' * 60} token"]
     out = pii.find(docs(spark, list(enumerate(texts)))).orderBy("doc_id").collect()
     assert [[(s.kind, r.text[s.start : s.end]) for s in r.pii if s.kind in ("ssn", "secret")] for r in out] == [[("ssn", "111-22-3333"), ("ssn", "444-55-6666")], [("ssn", "111-22-3333")], [("secret", a)], [("secret", b)], [], []]
+
+
+ADDED = {
+    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])", 0.8, "iban|bank|account"),
+    "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.4, "ssn|social|security"),
+    "secret": (r"(?<![A-Za-z0-9])[A-Fa-f0-9]{32,}+(?![A-Za-z0-9])", 0.3, "token|secret|passw|key"),
+}
+
+
+def added(text):
+    """The spans of the other kinds: proposals, checksum, words within 48 characters on both sides."""
+    out = []
+    for kind, (pattern, plain, words) in ADDED.items():
+        for m in regex.finditer(pattern, text or ""):
+            s, e = m.span()
+            near = (text[max(0, s - 48) : s] + "\n" + text[e : e + 48]).lower()
+            score = min(1.0, plain + 0.35) if regex.search(words, near) else plain
+            p = m[0].replace(" ", "")
+            if kind == "iban" and not (15 <= len(p) <= 34 and int("".join(str(int(c, 36)) for c in p[4:] + p[:4])) % 97 == 1):
+                continue
+            if score >= 0.6:
+                out.append((s, kind, e))
+    return sorted(out)
+
+
+def test_added_spans_against_plain(spark):
+    """All spans of the other kinds, with positions, over many lengths, chunk borders and astral characters."""
+    key = "0123456789abcdef" * 2
+    rng = __import__("random").Random(4)
+    parts = ["DE89 3704 0044 0532 0130 00", "DE89370400440532013001", "123-45-6789", key, key * 5, "the social number", "token", "bank account", "key", "\U0001f600\U0001f680", "filler words here", "x@y.zz", "+1 555 123 4567", "\n", "4111111111111111"]
+    texts = [" ".join(rng.choice(parts) for _ in range(n)) for n in (1, 3, 10, 40, 150, 700, 3000)] + ["é" * 4090 + " ssn 123-45-6789 " + "é" * 4090 + f" {key} token"]
+    found = pii.find(docs(spark, list(enumerate(texts)))).orderBy("doc_id").collect()
+    assert sum(len(added(t)) for t in texts) > 300
+    for r in found:
+        assert sorted((s.start, s.kind, s.end) for s in r.pii if s.kind in ADDED) == added(r.text)
+        assert sorted((s.start, s.kind, s.end) for s in r.pii if s.kind in PATTERNS) == sorted((s, kind, e) for s, _, kind, e in base(r.text))
+    for r, new in zip(found, pii.redact(docs(spark, list(enumerate(texts)))).orderBy("doc_id").collect(), strict=True):
+        plain, at = "", 0
+        for s, _, kind, e in sorted((s.start, s.rank, s.kind, s.end) for s in r.pii):
+            if s >= at:
+                plain += r.text[at:s] + f"<{kind}>"
+            at = max(at, e)
+        assert new.text == plain + r.text[at:]

@@ -7,11 +7,15 @@ are confirmed; iban, ssn and secret spans are added if their score reaches ADD_S
 Positions come from the text itself: every match is wrapped in the character U+0001 (a U+0001 of the text
 counts as U+0002, which no pattern can match either), the text is split there, and running lengths of the
 pieces give code-point offsets. The patterns are linear-time forms (possessive runs, no restart inside a run)
-of the documented ones. Null texts are empty texts; rows are independent, so repeated rows repeat results.
+of the documented ones; running lengths and context are taken in chunks, so very long texts with very many matches take
+time in proportion. Null and empty texts have no spans; spans that start together are ordered by kind; rows are
+independent, so repeated rows repeat results, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +69,46 @@ def _confirmed(kind: str, p: Column) -> Column:
 
 
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string,score:double>>"
+CHUNK = 4096
+GROUP = 256
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f uses it within other functions."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _grouped(values: Column) -> Column:
+    last = F.floor((F.size(values) - 1) / GROUP).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda j: F.slice(values, j * GROUP + 1, F.lit(GROUP)))
+
+
+def _running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """Before every entry of a non-empty array of integers, op over the entries in front of it, from 0 on.
+
+    Arrays grow within groups of GROUP entries and over the groups only, so long arrays cost little.
+    """
+
+    def scan(start: Column, xs: Column) -> Column:
+        return F.aggregate(xs, F.array(start), lambda acc, x: F.concat(acc, F.array(op(F.element_at(acc, -1), x))))
+
+    def inner(groups: Column) -> Column:
+        totals = F.transform(groups, lambda g: F.aggregate(g, F.lit(0), op))
+        return _let(scan(F.lit(0), totals), lambda heads: F.flatten(F.transform(groups, lambda g, j: F.slice(scan(F.get(heads, j), g), F.lit(1), F.size(g)))))
+
+    return _let(_grouped(values), inner)
+
+
+def _chunks(text: Column) -> Column:
+    """A text in pieces of CHUNK code points, in which positions are found fast."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), 0)
+
+
+def _cut(chunks: Column, start: Column, end: Column) -> Column:
+    """Code points start to end (exclusive, at most the length) of a text in chunks."""
+    first = F.floor(start / CHUNK).cast("int")
+    n = F.floor((F.greatest(end, start + 1) - 1) / CHUNK).cast("int") - first + 1
+    return F.substring(F.array_join(F.slice(chunks, first + 1, n), ""), start - first * CHUNK + 1, F.greatest(end - start, F.lit(0)))
 
 
 def _spans(kind: str, text: Column) -> Column:
@@ -72,26 +116,29 @@ def _spans(kind: str, text: Column) -> Column:
     pattern, trigger, plain, words = RULES[kind]
     rank = list(RULES).index(kind)
     pieces = F.split(F.regexp_replace(text, pattern, "\x01$0\x01"), "\x01", -1)
-    none = F.lit(None).cast(SPAN)
-    empty = F.coalesce(none, F.array().cast(SPAN))
-
-    def step(acc: Column, p: Column) -> Column:
-        size = F.length(p)
-        # both sides apart, across other matches
-        left = F.substring(text, F.greatest(acc["at"] - NEAR, F.lit(0)) + 1, F.least(acc["at"], F.lit(NEAR)))
-        right = F.substring(text, acc["at"] + size + 1, F.lit(NEAR))
-        near = F.lower(F.concat(left, F.lit("\n"), right))
-        score = F.when(near.rlike(words), F.least(F.lit(1.0), F.lit(plain) + 0.35)).otherwise(F.lit(plain))
-        span = F.struct(acc["at"].alias("start"), F.lit(rank).alias("rank"), (acc["at"] + size).alias("end"), F.lit(kind).alias("kind"), score.alias("score"))
-        good = acc["match"] & _confirmed(kind, p)
-        if kind not in BASE_KINDS:
-            good = good & (score >= ADD_SCORE)
-        return F.struct((acc["at"] + size).alias("at"), (~acc["match"]).alias("match"), F.when(good, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).cast(SPAN).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("match"), empty.alias("out"))
-    found = F.aggregate(pieces, start, step, lambda acc: acc["out"])
+    empty = F.array().cast(SPAN)
+
+    def spans(pieces: Column, starts: Column, chunks: Column, size: Column) -> Column:
+        def one(p: Column, i: Column) -> Column:
+            at, end = F.get(starts, i), F.get(starts, i) + F.length(p)
+            # both sides apart, across other matches
+            left = _cut(chunks, F.greatest(at - NEAR, F.lit(0)), at)
+            right = _cut(chunks, end, F.least(end + NEAR, size))
+            near = F.lower(F.concat(left, F.lit("\n"), right))
+            score = F.when(near.rlike(words), F.least(F.lit(1.0), F.lit(plain) + 0.35)).otherwise(F.lit(plain))
+            span = F.struct(at.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), score.alias("score"))
+            good = (i % 2 == 1) & _confirmed(kind, p)
+            return F.when(good, span)
+
+        least = 0.0 if kind in BASE_KINDS else ADD_SCORE
+        return F.filter(F.transform(pieces, one), lambda s: s.isNotNull() & (s["score"] >= least)).cast(SPAN)
+
+    def located(pieces: Column) -> Column:
+        starts = _running(F.transform(pieces, F.length), lambda a, b: a + b)
+        return _let(starts, lambda at: _let(_chunks(text), lambda chunks: _let(F.length(text), lambda size: spans(pieces, at, chunks, size))))
+
     hit = F.contains(text, F.lit(trigger)) if trigger == "@" else text.rlike(trigger)
-    return F.when(hit, found).otherwise(empty)
+    return F.when(hit, _let(pieces, located)).otherwise(empty)
 
 
 def _found(docs: DataFrame, text: str) -> tuple[DataFrame, dict[str, str], str]:
@@ -123,16 +170,20 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     n_chars, if there, becomes the length of the new text where something was replaced.
     """
     found, _, every = _found(docs, text)
-    spans, new_text = F.col(every), fresh(docs, "__new")
-    whole = F.col(text)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    spans, new_text, whole = F.col(every), fresh(docs, "__new"), F.col(text)
+
+    def rebuilt(reach: Column, chunks: Column) -> Column:
+        """reach: for every span, the furthest end of the spans before it."""
+
+        def one(s: Column, i: Column) -> Column:
+            piece = F.concat(_cut(chunks, F.get(reach, i), s["start"]), F.lit("<"), s["kind"], F.lit(">"))
+            return F.when(s["start"] >= F.get(reach, i), piece).otherwise(F.lit(""))
 
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.array(F.substring(whole, acc["at"] + 1, s["start"] - acc["at"]), F.concat(F.lit("<"), s["kind"], F.lit(">")))
-        free = s["start"] >= acc["at"]
-        return F.struct(F.when(free, s["end"]).otherwise(F.greatest(acc["at"], s["end"])).alias("at"), F.when(free, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
+        last = F.greatest(F.element_at(reach, -1), F.element_at(spans, -1)["end"])
+        return F.concat(F.array_join(F.transform(spans, one), ""), F.when(last < F.length(whole), _cut(chunks, last, F.length(whole))).otherwise(F.lit("")))
 
-    new = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(whole, acc["at"] + 1, F.length(whole))))
+    reach = _running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+    new = _let(reach, lambda r: _let(_chunks(whole), lambda chunks: rebuilt(r, chunks)))
     out = found.withColumn(new_text, F.when(F.size(spans) > 0, new).otherwise(whole))
     size = {"n_chars": F.when(F.size(spans) > 0, F.length(new_text).cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")).alias("n_chars")} if "n_chars" in docs.columns else {}
     return out.select(*(F.col(new_text).alias(text) if c == text else size.get(c, F.col(c)) for c in docs.columns))
