@@ -1,3 +1,4 @@
+import random
 import re
 
 import duckdb
@@ -46,3 +47,22 @@ def test_bounds(n):
     dice = lambda m: 2 * min(n, m) / (n + m)
     ok = [m for m in range(1, 4 * n + 5) if dice(m) >= L.THRESHOLD - 1e-12]
     assert lo <= ok[0] and hi >= ok[-1]
+
+
+def test_clashing_columns(spark):
+    table = docs(spark, [(1, L._MIT), (2, None)]).selectExpr("*", "doc_id AS __b", "'mine' AS licenses")
+    out = L.matches(table).orderBy("doc_id").collect()
+    assert [(r["__b"], r.licenses) for r in out] == [(1, "mine"), (2, "mine")]
+    assert [x.license for x in out[0]["licenses_"]] == ["MIT"] and out[1]["licenses_"] == []
+
+
+def test_whole_licences_from_a_folder(spark, tmp_path):
+    """Templates of whole texts: a copy with a few words changed is found, another text is not."""
+    words = [f"clause{random.Random(i).randrange(500)}" for i in range(3000)]
+    (tmp_path / "Long-1.0.txt").write_text(" ".join(words))
+    (tmp_path / "Other 2.txt").write_text(" ".join(reversed(words)))
+    templates = L.read_templates(spark, f"file://{tmp_path}/*.txt")
+    assert [name for name, _ in templates] == ["Long-1.0", "Other 2"]
+    copy = " ".join("changed" if i % 40 == 0 else w for i, w in enumerate(words))
+    out = L.matches(docs(spark, [(1, copy), (2, " ".join(words[:1000]))]), templates=templates).orderBy("doc_id").collect()
+    assert [[x.license for x in r.licenses] for r in out] == [["Long-1.0"], []]

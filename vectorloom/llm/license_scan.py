@@ -7,18 +7,20 @@ reach THRESHOLD only with units of between n * t / (2 - t) and n * (2 - t) / t b
 never compared, and a unit outside all bounds is dropped before its bigrams are built.
 
 Everything happens within the row: no shuffle, whatever the skew. Null and empty texts have no match (license
-null, score 0.0); of equal scores the alphabetically last licence is the best one; repeated rows repeat.
+null, score 0.0); of equal scores the alphabetically last licence is the best one; repeated rows repeat; texts of
+any length count whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
 from math import ceil
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorloom.llm.common import table
+from vectorloom.llm.common import fresh, table
 
 THRESHOLD = 0.8
 
@@ -88,7 +90,10 @@ def _templates(templates: list[tuple[str, str]]) -> list[tuple[str, list[str], i
 
 
 def matches(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with `licenses`: an array of (score, license) for every unit that reaches the threshold with a template."""
+    """docs with `licenses`: an array of (score, license) for every unit that reaches the threshold with a template.
+
+    Where docs has a column of that name, the new one gets underscores at its end.
+    """
     known = _templates(templates)
     least, most = min(lo for *_, lo, _ in known), max(hi for *_, hi in known)
     all_t = F.array(*(F.struct(F.lit(name).alias("license"), F.array(*map(F.lit, b)).alias("grams"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for name, b, lo, hi in known))
@@ -109,8 +114,17 @@ def matches(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]
         scored = F.transform(near, lambda x: F.struct((F.size(F.array_intersect(b, x["grams"])) * F.lit(2.0) / (F.size(b) + F.size(x["grams"]))).alias("score"), x["license"].alias("license")))
         return F.filter(scored, lambda x: x["score"] >= threshold)
 
-    found = docs.withColumn("__b", fit)
-    return found.withColumn("licenses", F.flatten(F.transform("__b", compare))).drop("__b")
+    grams_of, name = fresh(docs, "__b"), fresh(docs, "licenses")
+    return docs.withColumn(grams_of, fit).withColumn(name, F.flatten(F.transform(grams_of, compare))).drop(grams_of)
+
+
+def read_templates(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """Whole licence texts as templates: one file each, named by the licence, in a folder or pattern that Spark can read.
+
+    The folder is the bound: its texts become literals of the plan.
+    """
+    rows = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"), "value").collect()
+    return sorted((unquote(re.sub(r"\.txt$", "", r["name"])), r["value"]) for r in rows)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
