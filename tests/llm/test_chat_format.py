@@ -52,3 +52,18 @@ def test_escape_is_reversible():
     for text in ["", "\\", "<|bos|>", "<\\|bos|>", "\\\\<s></s>", "[INST][/INST]<<SYS>>", "<<|end|>"]:
         assert C.unescape(C.escape(text)) == text
         assert not any(c in C.escape(text) for c in C.CONTROLS)
+
+
+def test_conversations_over_many_batches(spark, monkeypatch):
+    """Offsets, first and last turns go on over the pieces that a task works on."""
+    monkeypatch.setattr(C, "STEP", 3)
+    rows = [(c, t, ("user", "assistant")[t % 2], f"turn {t} of {c} " * (1 + t % 3)) for c in range(4) for t in range(1 + 5 * c)]
+    rows += rows[-2:]
+    table = spark.createDataFrame([(*r, "x", "y", "z") for r in rows], SCHEMA)
+    formatted = C.format_conversations(table)
+    assert rows_of(C.read_back(formatted)) == plain(rows)
+    for c in range(4):
+        at = 0
+        for r in formatted.where(f"conv_id = {c}").orderBy("offset").collect():
+            assert r.offset == at
+            at += len(r.ids)

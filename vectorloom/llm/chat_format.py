@@ -6,9 +6,10 @@ conversation is [BOS] turns [EOS]. Offsets and loss-mask ranges are prefix sums
 strings that occur inside role or text are escaped reversibly: a backslash is doubled and a control string
 gets one after its first character.
 
-Rows are ordered by turn (null first), ties by role and then by token ids. A null text or role is the empty string, a null
-conv_id is a conversation of its own. Conversations stream through the task that owns them, one turn at a
-time, so one of any length needs bounded memory.
+Rows are ordered by turn (null first), ties by role and then by text. A null text or role is the empty string, a null
+conv_id is a conversation of its own; repeated rows are turns like others; other columns are not read; an empty table
+gives an empty result. Texts are shuffled, not their ids. Conversations stream through the task that owns them, one
+batch at a time, so one of any length needs bounded memory.
 """
 
 from __future__ import annotations
@@ -17,23 +18,22 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorloom.llm.common import map_rows, table
+from vectorloom.llm.common import table
 
 BASE = 50_256
 BOS, TURN, BODY, END, EOS = range(BASE + 1, BASE + 6)
 MARKS = {BOS: "<|bos|>", TURN: "<|turn|>", BODY: "<|body|>", END: "<|end|>", EOS: "<|eos|>"}
 CONTROLS = [*MARKS.values(), "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|endoftext|>", "<|im_start|>", "<|im_end|>"]
 FIND = re.compile(r"\\|" + "|".join(re.escape(c) for c in CONTROLS))
+STEP = 1024
 UNDO = re.compile(r"\\(.)", re.S)
-SEGMENT = "conv_id long, turn long, role string, ids array<int>, body_from int, body_to int, chars long"
-
-
 def escape(text: str) -> str:
     """Text without control strings; unescape() gives the original back."""
     return FIND.sub(lambda m: "\\\\" if m[0] == "\\" else f"{m[0][0]}\\{m[0][1:]}", text)
@@ -53,32 +53,28 @@ def encoder(path: str | None = None):
     return tiktoken.Encoding("segments", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def segments(turns: DataFrame, path: str | None = None) -> DataFrame:
-    """One row per turn: reserved ids spliced around the encoded role and text, and the range of the text."""
+class Assembler:
+    """Segments of turns as ids, with reserved ids spliced around them."""
 
-    def make():
-        enc = encoder(path)
+    def __init__(self, path: str | None = None):
+        self.enc = encoder(path)
+        self.roles: dict[str, list[int]] = {}
+        self.around = len(MARKS[TURN]) + len(MARKS[BODY]) + len(MARKS[END])
 
-        def run(batch: pa.RecordBatch) -> dict:
-            roles = [escape(x or "") for x in batch.column(2).to_pylist()]
-            texts = [escape(x or "") for x in batch.column(3).to_pylist()]
-            named = {r: enc.encode_ordinary(r) for r in set(roles)}
-            bodies = [enc.encode_ordinary(t) for t in texts]
-            heads = [[TURN, *named[r], BODY] for r in roles]
-            sizes = len(MARKS[TURN]) + len(MARKS[BODY]) + len(MARKS[END])
-            return {
-                "conv_id": batch.column(0),
-                "turn": batch.column(1),
-                "role": batch.column(2),
-                "ids": [[*h, *b, END] for h, b in zip(heads, bodies, strict=True)],
-                "body_from": [len(h) for h in heads],
-                "body_to": [len(h) + len(b) for h, b in zip(heads, bodies, strict=True)],
-                "chars": [len(r) + len(t) + sizes for r, t in zip(roles, texts, strict=True)],
-            }
+    def _role(self, escaped: str) -> list[int]:
+        if escaped not in self.roles:
+            if len(self.roles) > 10_000:
+                self.roles = {}
+            self.roles[escaped] = [TURN, *self.enc.encode_ordinary(escaped), BODY]
+        return self.roles[escaped]
 
-        return run
-
-    return map_rows(turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string")), make, SEGMENT)
+    def turns(self, roles: list[str | None], texts: list[str | None]) -> tuple[list[list[int]], np.ndarray, np.ndarray]:
+        """Ids, number of ids in front of the text, and rendered length of every turn."""
+        roles, texts = [escape(x or "") for x in roles], [escape(x or "") for x in texts]
+        heads = [self._role(r) for r in roles]
+        ids = [[*h, *self.enc.encode_ordinary(t), END] for h, t in zip(heads, texts, strict=True)]
+        chars = np.array([len(r) + len(t) + self.around for r, t in zip(roles, texts, strict=True)], dtype=np.int64)
+        return ids, np.array([len(h) for h in heads], dtype=np.int64), chars
 
 
 def format_conversations(turns: DataFrame, path: str | None = None, loss_role: str = "assistant") -> DataFrame:
@@ -88,29 +84,43 @@ def format_conversations(turns: DataFrame, path: str | None = None, loss_role: s
     of the first id in the stream, by prefix sums), ids, loss_from and loss_to (the range of ids under the
     loss mask, empty unless the role is loss_role), chars (length of the rendered form).
     """
-    ordered = segments(turns, path).repartition("conv_id").sortWithinPartitions("conv_id", "turn", F.coalesce("role", F.lit("")), "ids")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, conv, begun, held = 0, None, False, None
-
-        def put(row: dict, last: bool) -> dict:
-            return row | {"last": last, "ids": [*row["ids"], EOS] if last else row["ids"], "chars": row["chars"] + (len(MARKS[EOS]) if last else 0)}
+    wanted = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    ordered = wanted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
 
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                new = not begun or r["conv_id"] != conv
-                if held:
-                    out.append(put(held, new))
-                if new:
-                    at, conv, begun = 0, r["conv_id"], True
-                lead = [BOS] if new else []
-                hit = r["role"] == loss_role
-                held = {"conv_id": conv, "turn": r["turn"], "role": r["role"], "first": new, "offset": at, "ids": [*lead, *r["ids"]], "loss_from": r["body_from"] + len(lead) if hit else 0, "loss_to": r["body_to"] + len(lead) if hit else 0, "chars": r["chars"] + (len(MARKS[BOS]) if new else 0)}
-                at += len(held["ids"])
-            yield pa.RecordBatch.from_pylist(out, schema=FORMATTED)
-        if held:
-            yield pa.RecordBatch.from_pylist([put(held, True)], schema=FORMATTED)
+            for i in range(0, batch.num_rows, STEP):
+                yield batch.slice(i, STEP)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make, at, conv, begun = Assembler(path), 0, None, False
+        feed = pieces(batches)
+        now = next(feed, None)
+        while now is not None:
+            then = next(feed, None)
+            convs, roles = now.column(0).to_pylist(), now.column(2).to_pylist()
+            ids, body, chars = make.turns(roles, now.column(3).to_pylist())
+            n = len(convs)
+            first = np.array([not (begun and convs[0] == conv), *(a != b for a, b in zip(convs[1:], convs, strict=False))])
+            # the last turn of a piece closes its conversation unless the next piece goes on with it
+            last = np.r_[first[1:], then is None or then.column(0)[0].as_py() != convs[-1]]
+            for k in np.flatnonzero(first).tolist():
+                ids[k] = [BOS, *ids[k]]
+            for k in np.flatnonzero(last).tolist():
+                ids[k].append(EOS)
+            size = np.array([len(x) for x in ids], dtype=np.int64)
+            # prefix sums of segment lengths, counted from the first turn of each conversation
+            total = np.cumsum(size) - size
+            start = np.where(first, total, -at)[np.maximum.accumulate(np.where(first, np.arange(n), 0))]
+            offset = total - start
+            lead = first.astype(np.int64)
+            hit = np.array([r == loss_role for r in roles])
+            ends = size - 1 - last
+            yield pa.RecordBatch.from_arrays(
+                [now.column(0), now.column(1), now.column(2), pa.array(first), pa.array(last), pa.array(offset), pa.ListArray.from_arrays(np.r_[0, np.cumsum(size)].astype(np.int32), pa.array(np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(size.sum())))), pa.array(np.where(hit, body + lead, 0).astype(np.int32)), pa.array(np.where(hit, ends, 0).astype(np.int32)), pa.array(chars + lead * len(MARKS[BOS]) + last * len(MARKS[EOS]))],
+                schema=FORMATTED,
+            )
+            at, conv, begun, now = int(offset[-1] + size[-1]), convs[-1], True, then
 
     return ordered.mapInArrow(run, "conv_id long, turn long, role string, first boolean, last boolean, offset long, ids array<int>, loss_from int, loss_to int, chars long")
 
@@ -124,25 +134,31 @@ def read_back(formatted: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        text = lambda ids: unescape(enc.decode_bytes(ids).decode())
         turns, loss = hashlib.sha256(), hashlib.sha256()
         n = chars = size = 0
         for batch in batches:
             out = []
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in ("conv_id", "first", "last", "ids", "loss_from", "loss_to")]
-            for conv, first, last, ids, a, b in zip(*(c.to_pylist() for c in columns), strict=True):
+            col = lambda name: batch.column(batch.schema.get_field_index(name))
+            lists = col("ids")
+            flat, cuts = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            at = np.flatnonzero(flat > BASE)
+            owner = np.searchsorted(cuts, at, side="right") - 1
+            code = flat[at]
+            size_of = np.bincount(owner, weights=np.array([len(MARKS[c]) for c in MARKS])[code - BASE - 1], minlength=len(lists)).astype(np.int64)
+            start, body, end = (at[code == c] for c in (TURN, BODY, END))
+            ids = flat.tolist()
+            rows = zip(*(col(c).to_pylist() for c in ("conv_id", "first", "last", "loss_from", "loss_to")), cuts[:-1].tolist(), size_of.tolist(), start.tolist(), body.tolist(), end.tolist(), strict=True)
+            for conv, first, last, a, b, base, marks, s, m, e in rows:
                 if first:
                     turns, loss, n, chars, size = hashlib.sha256(), hashlib.sha256(), 0, 0, 0
-                marks = np.flatnonzero(np.array(ids) > BASE)
-                size += sum(len(MARKS[ids[i]]) for i in marks)
-                start, body, end = (i for i in marks if ids[i] in (TURN, BODY, END))
-                role, said = enc.decode_bytes(ids[start + 1 : body]).decode(), enc.decode_bytes(ids[body + 1 : end]).decode()
-                size += len(role) + len(said)
+                role, said = enc.decode_bytes(ids[s + 1 : m]).decode(), enc.decode_bytes(ids[m + 1 : e]).decode()
+                size += marks + len(role) + len(said)
                 turns.update(f"{unescape(role)}\n{unescape(said)}\n".encode())
                 n += 1
-                under = text(ids[a:b])
-                loss.update(under.encode())
-                chars += len(under)
+                if a < b:
+                    under = unescape(enc.decode_bytes(ids[base + a : base + b]).decode())
+                    loss.update(under.encode())
+                    chars += len(under)
                 if last:
                     out.append({"conv_id": conv, "n_turns": n, "turns_sha256": turns.hexdigest(), "loss_chars": chars, "loss_sha256": loss.hexdigest(), "formatted_chars": size})
             yield pa.RecordBatch.from_pylist(out, schema=READ)
