@@ -1,24 +1,34 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
-The model is compiled into three transducers: the normaliser (blank to U+2581, one in front), the pieces, and
-the byte fallback for characters without a piece. Composing them with a text gives a lattice of segmentations;
-its shortest path in the tropical semiring is the encoding. For a byte-pair model the states of the piece
-transducer are the pieces themselves, and the arc from piece a to piece b weighs zero if merging the characters
-of a b by rank leaves exactly a b, and is infinite otherwise; one path of finite weight remains, and it is the
-sequence that the merges give. Since pieces start at blanks or run inside words, the composition is done word
-by word: words are looked up in a bounded memo, and the paths of unknown words are found together, position by
-position, over arrays. Words of more than WIDE characters are walked alone, in time linear in their length.
-Words that contain runs of blanks, whose pieces have equal ranks, are merged directly.
-
-Decoding concatenates pieces and bytes and drops the blank in front. A text comes back unchanged unless it
-contains U+2581, which the model reads as a blank; lone surrogates cannot occur in Spark strings. Null texts
-have null ids, empty ones an empty list. Normalisers other than identity and models other than byte-pair ones
-are refused.
+A model is compiled into three transducers. The normaliser rewrites the longest source string of its map at every
+position, writes blanks as U+2581 and puts one in front. The pieces are arcs from a string of characters to a piece.
+The byte fallback is an arc from a character without a piece to its bytes. Their composition with a text is a
+lattice over the positions of the text; the encoding is its shortest path in the tropical semiring (weights add along
+a path, the least total wins), found from left to right.
+
+* In a unigram model a piece weighs its negated score, a fallback arc PENALTY more than the worst piece. Totals are doubles, so
+  segmentations that tie there go to the one with the longest last piece.
+* In a byte-pair model the states are (position, last piece), and the arc from piece a to piece b weighs zero if
+  merging the characters of a b by rank leaves exactly a b, and is infinite otherwise. One path of finite weight
+  leads to every position, and it is the sequence that the merges give.
+
+Where pieces do not cross blanks (which is checked when a model is compiled), the path of a text is the
+concatenation of the paths of its words: words are looked up in a bounded memo, and the paths of unknown words
+are found together, position by position, over arrays. Words of more than WIDE characters are walked alone, in time
+linear in their length. Byte-pair models whose ranks tie other than among runs of blanks, or rank such runs
+above other pieces, have no such weights; they are merged directly.
+
+Decoding concatenates pieces and bytes and drops the blank in front. Under the identity normaliser a text comes
+back unchanged unless it contains U+2581, which the model reads as a blank; lone surrogates cannot occur in Spark
+strings. Null texts have null ids, empty ones an empty list; texts of any length are encoded whole; repeated rows
+repeat their result; an empty table gives an empty one; columns to keep may not be called as the results
+(ValueError). Models without byte fallback, or with user-defined or unused pieces, are refused.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from itertools import pairwise
 
 import numpy as np
@@ -33,10 +43,68 @@ WIDE = 48
 MEMO = 400_000
 GROUP_CHARS = 1 << 20
 CHUNK = 4096
+PENALTY = 10.0
 PRIME = np.uint64(0x100000001B3)
 NOWHERE, BARRIER = -1, -2
 
 
+def rewrite_rules(charsmap: bytes) -> dict[str, str]:
+    """Source and target strings of a precompiled map: a double-array trie over bytes, then the targets."""
+    if not charsmap:
+        return {}
+    size = int.from_bytes(charsmap[:4], "little")
+    units, targets = np.frombuffer(charsmap[4 : 4 + size], "<u4").tolist(), charsmap[4 + size :]
+    rules, open_ = {}, [(0, b"")]
+    while open_:
+        node, key = open_.pop()
+        base = node ^ (units[node] >> 10 << (units[node] >> 9 & 1) * 8)
+        if key and units[node] >> 8 & 1:
+            at = units[base] & 0x7FFFFFFF
+            rules[key.decode()] = targets[at : targets.index(b"\0", at)].decode()
+        for byte in range(1, 256):
+            child = base ^ byte
+            if child < len(units) and units[child] & 0x800000FF == byte:
+                open_.append((child, key + bytes([byte])))
+    return rules
+
+
+class Normaliser:
+    """The first transducer: the longest rule at every position, blanks as U+2581, one in front."""
+
+    def __init__(self, rules: dict[str, str], prefix: bool, squeeze: bool):
+        self.rules, self.prefix, self.squeeze = rules, prefix, squeeze
+        self.longest: dict[str, int] = {}
+        for source in rules:
+            self.longest[source[0]] = max(self.longest.get(source[0], 0), len(source))
+        self.starts = re.compile("[" + re.escape("".join(sorted(self.longest))) + "]") if rules else None
+
+    def _rewritten(self, text: str) -> str:
+        out, at, hit = [], 0, self.starts.search(text)
+        while hit:
+            i = hit.start()
+            out.append(text[at:i])
+            for n in range(self.longest[text[i]], 0, -1):
+                if (target := self.rules.get(text[i : i + n])) is not None and i + n <= len(text):
+                    out.append(target)
+                    at = i + n
+                    break
+            else:
+                out.append(text[i])
+                at = i + 1
+            hit = self.starts.search(text, at)
+        out.append(text[at:])
+        return "".join(out)
+
+    def __call__(self, text: str) -> str:
+        if self.starts:
+            text = self._rewritten(text)
+        if self.squeeze:
+            text = re.sub(" +", " ", text).strip(" ")
+        if not text:
+            return ""
+        return (BLANK if self.prefix else "") + text.replace(" ", BLANK)
+
+
 def compile_model(path: str | None = None) -> dict:
     """The transducers as plain arrays; path defaults to the installed public model."""
     import public_tokenizers as P
@@ -47,12 +115,13 @@ def compile_model(path: str | None = None) -> dict:
     proto = pb.ModelProto()
     with open(path, "rb") as f:
         proto.ParseFromString(f.read())
-    if proto.trainer_spec.model_type != 2 or proto.normalizer_spec.precompiled_charsmap or not proto.normalizer_spec.add_dummy_prefix or proto.normalizer_spec.remove_extra_whitespaces:
-        raise NotImplementedError("byte-pair models with the identity normaliser are supported")
-    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    normal, train = proto.normalizer_spec, proto.trainer_spec
+    kinds = {p.type for p in proto.pieces}
+    if train.model_type not in (1, 2) or not train.byte_fallback or train.treat_whitespace_as_suffix or not normal.escape_whitespaces or kinds & {pb.ModelProto.SentencePiece.USER_DEFINED, pb.ModelProto.SentencePiece.UNUSED}:
+        raise NotImplementedError("unigram and byte-pair models with byte fallback and without user-defined or unused pieces are supported")
+    sp = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
     ids = range(sp.get_piece_size())
-    special = [i for i in ids if sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)]
-    pieces = {sp.id_to_piece(i): i for i in ids if i not in set(special)}
+    pieces = {sp.id_to_piece(i): i for i in ids if proto.pieces[i].type == pb.ModelProto.SentencePiece.NORMAL}
     score = {p: sp.get_score(i) for p, i in pieces.items()}
     byte_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
     surfaces = [b""] * len(ids)
@@ -60,7 +129,15 @@ def compile_model(path: str | None = None) -> dict:
         surfaces[i] = p.replace(BLANK, " ").encode()
     for b, i in enumerate(byte_ids):
         surfaces[i] = bytes([b])
-    return {"score": score, "ids": pieces, "bytes": byte_ids, "surfaces": surfaces, "key": hashlib.sha256(proto.SerializeToString()).hexdigest()}
+    pairs = train.model_type == 2
+    long = [p for p in pieces if len(p) > 1]
+    runs = {score[p] for p in long if not p.strip(BLANK)}
+    words = [score[p] for p in long if p.strip(BLANK)]
+    # pieces that begin a word, or are inside one, or are blanks
+    apart = not any(BLANK in p.lstrip(BLANK) or p.startswith(2 * BLANK) and p.strip(BLANK) for p in pieces)
+    ranked = pairs and apart and len(words) == len(set(words)) and (not runs or not words or max(runs) < min(words))
+    rules = rewrite_rules(normal.precompiled_charsmap)
+    return {"score": score, "ids": pieces, "bytes": byte_ids, "surfaces": surfaces, "pairs": pairs, "apart": apart, "ranked": ranked, "rules": rules, "prefix": normal.add_dummy_prefix, "squeeze": normal.remove_extra_whitespaces, "key": hashlib.sha256(proto.SerializeToString()).hexdigest()}
 
 
 def merge(chars: str, score: dict[str, float], last: list | None = None) -> list[str]:
@@ -81,7 +158,36 @@ class Transducer:
 
     def __init__(self, model: dict):
         self.model, self.score = model, model["score"]
+        self.normalise = Normaliser(model["rules"], model["prefix"], model["squeeze"])
         chars = sorted(p for p in self.score if len(p) == 1)
+        if model["ranked"]:
+            order = self._ranks(chars)
+        else:
+            order = sorted(self.score)
+            self.number = {p: k for k, p in enumerate(order)}
+        n = self.n = len(order)
+        #: weight of every piece in a unigram model, and of a fallback arc
+        self.weight = np.array([-self.score[p] for p in order])
+        self.fallback = PENALTY - min(self.score.values(), default=0.0)
+        self.longest = max(map(len, order), default=1)
+        hashes = np.array([self._hash(p) for p in order], dtype=np.uint64)
+        by = np.argsort(hashes)
+        self.piece_hash, self.piece_of = hashes[by], by
+        self.bits = np.zeros(1 << 20, dtype=bool)
+        self.bits[self._low(hashes)] = True
+        self.powers = np.cumprod(np.r_[np.uint64(1), np.full(self.longest, PRIME)], dtype=np.uint64)
+        self.out = np.array([model["ids"][p] for p in order], dtype="<i4")
+        self.out_bytes = [self.out[k : k + 1].tobytes() for k in range(n)]
+        self.known = set(chars)
+        self.codes = np.sort(np.array([ord(c) + 1 for c in self.known], dtype=np.uint64))
+        self.lines = not any("\n" in p for p in self.score)
+        self.byte_out = np.array(model["bytes"], dtype="<i4")
+        self.memo_key = np.full(1 << 20, -1, dtype=np.int64)
+        self.memo_ok = np.zeros(1 << 20, dtype=bool)
+        self.words: dict[str, bytes] = {}
+
+    def _ranks(self, chars: list[str]) -> list[str]:
+        """Pieces of a byte-pair model by rank, with the pairs that they are merged from."""
         split = {}
         for p in self.score:
             if len(p) > 1:
@@ -90,7 +196,7 @@ class Transducer:
                     split[p] = pair
         order = [*chars, *sorted(split, key=lambda p: (-self.score[p], p))]
         self.number = {p: k for k, p in enumerate(order)}
-        n = self.n = len(order)
+        n = len(order)
         self.left = np.array([*range(len(chars)), *(self.number[split[p][0]] for p in order[len(chars) :])])
         self.right = np.array([*range(len(chars)), *(self.number[split[p][1]] for p in order[len(chars) :])])
         keys = self.left[len(chars) :] * n + self.right[len(chars) :]
@@ -98,21 +204,7 @@ class Transducer:
         self.pair_key, self.pair_to = keys[by], np.arange(len(chars), n)[by]
         self.pair_bits = np.zeros(1 << 20, dtype=bool)
         self.pair_bits[self._slot(self.pair_key)] = True
-        self.longest = max(map(len, order))
-        hashes = np.array([self._hash(p) for p in order], dtype=np.uint64)
-        by = np.argsort(hashes)
-        self.piece_hash, self.piece_of = hashes[by], by
-        self.bits = np.zeros(1 << 20, dtype=bool)
-        self.bits[self._low(hashes)] = True
-        self.powers = np.cumprod(np.r_[np.uint64(1), np.full(self.longest, PRIME)], dtype=np.uint64)
-        self.out = np.array([model["ids"][p] for p in order], dtype="<i4")
-        self.out_bytes = [self.out[k : k + 1].tobytes() for k in range(n)]
-        self.known = set(chars)
-        self.byte_out = np.array(model["bytes"], dtype="<i4")
-        self.memo_key = np.full(1 << 20, -1, dtype=np.int64)
-        self.memo_ok = np.zeros(1 << 20, dtype=bool)
-        self.marked: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {}
+        return order
 
     @staticmethod
     def _hash(p: str) -> int:
@@ -195,23 +287,24 @@ class Transducer:
             prefix[:, i + 1] = prefix[:, i] * PRIME + chars[:, i]
         state = np.full((n, top + 1), NOWHERE)
         length = np.zeros((n, top + 1), dtype=np.int64)
-        state[:, 0] = BARRIER
+        cost = np.full((n, top + 1), np.inf)
+        state[:, 0], cost[:, 0] = BARRIER, 0.0
         for i in range(1, top + 1):
             lo, m = int(np.searchsorted(size, i)), min(self.longest, i)
             h = prefix[lo:, i, None] - prefix[lo:, i - m : i][:, ::-1] * self.powers[1 : m + 1]
             piece = self._pieces(h.ravel())
-            before = state[lo:, i - m : i][:, ::-1]
             at = np.flatnonzero(piece >= 0)
             r, c, q = at // m, at % m, piece[at]
-            p = before[r, c]
-            ok = p == BARRIER
-            inner = np.flatnonzero(p >= 0)
-            ok[inner] = self.allowed(p[inner], q[inner])
-            r, c, q = r[ok] + lo, c[ok], q[ok]
-            state[r, i], length[r, i] = q, c + 1
-            lost = lo + np.flatnonzero(state[lo:, i] == NOWHERE)
-            lone = lost[~np.isin(chars[lost, i - 1], self._known_codes())] if len(lost) else lost
-            state[lone, i], length[lone, i] = BARRIER, 1
+            total = cost[lo + r, i - 1 - c] + self._arcs(state[lo + r, i - 1 - c], q)
+            # the least total of every row; of equal ones the longest piece
+            order = np.lexsort((-c, total, r))
+            first = order[np.r_[True, r[order][1:] != r[order][:-1]][: len(order)]]
+            first = first[np.isfinite(total[first])]
+            state[lo + r[first], i], length[lo + r[first], i], cost[lo + r[first], i] = q[first], c[first] + 1, total[first]
+            lone = lo + np.flatnonzero(~np.isin(chars[lo:, i - 1], self.codes))
+            spelled = cost[lone, i - 1] + (0.0 if self.model["pairs"] else self.fallback)
+            lone, spelled = lone[spelled < cost[lone, i]], spelled[spelled < cost[lone, i]]
+            state[lone, i], length[lone, i], cost[lone, i] = BARRIER, 1, spelled
         # back from the ends of all words at once; words with bytes in their path are walked alone
         at, step, who, piece = size.copy(), [], [], []
         plain = ~((state[:, 1:] < 0) & (np.arange(1, top + 1)[None, :] <= size[:, None])).any(axis=1)
@@ -241,33 +334,47 @@ class Transducer:
             out[k] = b"".join(reversed(path))
         return out
 
-    def _known_codes(self) -> np.ndarray:
-        if not hasattr(self, "_codes"):
-            self._codes = np.sort(np.array([ord(c) + 1 for c in self.known], dtype=np.uint64))
-        return self._codes
+    def _arcs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Weights of the arcs from states a to pieces b."""
+        if not self.model["pairs"]:
+            return self.weight[b]
+        out = np.where(a == BARRIER, 0.0, np.inf)
+        inner = np.flatnonzero(a >= 0)
+        out[inner] = np.where(self.allowed(a[inner], b[inner]), 0.0, np.inf)
+        return out
 
     def _as_bytes(self, char: str) -> bytes:
         return self.byte_out[list(char.encode())].tobytes()
 
     def _walk(self, word: str) -> bytes:
-        """Shortest path of one word of any length."""
-        state, back, number = [BARRIER], [0], self.number
-        memo: dict[int, bool] = {}
+        """Shortest path of one string of any length."""
+        state, back, cost, number = [BARRIER], [0], [0.0], self.number
+        pairs, memo, inf = self.model["pairs"], {}, float("inf")
         for i in range(1, len(word) + 1):
-            found, size = (BARRIER, 1) if word[i - 1] not in self.known else (NOWHERE, 1)
-            for k in range(1, min(self.longest, i) + 1):
+            found, size, best = NOWHERE, 1, inf
+            for k in range(min(self.longest, i), 0, -1):
                 q = number.get(word[i - k : i])
-                p = state[i - k]
-                if q is None or p == NOWHERE:
+                if q is None or cost[i - k] == inf:
                     continue
-                key = p * self.n + q
-                if p != BARRIER and key not in memo:
-                    memo[key] = bool(self.allowed(np.array([p]), np.array([q]))[0])
-                if p == BARRIER or memo[key]:
-                    found, size = q, k
-                    break
+                if pairs:
+                    p = state[i - k]
+                    key = p * self.n + q
+                    if p != BARRIER and key not in memo:
+                        memo[key] = bool(self.allowed(np.array([p]), np.array([q]))[0])
+                    total = cost[i - k] if p == BARRIER or memo[key] else inf
+                else:
+                    total = cost[i - k] + float(self.weight[q])
+                if total < best:
+                    found, size, best = q, k, total
+                    if pairs:
+                        break
+            if word[i - 1] not in self.known:
+                total = cost[i - 1] + (0.0 if pairs else self.fallback)
+                if total < best:
+                    found, size, best = BARRIER, 1, total
             state.append(found)
             back.append(size)
+            cost.append(best)
         path, i = [], len(word)
         while i:
             path.append(self.out_bytes[state[i]] if state[i] >= 0 else self._as_bytes(word[i - 1]))
@@ -275,8 +382,10 @@ class Transducer:
         return b"".join(reversed(path))
 
     def _direct(self, word: str) -> bytes:
-        """A word that starts with a run of blanks: the run and the word, merged by rank."""
+        """A word that starts with a run of blanks."""
         run = len(word) - len(word.lstrip(BLANK))
+        if not self.model["pairs"]:
+            return self._walk(word)
         if run > 64 or len(word) - run > WIDE:
             return self._blanks(word, run)
         return b"".join(self._emit(p) for p in merge(word, self.score))
@@ -309,15 +418,16 @@ class Transducer:
         i = self.model["ids"].get(piece)
         return np.array([i], dtype="<i4").tobytes() if i is not None else self._as_bytes(piece)
 
-    def _learn(self, words: set[str], memo: dict[str, bytes], lead: str) -> None:
-        fresh = sorted((w for w in words if w not in memo), key=len)
+    def _learn(self, words: set[str]) -> None:
+        """Paths of words into the memo."""
+        fresh = sorted((w for w in words if w not in self.words), key=len)
         for i in range(0, len(fresh), CHUNK):
             part = fresh[i : i + CHUNK]
-            short = [w for w in part if len(w) < WIDE]
+            short = [w for w in part if len(w) <= WIDE]
             if short:
-                memo.update(zip(short, self._paths([lead + w for w in short]), strict=True))
+                self.words.update(zip(short, self._paths(short), strict=True))
             for w in part[len(short) :]:
-                memo[w] = self._walk(lead + w)
+                self.words[w] = self._walk(w)
 
     def encode(self, texts: list[str | None]) -> list[bytes | None]:
         """Ids of every text as little-endian 32-bit integers."""
@@ -333,46 +443,51 @@ class Transducer:
         return out
 
     def _encode_group(self, texts: list[str | None]) -> list[bytes | None]:
-        marked, bare, cut = set(), set(), []
-        for t in texts:
-            lines = [line.split(" ") for line in f" {t}".replace(BLANK, " ").split("\n")] if t else []
-            cut.append(lines)
+        plain = [self.normalise(t) if t else "" for t in texts]
+        if not self.model["apart"] or self.model["pairs"] and not self.model["ranked"]:
+            whole = self._merged_whole if self.model["pairs"] else self._walk
+            return [None if t is None else whole(s) for t, s in zip(texts, plain, strict=True)]
+        # words begin at blanks; no piece holds a line break, so lines are apart as well
+        cut = [[line.split(BLANK) for line in s.split("\n")] if self.lines else [s.split(BLANK)] for s in plain]
+        if len(self.words) > MEMO:
+            self.words = {}
+        wanted: set[str] = set()
+        for lines in cut:
             for parts in lines:
-                bare.add(parts[0])
-                marked.update(parts[1:])
-        if len(self.marked) + len(self.bare) > MEMO:
-            self.marked, self.bare = {}, {}
-        self._learn(marked, self.marked, BLANK)
-        self._learn(bare - {""}, self.bare, "")
-        newline, out = self._as_bytes("\n") if "\n" not in self.known else None, []
+                wanted.add(parts[0])
+                wanted.update(BLANK + w for w in parts[1:])
+        self._learn(wanted - {""})
+        newline, out, get = self._as_bytes("\n"), [], self.words.__getitem__
         for t, lines in zip(texts, cut, strict=True):
             if t is None:
                 out.append(None)
                 continue
-            if newline is None:
-                raise NotImplementedError("models with a piece for the line break")
-            got, get = [], self.marked.__getitem__
+            got = []
             for parts in lines:
                 got.append(newline)
                 if parts[0]:
-                    got.append(self.bare[parts[0]])
+                    got.append(get(parts[0]))
                 if "" in parts[1:]:
                     run = 0
                     for w in parts[1:]:
                         run += 1
                         if w:
-                            got.append(get(w) if run == 1 else self._direct(BLANK * run + w))
+                            got.append(get(BLANK + w) if run == 1 else self._direct(BLANK * run + w))
                             run = 0
                     if run:
                         got.append(self._direct(BLANK * run))
                 else:
-                    got.extend(map(get, parts[1:]))
+                    got.extend([get(BLANK + w) for w in parts[1:]])
             out.append(b"".join(got[1:]))
         return out
 
+    def _merged_whole(self, text: str) -> bytes:
+        return b"".join(self._emit(p) for p in merge(text, self.score))
+
     def decode(self, ids: list[int]) -> str:
-        """The text of a sequence of ids; bytes that are no UTF-8 become U+FFFD."""
-        return b"".join(map(self.model["surfaces"].__getitem__, ids)).decode(errors="replace")[1 if ids else 0 :]
+        """The text of a sequence of ids, without the blank in front; bytes that are no UTF-8 become U+FFFD."""
+        text = b"".join(map(self.model["surfaces"].__getitem__, ids)).decode(errors="replace")
+        return text[1:] if self.model["prefix"] and text.startswith(" ") else text
 
 
 def transducer(model: dict) -> Transducer:
@@ -382,6 +497,8 @@ def transducer(model: dict) -> Transducer:
 
 def encode(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), path: str | None = None) -> DataFrame:
     """The columns in keep and ids, the encoding of text, with n_tokens and round_trip (decoding gives the text back)."""
+    if clash := {c.lower() for c in keep} & {"ids", "n_tokens", "round_trip"}:
+        raise ValueError(f"columns of the results cannot be kept: {sorted(clash)}")
     model = compile_model(path)
     wanted = docs.select(*keep, F.col("text").cast("string").alias("text"))
     from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
@@ -408,12 +525,8 @@ def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
     model = compile_model(path)
 
     def make():
-        surfaces = model["surfaces"]
-
-        def text(ids: list[int] | None) -> str | None:
-            return None if ids is None else b"".join(map(surfaces.__getitem__, ids)).decode(errors="replace")[1 if ids else 0 :]
-
-        return lambda b: {"doc_id": b.column(0), "text": [text(x) for x in b.column(1).to_pylist()]}
+        fst = transducer(model)
+        return lambda b: {"doc_id": b.column(0), "text": [None if x is None else fst.decode(x) for x in b.column(1).to_pylist()]}
 
     return map_rows(coded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids"), make, "doc_id long, text string")
 
