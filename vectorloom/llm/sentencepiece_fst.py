@@ -53,18 +53,19 @@ def rewrite_rules(charsmap: bytes) -> dict[str, str]:
     if not charsmap:
         return {}
     size = int.from_bytes(charsmap[:4], "little")
-    units, targets = np.frombuffer(charsmap[4 : 4 + size], "<u4").tolist(), charsmap[4 + size :]
+    units, targets = np.frombuffer(charsmap[4 : 4 + size], "<u4"), charsmap[4 + size :]
+    label, bytes_ = units & np.uint32(0x800000FF), np.arange(1, 256)
     rules, open_ = {}, [(0, b"")]
     while open_:
         node, key = open_.pop()
-        base = node ^ (units[node] >> 10 << (units[node] >> 9 & 1) * 8)
-        if key and units[node] >> 8 & 1:
-            at = units[base] & 0x7FFFFFFF
+        unit = int(units[node])
+        base = node ^ (unit >> 10 << (unit >> 9 & 1) * 8)
+        if key and unit >> 8 & 1:
+            at = int(units[base]) & 0x7FFFFFFF
             rules[key.decode()] = targets[at : targets.index(b"\0", at)].decode()
-        for byte in range(1, 256):
-            child = base ^ byte
-            if child < len(units) and units[child] & 0x800000FF == byte:
-                open_.append((child, key + bytes([byte])))
+        child = base ^ bytes_
+        found = bytes_[(label[np.minimum(child, len(units) - 1)] == bytes_) & (child < len(units))]
+        open_ += [(base ^ b, key + bytes([b])) for b in found.tolist()]
     return rules
 
 
@@ -487,6 +488,8 @@ class Transducer:
     def decode(self, ids: list[int]) -> str:
         """The text of a sequence of ids, without the blank in front; bytes that are no UTF-8 become U+FFFD."""
         text = b"".join(map(self.model["surfaces"].__getitem__, ids)).decode(errors="replace")
+        if self.model["squeeze"]:
+            return text.lstrip(" ")
         return text[1:] if self.model["prefix"] and text.startswith(" ") else text
 
 
