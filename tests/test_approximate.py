@@ -4,7 +4,6 @@ import numpy as np
 import pytest
 
 from vectorloom.operators import graphs, ivf, neighbors, quantizers, stats, tiered
-from vectorloom.operators.blocks import vectors_of
 from vectorloom.queries.inputs import data, queries
 from vectorloom.sources import binary
 
@@ -205,17 +204,30 @@ def test_tiers(rows, truth):
     assert recall(built.search(queries(rows), K, allow=allow, n_probes=8), neighbors.knn(queries(rows), rows, K, allow=allow)) == 1
 
 
-def test_registered_searches(spark):
-    """Searches registered without SQL reach a recall of 0.9 (quantised ones 0.5) on the embeddings."""
+APPROXIMATE = ["cagra_search", "cagra_connected", "cagra_sharded", "cagra_extend", "cagra_merge", "hnsw_search", "vamana_search", "cagra_store", "cagra_from_graph", "cagra_filtered", "cagra_compressed", "cagra_renamed", "ivf_pq_refined", "ivf_pq_per_cluster", "ivf_pq_search", "ivf_rabitq_search", "cagra_knn_graph", "nn_descent", "all_neighbors_batched"]
+
+
+@pytest.mark.parametrize("name", APPROXIMATE)
+def test_registered_searches(spark, name):
+    """Every approximate search that is registered says of itself that it reaches a recall of 0.9, on more rows than test_oracles has."""
     from vectorloom import registry
 
     registry.load()
-    sf = "/root/testdata/sf0.001"
-    base = data(spark, sf)
-    want = neighbors.knn(queries(base), base, K).cache()
-    allowed = neighbors.knn(queries(base), base, K, allow=vectors_of(base, "id", "vector", "label").where("label IN (1, 3, 5, 7)").select("id"))
-    for name in ("cagra_search", "cagra_connected", "cagra_sharded", "cagra_extend", "cagra_merge", "hnsw_search", "vamana_search", "cagra_store", "cagra_from_graph", "ivf_pq_refined"):
-        assert recall(registry.QUERIES[name](spark, sf), want) > (0.7 if name in ("cagra_from_graph", "ivf_pq_refined", "cagra_connected") else 0.9), name
-    for name in ("ivf_pq_search", "ivf_rabitq_search"):
-        assert recall(registry.QUERIES[name](spark, sf), want) > 0.5, name
-    assert recall(registry.QUERIES["cagra_filtered"](spark, sf), allowed) > 0.8
+    out = registry.QUERIES[name](spark, "/root/testdata/sf0.1").collect()
+    assert out and all(r.recall_holds for r in out)
+
+
+def test_judgement_sees_misses(spark):
+    """The judgement of searches is false where a tenth of the neighbours is missing, an id is twice or a distance is wrong."""
+    from vectorloom.queries.indexes import judged
+
+    base = data(spark, "/root/testdata/sf0.001")
+    found = neighbors.knn(queries(base), base, K).cache()
+    assert all(r.n == K and r.ranked and r.distances_hold and r.recall_holds for r in judged(found, base).collect())
+    assert not any(r.recall_holds for r in judged(found.where("rank > 1 AND rank < 10"), base).collect())
+    assert not any(r.ranked for r in judged(found.selectExpr("query_id", "rank", "CASE WHEN rank = 2 THEN query_id ELSE id END AS id", "distance"), base).collect())
+    assert not any(r.distances_hold for r in judged(found.selectExpr("query_id", "rank", "id", "distance + 0.1 AS distance"), base).collect())
+
+
+def test_default_pq_dim():
+    assert [ivf.default_pq_dim(d) for d in (1, 3, 17, 31, 32, 63, 64, 100, 128, 255, 768)] == [1, 2, 16, 16, 32, 32, 64, 96, 64, 96, 384]

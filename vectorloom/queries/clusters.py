@@ -9,6 +9,8 @@ from vectorloom.operators import kmeans, linkage, neighbors, pca, quantizers, st
 from vectorloom.operators.blocks import vectors_of
 from vectorloom.queries.inputs import CENTERS, K, cte, data, label_means, queries, sq
 from vectorloom.registry import register
+from vectorloom.runtime import cut_lineage
+from vectorloom.sources import binary
 
 _NEAREST = f"scored AS (SELECT id, v, c, {sq('v', 'cv')} AS d FROM data, centers), best AS (SELECT id, v, c, d FROM scored QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, c) = 1)"
 
@@ -51,23 +53,38 @@ def kmeans_fit_weighted(spark, sf_dir):
     return model.table(spark).select("label", F.posexplode("vector").alias("i", "x")).select("label", (F.col("i") + 1).alias("i"), (F.round("x", 6) + 0.0).alias("x"))
 
 
-@register("kmeans_fit_predict")
-def kmeans_fit_predict(spark, sf_dir):
-    """A whole fit from greedy k-means++ (quality is tested on blobs)."""
-    rows = data(spark, sf_dir)
-    return kmeans.predict(rows, kmeans.fit(rows, 8, max_iter=20).centroids).select("id", "label", F.round("distance", 6).alias("distance"))
+_TOTAL = "(SELECT sum(var_pop_sum) FROM (SELECT var_pop(x) * count(x) AS var_pop_sum FROM (SELECT unnest(range(len(v))) AS i, unnest(v) AS x FROM data) GROUP BY i))"
 
 
-@register("kmeans_balanced")
+@register("kmeans_fit_predict", f"WITH {cte()} SELECT count(*) AS n, 8::BIGINT AS clusters, true AS nearest, true AS still, round({_TOTAL}, 5) AS of_one_cluster, true AS better FROM data")
+def kmeans_fit_predict(spark, sf_dir):
+    """A whole fit: rows have the nearest centroid, one more step changes next to nothing, and the cost is below that of one cluster."""
+    rows = data(spark, sf_dir)
+    model = kmeans.fit(rows, 8, max_iter=100, tol=1e-6)
+    got = cut_lineage(kmeans.predict(rows, model.centroids))
+    every = kmeans.transform(rows, model.centroids).select("id", F.array_min("distances").alias("least"))
+    cost = kmeans.cluster_cost(rows, model.centroids)
+    one = kmeans.fit(rows, 1, max_iter=2).centroids
+    total = kmeans.cluster_cost(rows, one)
+    after = kmeans.cluster_cost(rows, kmeans.fit(rows, 8, model.centroids, max_iter=1).centroids)
+    near = F.every(F.abs(F.sqrt("distance") - F.col("least")) <= 1e-6)
+    out = got.join(every, "id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("label").alias("clusters"), near.alias("nearest"))
+    return out.withColumns({"still": F.lit(bool(abs(after - cost) <= 1e-3 * cost)), "of_one_cluster": F.lit(round(total, 5)), "better": F.lit(bool(cost < total))})
+
+
+@register("kmeans_balanced", f"WITH {cte()} SELECT count(*) AS n, 16::BIGINT AS clusters, true AS balanced FROM data")
 def kmeans_balanced(spark, sf_dir):
+    """No cluster has more than four times its share of the rows."""
     rows = data(spark, sf_dir)
-    return kmeans.predict(rows, kmeans.balanced_fit(rows, 16)).groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    sizes = kmeans.predict(rows, kmeans.balanced_fit(rows, 16)).groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    return sizes.agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("clusters"), (F.max("size") * 16 <= 4 * F.sum("size")).alias("balanced"))
 
 
-@register("kmeans_find_k")
+@register("kmeans_find_k", "SELECT 5 AS k, true AS tight")
 def kmeans_find_k(spark, sf_dir):
-    k, inertia = kmeans.find_k(data(spark, sf_dir, "head"), 12, max_iter=10)
-    return spark.createDataFrame([(k, inertia)], "k int, inertia double")
+    """The number of generated blobs, whose spread the inertia shows."""
+    k, inertia = kmeans.find_k(cut_lineage(binary.blobs(spark, 1000, 16, 5, 0.05)), 12, max_iter=20)
+    return spark.createDataFrame([(k, bool(inertia < 1000 * 16 * 0.05**2 * 1.2))], "k int, tight boolean")
 
 
 @register("calinski_harabasz", f"WITH {cte('scaled')}, {CENTERS}, {_NEAREST}, sizes AS (SELECT c, count(*) AS n FROM best GROUP BY c), cc AS (SELECT c, unnest(range(1, len(cv) + 1)) AS i, unnest(cv) AS x FROM centers), m AS (SELECT i, sum(n * x) / sum(n) AS x FROM cc JOIN sizes USING (c) GROUP BY i), disp AS (SELECT sqrt(sum(n * (cc.x - m.x) * (cc.x - m.x))) AS d FROM cc JOIN sizes USING (c) JOIN m USING (i)) SELECT round((SELECT (count(*) - 10) // 9 FROM data) * (SELECT d FROM disp) / (SELECT sum(d) FROM best), 6) AS score")
@@ -76,33 +93,64 @@ def calinski_harabasz(spark, sf_dir):
     return spark.createDataFrame([(round(kmeans.calinski_harabasz(rows, label_means(rows)), 6),)], "score double")
 
 
-@register("single_linkage")
+_FLAT = f"WITH {cte()} SELECT count(*) AS n, 10::BIGINT AS clusters, true AS apart FROM data"
+
+
+def _flat(rows, labels):
+    """No row is nearer to another cluster than the nearest two clusters are to each other, unless it is alone in its own."""
+    labels = cut_lineage(labels)
+    placed = vectors_of(rows).join(labels, "id")
+    near = neighbors.cross_component_nn(placed, "label", "euclidean").agg(F.min("distance")).first()[0]
+    own = neighbors.knn(rows, rows, 2, "euclidean").where("query_id <> id").join(labels.select(F.col("id").alias("query_id"), F.col("label").alias("a")), "query_id").join(labels.select("id", F.col("label").alias("b")), "id")
+    loose = own.where((F.col("a") != F.col("b")) & (F.col("distance") < near * (1 - 1e-9))).count()
+    return labels.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("label").alias("clusters")).withColumn("apart", F.lit(loose == 0))
+
+
+@register("single_linkage", _FLAT)
 def single_linkage(spark, sf_dir):
     """Flat clusters over the neighbour graph (equal to a brute-force version in the tests)."""
-    return linkage.single_linkage(data(spark, sf_dir), 10, c=5)
+    rows = data(spark, sf_dir)
+    return _flat(rows, linkage.single_linkage(rows, 10, c=5))
 
 
-@register("single_linkage_pairwise")
+@register("single_linkage_pairwise", _FLAT)
 def single_linkage_pairwise(spark, sf_dir):
-    return linkage.single_linkage(data(spark, sf_dir, "head"), 10, connectivity="pairwise")
+    rows = data(spark, sf_dir)
+    return _flat(rows, linkage.single_linkage(rows, 10, connectivity="pairwise"))
 
 
-@register("linkage_mutual_reachability")
+_CORE = f"near AS (SELECT a.id, b.id AS other, sqrt({sq('a.v', 'b.v')}) AS d, row_number() OVER (PARTITION BY a.id ORDER BY {sq('a.v', 'b.v')}, b.id) AS r FROM data a, data b), core AS (SELECT id, d AS core FROM near WHERE r = 5)"
+
+
+@register("linkage_mutual_reachability", f"WITH {cte()}, {_CORE} SELECT count(*) - 1 AS edges, true AS spans, true AS above_cores, round(sum(core), 4) AS cores FROM core")
 def linkage_mutual_reachability(spark, sf_dir):
-    """The spanning tree by mutual reachability."""
-    tree, _ = linkage.build_linkage(data(spark, sf_dir), min_samples=5)
-    return tree.select("src", "dst", F.round("weight", 6).alias("weight"))
+    """The spanning tree by mutual reachability: it spans all rows, and no edge is below the core distances of its ends."""
+    rows = data(spark, sf_dir)
+    tree, cores = linkage.build_linkage(rows, min_samples=5)
+    tree = cut_lineage(tree)
+    one = neighbors.graph_components(tree.select("src", "dst")).agg(F.count_distinct("component"), F.count(F.lit(1))).first()
+    a, b = (cores.select(F.col("id").alias(c), F.col("core").alias(f"of_{c}")) for c in ("src", "dst"))
+    held = tree.join(a, "src").join(b, "dst").agg(F.count(F.lit(1)).alias("edges"), F.every(F.col("weight") >= F.greatest("of_src", "of_dst") - 1e-9).alias("above_cores"))
+    total = cores.agg(F.round(F.sum("core"), 4)).first()[0]
+    return held.withColumns({"spans": F.lit(one[0] == 1 and one[1] == vectors_of(rows).count()), "cores": F.lit(total)})
 
 
-@register("spectral_embedding")
+@register("spectral_embedding", f"WITH {cte()} SELECT count(*) AS n, 3::BIGINT AS dims, true AS finite, true AS varies FROM data")
 def spectral_embedding(spark, sf_dir):
+    """Three coordinates of every row, none of them constant."""
     emb = pca.spectral_embedding(pca.connectivity_graph(data(spark, sf_dir), 12), 3)
-    return emb.select("id", F.transform("vector", lambda x: F.round(x, 4)).alias("vector"))
+    cells = cut_lineage(emb.select("id", F.posexplode("vector").alias("i", "x")))
+    per = cells.groupBy("i").agg(F.var_pop("x").alias("s"), F.count(F.lit(1)).alias("n"), F.every(F.col("x").isNotNull() & ~F.isnan("x")).alias("finite"))
+    return per.agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("dims"), F.every("finite").alias("finite"), F.every(F.col("s") > 1e-12).alias("varies"))
 
 
-@register("spectral_clustering")
+@register("spectral_clustering", "SELECT 4::BIGINT AS clusters, 800::BIGINT AS n, true AS pure")
 def spectral_clustering(spark, sf_dir):
-    return pca.spectral_clustering(pca.connectivity_graph(data(spark, sf_dir), 12), 5)
+    """Generated blobs are found again."""
+    rows = cut_lineage(binary.blobs(spark, 800, 16, 4, 0.2))
+    got = pca.spectral_clustering(pca.connectivity_graph(rows, 12), 4)
+    met = rows.select("id", F.col("label").alias("blob")).join(got, "id").groupBy("blob").agg(F.count_distinct("label").alias("k"), F.min("label").alias("label"), F.count(F.lit(1)).alias("n"))
+    return met.agg(F.count_distinct("label").alias("clusters"), F.sum("n").alias("n"), F.every(F.col("k") == 1).alias("pure"))
 
 
 @register("connectivity_graph", f"WITH {cte()}, near AS (SELECT a.id AS src, b.id AS dst FROM data a, data b QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY {sq('a.v', 'b.v')}, b.id) <= 6), e AS (SELECT src, dst FROM near WHERE src <> dst), both_ways AS (SELECT * FROM e UNION ALL SELECT dst, src FROM e) SELECT src, dst, count(*) * 0.5::DOUBLE AS weight FROM both_ways GROUP BY src, dst")
@@ -140,25 +188,19 @@ def scalar_quantizer_inverse(spark, sf_dir):
     return rows.select("id", (F.round(F.aggregate(q.inverse(q.transform("vector")), F.lit(0.0), lambda a, x: a + x), 5) + 0.0).alias("total"))
 
 
-def _binary(threshold: str, limit: str):
+def _binary(threshold: str, limit: str, **args):
     sql = f"WITH {cte()}, c AS (SELECT id, unnest(range(len(v))) AS i, unnest(v) AS x FROM data), t AS (SELECT i, {limit} AS t FROM c GROUP BY i) SELECT id, CAST(i // 8 AS INT) AS byte, CAST(sum(CASE WHEN x > t THEN pow(2, i % 8) ELSE 0 END) AS INT) AS code FROM c JOIN t USING (i) GROUP BY id, i // 8"
 
     @register(f"binary_quantizer_{threshold}", sql)
     def query(spark, sf_dir):
         rows = vectors_of(data(spark, sf_dir))
-        codes = rows.select("id", quantizers.train_binary(rows, threshold).transform("vector").alias("c"))
+        codes = rows.select("id", quantizers.train_binary(rows, f"sampling_{threshold}" if args else threshold, **args).transform("vector").alias("c"))
         return codes.select("id", F.posexplode("c").alias("byte", "code"))
 
 
 _binary("zero", "0.0")
 _binary("mean", "avg(x)")
-
-
-@register("binary_quantizer_median")
-def binary_quantizer_median(spark, sf_dir):
-    """Thresholds from a sample."""
-    rows = vectors_of(data(spark, sf_dir))
-    return rows.select("id", quantizers.train_binary(rows, "sampling_median").transform("vector").alias("code"))
+_binary("median", "quantile_disc(x, 0.5)", sampling_ratio=1.0)
 
 
 def _books(rows) -> np.ndarray:
@@ -185,18 +227,29 @@ def pq_inverse_transform(spark, sf_dir):
     return rows.join(back, "id").select("id", F.round(F.aggregate(F.zip_with("vector", "b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, v: a + v), 6).alias("loss"))
 
 
-@register("pq_trained")
+_CODED = f"WITH {cte()} SELECT count(*) AS n, round({_TOTAL}, 5) AS spread, true AS coded FROM data"
+
+
+def _coded(rows, quantizer):
+    """The loss of a round trip is at most seven tenths of the spread about the mean."""
+    back = quantizer.inverse_transform(quantizer.transform(rows)).withColumnRenamed("vector", "b")
+    loss = F.aggregate(F.zip_with("vector", "b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, v: a + v)
+    spread = kmeans.cluster_cost(rows, kmeans.fit(rows, 1, max_iter=2).centroids)
+    return vectors_of(rows).join(back, "id").agg(F.count(F.lit(1)).alias("n"), F.lit(round(spread, 5)).alias("spread"), (F.sum(loss) <= 0.7 * spread).alias("coded"))
+
+
+@register("pq_trained", _CODED)
 def pq_trained(spark, sf_dir):
-    """Codes of a trained quantiser (round-trip loss is tested)."""
+    """A trained quantiser."""
     rows = data(spark, sf_dir)
-    return quantizers.train_pq(rows, 4, 16, n_iters=8).transform(rows)
+    return _coded(rows, quantizers.train_pq(rows, 4, 16, n_iters=8))
 
 
-@register("vpq_trained")
+@register("vpq_trained", _CODED)
 def vpq_trained(spark, sf_dir):
     """Codes of residuals to a coarse quantiser."""
     rows = data(spark, sf_dir)
-    return quantizers.train_pq(rows, 4, 16, use_vq=True, n_iters=8).transform(rows)
+    return _coded(rows, quantizers.train_pq(rows, 4, 16, use_vq=True, n_iters=8))
 
 
 @register("pca_fit", f"WITH {cte('scaled')}, c AS (SELECT unnest(range(len(v))) AS i, unnest(v) AS x FROM data), m AS (SELECT i, avg(x) AS m, var_samp(x) AS s FROM c GROUP BY i) SELECT count(*) AS dim, round(sum(s), 5) AS variance, round(sum(m * m), 5) AS mean2 FROM m")

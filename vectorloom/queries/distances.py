@@ -79,17 +79,17 @@ for _m in sparse.METRICS:
 @register(
     "sparse_pairwise_tokens",
     """WITH words AS (SELECT doc_id AS id, unnest(string_split(lower(coalesce(text, '')), ' ')) AS w FROM documents),
-cells AS (SELECT id, len(w) AS col, count(*)::DOUBLE AS x FROM words WHERE w <> '' AND len(w) <= 40 GROUP BY id, len(w)),
+cells AS (SELECT id, least(len(w), 63) AS col, count(*)::DOUBLE AS x FROM words WHERE w <> '' GROUP BY id, least(len(w), 63)),
 dots AS (SELECT a.id AS query_id, b.id, sum(a.x * b.x) AS dot FROM cells a JOIN cells b ON a.col = b.col WHERE a.id % 20 = 0 GROUP BY a.id, b.id),
 norms AS (SELECT id, sqrt(sum(x * x)) AS n FROM cells GROUP BY id),
 pairs AS (SELECT a.id AS query_id, b.id, 1 - coalesce(dot, 0) / (a.n * b.n) AS distance FROM norms a, norms b LEFT JOIN dots ON dots.query_id = a.id AND dots.id = b.id WHERE a.id % 20 = 0)
 SELECT query_id, count(*) AS n, round(avg(distance), 6) AS mean, round(max(distance), 6) AS high FROM pairs GROUP BY query_id""",
 )
 def sparse_pairwise_tokens(spark, sf_dir):
-    """Cosine distances of documents by the counts of their word lengths, gathered from cells."""
+    """Cosine distances of documents by the counts of their word lengths (the last column has all from 63 on), gathered from cells."""
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    words = docs.select(F.col("doc_id").alias("id"), F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), " ", -1)).alias("w")).where("w <> '' AND length(w) <= 40")
-    rows = sparse.from_cells(words.select("id", F.length("w").alias("col"), F.lit(1.0).alias("value")))
+    words = docs.select(F.col("doc_id").alias("id"), F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), " ", -1)).alias("w")).where("w <> ''")
+    rows = sparse.from_cells(words.select("id", F.least(F.length("w"), F.lit(63)).alias("col"), F.lit(1.0).alias("value")))
     pairs = sparse.pairwise(rows.where(F.col("id") % 20 == 0), rows, "cosine", 64)
     return pairs.groupBy(F.col("xid").alias("query_id")).agg(F.count("yid").alias("n"), F.round(F.avg("distance"), 6).alias("mean"), F.round(F.max("distance"), 6).alias("high"))
 
