@@ -372,3 +372,31 @@ def test_grid_and_frontier(spark):
     rows = spark.createDataFrame([("a", 0.5, 100.0), ("a", 0.7, 90.0), ("a", 0.6, 80.0), ("a", 0.9, 10.0)], "algo string, recall double, items_per_second double")
     assert sorted(r.recall for r in harness.pareto(rows).collect()) == [0.5, 0.7, 0.9]
     assert [r[0] for r in rows.orderBy("recall").select(harness.recall_band()).collect()] == ["below 80"] * 3 + ["90-94"]
+
+
+def test_large_query_sets_meet_on_the_executors(spark, monkeypatch):
+    """Query sets of several parts give what one part gives, for every operator that compares two tables."""
+    from vectorloom.operators import blocks, neighbors, stats
+    from vectorloom.sources.binary import blobs as made
+
+    rows = made(spark, 300, 8, 4, 1.0, seed=5).cache()
+
+    def results():
+        exact = lambda df: sorted(map(tuple, df.collect()))
+        return [
+            exact(neighbors.knn(rows, rows, 4)),
+            exact(neighbors.knn(rows, rows, 3, "inner_product", mask=lambda q, i: (q[:, None] + i[None, :]) % 3 == 0)),
+            exact(neighbors.nearest(rows, rows, "sqeuclidean", ("label", "label"), different=True)),
+            exact(neighbors.eps_neighborhood(rows, rows, 4.0)),
+            exact(stats.silhouette_samples(rows)),
+            exact(stats.trustworthiness(rows, rows.selectExpr("id", "slice(vector, 1, 3) AS vector"), 4)),
+            exact(stats.kde(rows, rows, 2.0)),
+        ]
+
+    whole = results()
+    monkeypatch.setattr(blocks, "MAX_BLOCK_FLOATS", 900)
+    assert blocks.n_blocks(rows) == 3
+    for a, b in zip(results(), whole, strict=True):
+        assert len(a) == len(b)
+        for x, y in zip(a, b, strict=True):
+            assert x == pytest.approx(y, rel=1e-9, abs=1e-9)

@@ -1,8 +1,9 @@
-"""Block execution: a query set, sent to the executors block by block, meets the rows of a table where they lie.
+"""Block execution: a query set, sent to the executors, meets the rows of a table where they lie.
 
-The side called queries is cut into blocks of at most about MAX_BLOCK_FLOATS numbers; each block is broadcast (its
-size is bounded by that constant, not by the data) and the table is scanned once per block, without a shuffle.
-What a scan returns is bounded by tasks x queries x k and merged by query in one exchange.
+A query set of at most about MAX_BLOCK_FLOATS numbers is broadcast (its size is bounded by that constant, not by the
+data) and the table is scanned once, without a shuffle. A larger one, such as the table itself, never passes the driver:
+both sides are cut into parts of that size, and every pair of parts meets in a task of its own, of bounded memory.
+What a task returns is bounded by its queries x k and merged by query in one exchange.
 """
 
 from __future__ import annotations
@@ -101,13 +102,55 @@ def gather(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return ids[order], m[order]
 
 
-def blocks(queries: DataFrame, dim: int | None = None, floats: int = MAX_BLOCK_FLOATS) -> list[DataFrame]:
+def n_blocks(rows: DataFrame, dim: int | None = None) -> int:
+    """The number of parts of about MAX_BLOCK_FLOATS numbers that a table (id, vector, ...) is cut into."""
+    n, size = rows.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    return max(1, -(-(n * (dim or size or 1)) // MAX_BLOCK_FLOATS))
+
+
+def blocks(queries: DataFrame, dim: int | None = None) -> list[DataFrame]:
     """The query set in parts of bounded size."""
-    n, size = queries.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
-    parts = max(1, -(-(n * (dim or size or 1)) // floats))
+    parts = n_blocks(queries, dim)
     return [queries] if parts == 1 else [queries.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == b) for b in range(parts)]
 
 
+def _columns(t: pa.Table) -> list[np.ndarray]:
+    """Columns of a bounded table as arrays and matrices, in the order of its first one."""
+    if not t.num_rows:
+        return [np.zeros(0, np.int64), np.zeros((0, 0)), *([np.zeros(0)] * (t.num_columns - 2))]
+    order = np.argsort(t.column(0).to_numpy(), kind="stable")
+    whole = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in t.columns]
+    return [(matrix(c) if pa.types.is_list(c.type) else c.to_numpy(zero_copy_only=False))[order] for c in whole]
+
+
+def meet(queries: DataFrame, data: DataFrame, work: Callable, schema: str) -> DataFrame:
+    """work(query columns, batches of data) for queries (id, vector, ...) and every part of data (id, vector, ...).
+
+    The queries come as arrays ordered by id; work yields record batches and may be called for any pair of parts.
+    """
+    parts = n_blocks(queries)
+    if parts == 1:
+        sent = share(data.sparkSession, _columns(queries.toArrow()))
+        return data.mapInArrow(lambda batches: work(sent.value, batches), schema)
+    others = n_blocks(data)
+    names = [f"q{i}" for i in range(len(queries.columns))]
+    left = queries.select(F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(others - 1))), *queries.columns).toDF("qpart", "qother", *names)
+    right = data.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(others)).cast("int").alias("other"), *data.columns)
+
+    def run(mine: pa.Table, rows: pa.Table) -> pa.Table:
+        got = list(work(_columns(mine.select(names)), rows.drop_columns(["part", "other"]).combine_chunks().to_batches()))
+        return pa.Table.from_batches(got) if got else _empty(schema)
+
+    return left.groupBy("qpart", "qother").cogroup(right.groupBy("part", "other")).applyInArrow(run, schema)
+
+
+ARROW = {"long": pa.int64(), "double": pa.float64(), "int": pa.int32()}
+
+
+def _empty(schema: str) -> pa.Table:
+    return pa.schema([(f.split()[0], ARROW[f.split()[1]]) for f in schema.split(", ")]).empty_table()
+
+
 def share(spark: SparkSession, value):
     """A broadcast variable; what is sent has a bounded size."""
     return spark.sparkContext.broadcast(value)
@@ -166,15 +209,13 @@ class Best:
         self.row, self.id, self.d = row[keep], id[keep], d[keep]
 
 
-def scan(data: DataFrame, queries: tuple, k: int, measure: Callable, mask: Callable | None = None) -> DataFrame:
-    """Per task, the k rows of data (id, vector, ...) nearest to every query; queries: ids, matrix, and what mask needs.
+def scan(queries: DataFrame, data: DataFrame, k: int, measure: Callable, mask: Callable | None = None) -> DataFrame:
+    """Per task, the k rows of data (id, vector, ...) nearest to every query (id, vector, ...).
 
-    mask(query block, batch) may rule pairs out: it gets the slices of queries and the columns of the rows.
+    mask(query block, batch) may rule pairs out: it gets the slices of the columns of both sides but the vectors.
     """
-    sent = share(data.sparkSession, queries)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = sent.value
+    def work(block: list[np.ndarray], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qid, q = block[:2]
         best = Best(len(qid), k)
         for batch in batches:
@@ -191,7 +232,7 @@ def scan(data: DataFrame, queries: tuple, k: int, measure: Callable, mask: Calla
                     best.add(r + i, ids[j : j + wide][c], d)
         yield pa.RecordBatch.from_arrays([pa.array(qid[best.row]), pa.array(best.id), pa.array(best.d)], schema=NEIGHBOR_SCHEMA)
 
-    return data.mapInArrow(run, NEIGHBORS)
+    return meet(queries, data, work, NEIGHBORS)
 
 
 def rank_rows(found: DataFrame, k: int, descending: bool = False, by: str = "query_id", value: str = "distance") -> DataFrame:

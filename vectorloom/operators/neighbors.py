@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from vectorloom.functions.arrays import matrix
 from vectorloom.functions.distances import distance, resolve
-from vectorloom.operators.blocks import NEIGHBOR_SCHEMA, NEIGHBORS, Measure, blocks, gather, pick, rank_rows, scan, share, union, vectors_of
+from vectorloom.operators.blocks import NEIGHBOR_SCHEMA, NEIGHBORS, Measure, meet, pick, rank_rows, scan, union, vectors_of
 from vectorloom.plans.components import connected_components
 from vectorloom.runtime import cut_lineage
 
@@ -61,8 +61,7 @@ def knn(
         return rank_rows(scored, k, resolve(metric).larger).select("query_id", "rank", "id", "distance")
     measure = Measure(metric, p)
     ruled = (lambda q, rows: mask(q[0], rows[0])) if mask else None
-    parts = [scan(data, gather(b), k, measure, ruled) for b in blocks(queries)]
-    return signed(rank_rows(union(parts), k), measure.negated)
+    return signed(rank_rows(scan(queries, data, k, measure, ruled), k), measure.negated)
 
 
 def pad(found: DataFrame, queries: DataFrame, k: int, worst: float = float("inf")) -> DataFrame:
@@ -89,14 +88,8 @@ def nearest(x: DataFrame, y: DataFrame, metric: str = "sqeuclidean", group: tupl
         best = scored.groupBy("query_id").agg(F.min(key).alias("m"))
         return best.select("query_id", F.col("m.i").alias("id"), (-F.col("m.d") if measure.negated else F.col("m.d")).alias("distance"))
     xs, ys = (vectors_of(t, "id", "vector", F.col(g).cast("long").alias("g")) for t, g in zip((x, y), group, strict=True))
-    parts = [scan(ys, (*gather(b), _column(b, "g")), 1, measure, lambda q, rows: q[1][:, None] != rows[1][None, :]) for b in blocks(xs)]
-    return signed(rank_rows(union(parts), 1), measure.negated).drop("rank")
-
-
-def _column(block: DataFrame, name: str) -> np.ndarray:
-    """A column of a bounded block, in the order of gather()."""
-    t = block.select("id", name).toArrow()
-    return t[name].to_numpy()[np.argsort(t["id"].to_numpy(), kind="stable")]
+    found = scan(xs, ys, 1, measure, lambda q, rows: q[1][:, None] != rows[1][None, :])
+    return signed(rank_rows(found, 1), measure.negated).drop("rank")
 
 
 def signed(found: DataFrame, negated: bool) -> DataFrame:
@@ -122,24 +115,19 @@ def _pairs(x: DataFrame, y: DataFrame, measure: Callable, limit: float | None) -
     x, y = vectors_of(x), vectors_of(y)
     schema = pa.schema([("xid", pa.int64()), ("yid", pa.int64()), ("distance", pa.float64())])
 
-    def one(block: DataFrame) -> DataFrame:
-        sent = share(y.sparkSession, gather(block))
-
-        def run(batches):
-            qid, q = sent.value
-            for batch in batches:
-                if not batch.num_rows or not len(qid):
-                    continue
-                ids, m = batch.column(0).to_numpy(), matrix(batch.column(1))
-                step = max(1, 500_000 // len(ids))
-                for i in range(0, len(qid), step):
-                    d = measure(q[i : i + step], m)
-                    r, c = np.nonzero(d <= limit) if limit is not None else (v.ravel() for v in np.indices(d.shape))
-                    yield pa.RecordBatch.from_arrays([pa.array(qid[i : i + step][r]), pa.array(ids[c]), pa.array(d[r, c])], schema=schema)
-
-        return y.mapInArrow(run, "xid long, yid long, distance double")
-
-    return union([one(b) for b in blocks(x)])
+    def work(block, batches):
+        qid, q = block
+        for batch in batches:
+            if not batch.num_rows or not len(qid):
+                continue
+            ids, m = batch.column(0).to_numpy(), matrix(batch.column(1))
+            step = max(1, 500_000 // len(ids))
+            for i in range(0, len(qid), step):
+                d = measure(q[i : i + step], m)
+                r, c = np.nonzero(d <= limit) if limit is not None else (v.ravel() for v in np.indices(d.shape))
+                yield pa.RecordBatch.from_arrays([pa.array(qid[i : i + step][r]), pa.array(ids[c]), pa.array(d[r, c])], schema=schema)
+
+    return meet(x, y, work, "xid long, yid long, distance double")
 
 
 def eps_neighborhood(x: DataFrame, y: DataFrame, eps: float, metric: str = "sqeuclidean") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from vectorloom.functions.arrays import matrix
 from vectorloom.functions.distances import ALIASES, resolve
-from vectorloom.operators.blocks import blocks, coarse, gather, share, union, vectors_of
+from vectorloom.operators.blocks import coarse, meet, vectors_of
 from vectorloom.operators.neighbors import knn
 
 
@@ -21,27 +21,22 @@ def silhouette_samples(data: DataFrame, label: str = "label", metric: str = "L2U
     measure = resolve(metric).block
     schema = pa.schema([("id", pa.int64()), ("other", pa.int64()), ("total", pa.float64())])
 
-    def one(part: DataFrame) -> DataFrame:
-        sent = share(rows.sparkSession, gather(part.select("id", "vector")))
-
-        def run(batches):
-            qid, q = sent.value
-            sums: dict[int, np.ndarray] = {}
-            for b in batches:
-                if not b.num_rows or not len(qid):
-                    continue
-                m, lab = matrix(b.column(1)), b.column(2).to_numpy()
-                step = max(1, 1_000_000 // len(m))
-                for i in range(0, len(qid), step):
-                    d = measure(q[i : i + step], m)
-                    for v in np.unique(lab):
-                        sums.setdefault(int(v), np.zeros(len(qid)))[i : i + step] += d[:, lab == v].sum(1)
-            for v, total in sums.items():
-                yield pa.RecordBatch.from_arrays([pa.array(qid), pa.array(np.full(len(qid), v)), pa.array(total)], schema=schema)
-
-        return rows.mapInArrow(run, "id long, other long, total double")
-
-    totals = union([one(b) for b in blocks(rows)]).groupBy("id", "other").agg(F.sum("total").alias("total"))
+    def work(block, batches):
+        qid, q = block
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            if not b.num_rows or not len(qid):
+                continue
+            m, lab = matrix(b.column(1)), b.column(2).to_numpy()
+            step = max(1, 1_000_000 // len(m))
+            for i in range(0, len(qid), step):
+                d = measure(q[i : i + step], m)
+                for v in np.unique(lab):
+                    sums.setdefault(int(v), np.zeros(len(qid)))[i : i + step] += d[:, lab == v].sum(1)
+        for v, total in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array(qid), pa.array(np.full(len(qid), v)), pa.array(total)], schema=schema)
+
+    totals = meet(rows.select("id", "vector"), rows, work, "id long, other long, total double").groupBy("id", "other").agg(F.sum("total").alias("total"))
     sizes = rows.groupBy(F.col("label").alias("other")).agg(F.count(F.lit(1)).alias("size"))
     met = totals.join(sizes, "other").join(rows.select("id", "label"), "id")
     inner = F.max(F.when(F.col("other") == F.col("label"), F.when(F.col("size") > 1, F.col("total") / (F.col("size") - 1)).otherwise(-1.0)))
@@ -66,31 +61,25 @@ def trustworthiness(data: DataFrame, embedded: DataFrame, n_neighbors: int = 5,
     pairs = near.select("query_id", "id").join(rows.select("id", F.col("vector").alias("nv")), "id").join(rows.select(F.col("id").alias("query_id"), "vector"), "query_id")
     n = rows.count()
 
-    def one(part: DataFrame) -> DataFrame:
-        t = part.toArrow()
-        sent = share(rows.sparkSession, (t["id"].to_numpy(), matrix(t["vector"].combine_chunks()), t["nid"].to_numpy(), matrix(t["nv"].combine_chunks())) if t.num_rows else None)
-
-        def run(batches):
-            if sent.value is None:
-                return
-            qid, q, nid, nv = sent.value
-            limit = np.concatenate([coarse(np.diagonal(measure(q[i : i + 256], nv[i : i + 256]))) for i in range(0, len(q), 256)])
-            count = np.zeros(len(qid), dtype=np.int64)
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                ids, m = b.column(0).to_numpy(), matrix(b.column(1))
-                step = max(1, 1_000_000 // len(ids))
-                for i in range(0, len(qid), step):
-                    d = coarse(measure(q[i : i + step], m))
-                    lim, own, who = limit[i : i + step, None], qid[i : i + step, None], nid[i : i + step, None]
-                    count[i : i + step] += (((d < lim) | ((d == lim) & (ids[None, :] < who))) & (ids[None, :] != own)).sum(1)
-            yield pa.RecordBatch.from_arrays([pa.array(qid), pa.array(nid), pa.array(count)], schema=schema)
-
-        return rows.mapInArrow(run, "query_id long, id long, closer long")
+    def work(block, batches):
+        qid, q, nid, nv = block
+        if not len(qid):
+            return
+        limit = np.concatenate([coarse(np.diagonal(measure(q[i : i + 256], nv[i : i + 256]))) for i in range(0, len(q), 256)])
+        count = np.zeros(len(qid), dtype=np.int64)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, m = b.column(0).to_numpy(), matrix(b.column(1))
+            step = max(1, 1_000_000 // len(ids))
+            for i in range(0, len(qid), step):
+                d = coarse(measure(q[i : i + step], m))
+                lim, own, who = limit[i : i + step, None], qid[i : i + step, None], nid[i : i + step, None]
+                count[i : i + step] += (((d < lim) | ((d == lim) & (ids[None, :] < who))) & (ids[None, :] != own)).sum(1)
+        yield pa.RecordBatch.from_arrays([pa.array(qid), pa.array(nid), pa.array(count)], schema=schema)
 
     named = pairs.select(F.col("query_id").alias("id"), "vector", F.col("id").alias("nid"), "nv")
-    ranks = union([one(b) for b in blocks(named)]).groupBy("query_id", "id").agg((F.sum("closer") + 1).alias("rank"))
+    ranks = meet(named, rows, work, "query_id long, id long, closer long").groupBy("query_id", "id").agg((F.sum("closer") + 1).alias("rank"))
     k = n_neighbors
     over = F.sum(F.greatest(F.lit(0), F.col("rank") - k))
     return ranks.agg((1 - F.coalesce(over, F.lit(0)) * (2.0 / (n * k * (2.0 * n - 3.0 * k - 1.0)))).alias("trustworthiness"))
@@ -193,29 +182,24 @@ def kde(queries: DataFrame, train: DataFrame, bandwidth: float, kernel: str = "g
     norm = log_norm(kernel, bandwidth, dim or 1)
     schema = pa.schema([("query_id", pa.int64()), ("m", pa.float64()), ("s", pa.float64())])
 
-    def one(part: DataFrame) -> DataFrame:
-        sent = share(rows.sparkSession, gather(part))
-
-        def run(batches):
-            qid, q = sent.value
-            top, total = np.full(len(qid), -np.inf), np.zeros(len(qid))
-            for b in batches:
-                if not b.num_rows or not len(qid):
-                    continue
-                m, lw = matrix(b.column(1)), np.log(np.maximum(b.column(2).to_numpy(), 1e-300))
-                step = max(1, 1_000_000 // len(m))
-                for i in range(0, len(qid), step):
-                    v = log_kernel(kernel, measure(q[i : i + step], m), bandwidth) + lw[None, :]
-                    new = np.maximum(top[i : i + step], v.max(1))
-                    safe = np.where(np.isfinite(new), new, 0.0)
-                    total[i : i + step] = total[i : i + step] * np.exp(np.where(np.isfinite(top[i : i + step]), top[i : i + step] - safe, -np.inf)) + np.exp(v - safe[:, None]).sum(1)
-                    top[i : i + step] = new
-            ok = np.isfinite(top)
-            yield pa.RecordBatch.from_arrays([pa.array(qid[ok]), pa.array(top[ok]), pa.array(total[ok])], schema=schema)
-
-        return rows.mapInArrow(run, "query_id long, m double, s double")
-
-    parts = union([one(b) for b in blocks(queries)])
+    def work(block, batches):
+        qid, q = block
+        top, total = np.full(len(qid), -np.inf), np.zeros(len(qid))
+        for b in batches:
+            if not b.num_rows or not len(qid):
+                continue
+            m, lw = matrix(b.column(1)), np.log(np.maximum(b.column(2).to_numpy(), 1e-300))
+            step = max(1, 1_000_000 // len(m))
+            for i in range(0, len(qid), step):
+                v = log_kernel(kernel, measure(q[i : i + step], m), bandwidth) + lw[None, :]
+                new = np.maximum(top[i : i + step], v.max(1))
+                safe = np.where(np.isfinite(new), new, 0.0)
+                total[i : i + step] = total[i : i + step] * np.exp(np.where(np.isfinite(top[i : i + step]), top[i : i + step] - safe, -np.inf)) + np.exp(v - safe[:, None]).sum(1)
+                top[i : i + step] = new
+        ok = np.isfinite(top)
+        yield pa.RecordBatch.from_arrays([pa.array(qid[ok]), pa.array(top[ok]), pa.array(total[ok])], schema=schema)
+
+    parts = meet(queries, rows, work, "query_id long, m double, s double")
     peak = parts.groupBy("query_id").agg(F.collect_list(F.struct("m", "s")).alias("x"), F.max("m").alias("top"))
     summed = F.aggregate("x", F.lit(0.0), lambda a, v: a + v["s"] * F.exp(v["m"] - F.col("top")))
     dens: Column = F.col("top") + F.ln(summed) - log(total or 1.0) - norm

@@ -6,7 +6,6 @@ from any store that Spark opens; larger files are read in ranges, each by a task
 
 from __future__ import annotations
 
-import os
 import struct
 
 import numpy as np
@@ -97,27 +96,29 @@ def _ranges(spark: SparkSession, large: list[tuple[str, int]], kind: np.dtype) -
 
 
 def write_vectors(df: DataFrame, path: str, dtype: str = "float32", part_rows: int = 1_000_000) -> int:
-    """Part files of at most part_rows rows under path, a folder that driver and executors share; the number of parts.
+    """Part files of at most part_rows rows under path, a folder (or the address of a store that Arrow opens) which driver and executors share; the number of parts.
 
     Rows are ordered by id within and over the parts. A part is written under a name of its task and renamed when complete, so a repeated task replaces it.
     """
     rows = vectors_of(df)
     n = rows.count()
     parts = max(1, -(-n // part_rows))
-    kind, local = np.dtype(dtype).newbyteorder("<"), path.removeprefix("file://").removeprefix("file:")
+    kind = np.dtype(dtype).newbyteorder("<")
 
     def run(batches):
+        from pyarrow import fs
         from pyspark import TaskContext
 
         c = TaskContext.get()
         got = [(b.column(0).to_numpy(), matrix(b.column(1))) for b in batches if b.num_rows]
         if got:
             m = np.concatenate([x for _, x in got])
-            os.makedirs(local, exist_ok=True)
-            name = f"{local}/part-{c.partitionId():06d}.{suffix_of(dtype)}"
-            with open(f"{name}.{c.taskAttemptId()}.tmp", "wb") as f:
+            store, folder = fs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
+            store.create_dir(folder, recursive=True)
+            name = f"{folder}/part-{c.partitionId():06d}.{suffix_of(dtype)}"
+            with store.open_output_stream(f"{name}.{c.taskAttemptId()}.tmp") as f:
                 f.write(struct.pack("<II", *m.shape) + m.astype(kind).tobytes())
-            os.replace(f"{name}.{c.taskAttemptId()}.tmp", name)
+            store.move(f"{name}.{c.taskAttemptId()}.tmp", name)
             yield pa.RecordBatch.from_arrays([pa.array([len(m)])], names=["n"])
 
     ordered = rows.repartitionByRange(parts, "id").sortWithinPartitions("id")
