@@ -7,6 +7,7 @@ number of shards grows with the table. Pruning a whole kNN graph is also given a
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -294,8 +295,12 @@ class GraphIndex:
     metric: str
     params: dict = field(default_factory=dict)
 
-    def search(self, queries: DataFrame, k: int, itopk_size: int = 64, search_width: int = 1, max_iterations: int = 0, num_random_samplings: int = 1, seed: int = 0x128394, allow: DataFrame | None = None) -> DataFrame:
-        """(query_id, rank, id, distance) of beam searches in all shards. allow: ids that may be returned; others are still walked over."""
+    def search(self, queries: DataFrame, k: int, itopk_size: int = 64, search_width: int = 1, max_iterations: int = 0, num_random_samplings: int = 1, seed: int = 0x128394, allow: DataFrame | None = None, mask: Callable | None = None) -> DataFrame:
+        """(query_id, rank, id, distance) of beam searches in all shards.
+
+        allow: ids that may be returned; mask: a NumPy predicate over (query ids, ids), each pair of a matrix of them;
+        rows that are ruled out are still walked over.
+        """
         itopk = max(itopk_size, k)
         nodes = self.nodes
         if allow is not None:
@@ -328,8 +333,11 @@ class GraphIndex:
                     else:
                         n = min(len(ids), num_random_samplings * max(32, int(4 * np.sqrt(len(ids)))))
                         seeds = np.tile(rng.choice(len(ids), n, replace=False), (len(part), 1))
-                    who, d = beam(part, m, graph, seeds, itopk if ok.all() else itopk * 4, search_width, rounds, measure)
-                    r, c = np.nonzero((who >= 0) & ok[np.maximum(who, 0)])
+                    who, d = beam(part, m, graph, seeds, itopk if ok.all() and mask is None else itopk * 4, search_width, rounds, measure)
+                    may = (who >= 0) & ok[np.maximum(who, 0)]
+                    if mask is not None:
+                        may &= mask(qid[i : i + step, None], ids[np.maximum(who, 0)])
+                    r, c = np.nonzero(may)
                     best = Best(len(part), k)
                     best.add(r, ids[who[r, c]], d[r, c])
                     out.append(pa.table([qid[i : i + step][best.row], best.id, best.d], schema=NEIGHBOR_SCHEMA))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -27,6 +28,7 @@ CONSTRAINTS: dict[str, Callable[[dict, dict, int, int], bool]] = {
     "ivf_pq": lambda b, s, k, dim: s.get("n_probes", 1) <= b.get("n_lists", 1024) and b.get("pq_dim", 0) <= dim and b.get("pq_dim", 0) * b.get("pq_bits", 8) % 8 == 0,
     "cagra": lambda b, s, k, dim: s.get("itopk_size", 64) >= k and b.get("graph_degree", 64) <= b.get("intermediate_graph_degree", 128),
     "hnsw": lambda b, s, k, dim: s.get("itopk_size", 64) >= k,
+    "vamana": lambda b, s, k, dim: s.get("itopk_size", 64) >= k and b.get("visited_size", 64) >= b.get("graph_degree", 32),
     "brute_force": lambda b, s, k, dim: True,
 }
 
@@ -39,11 +41,21 @@ class Backend:
     build: Callable
 
 
+REGISTERED: dict[str, Backend] = {}
+
+
+def register_backend(name: str, build: Callable, constraint: Callable[[dict, dict, int, int], bool] | None = None) -> None:
+    """Adds a back end of one's own to sweeps; build(data, **params) gives something with search(queries, k, **params)."""
+    REGISTERED[name] = Backend(name, build)
+    if constraint:
+        CONSTRAINTS[name] = constraint
+
+
 def backends() -> dict[str, Backend]:
     from vectorloom.operators import exact, graphs, ivf
 
     known = {"brute_force": exact.build_exact, "ivf_flat": ivf.build_flat, "ivf_sq": ivf.build_sq, "ivf_pq": ivf.build_pq, "ivf_rabitq": ivf.build_rabitq, "cagra": graphs.build_cagra, "hnsw": graphs.build_hnsw, "vamana": graphs.build_vamana}
-    return {n: Backend(n, f) for n, f in known.items()}
+    return {n: Backend(n, f) for n, f in known.items()} | REGISTERED
 
 
 def ground_truth(queries: DataFrame, data: DataFrame, k: int, metric: str = "sqeuclidean") -> DataFrame:
@@ -56,6 +68,25 @@ def random_choice_queries(data: DataFrame, n: int, seed: int = 0) -> DataFrame:
     return data.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n)
 
 
+def random_queries(data: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """n normal vectors with the mean and the spread of every component of data, made where they are used."""
+    dim = data.select(F.max(F.size("vector"))).first()[0] or 0
+    moments = data.agg(*(f(F.get("vector", F.lit(i))) for f in (F.avg, F.stddev_pop) for i in range(dim))).first()
+    parts = [F.lit(moments[i]) + F.lit(moments[dim + i]) * F.randn(seed + i) for i in range(dim)]
+    return data.sparkSession.range(0, n, 1, 1).select("id", F.array(*parts).alias("vector"))
+
+
+def tune(backend: str, data: DataFrame, queries: DataFrame, truth: DataFrame, k: int, build: dict[str, list], search: dict[str, list], dim: int, least: float = 0.9, trials: int = 10, seed: int = 0) -> tuple[dict | None, list[dict]]:
+    """The fastest of some random configurations whose recall is at least `least`, and all that were tried."""
+    known = list(configurations(backend, build, search, k, dim))
+    chosen = random.Random(seed).sample(known, min(trials, len(known)))
+    tried = []
+    for b, s in chosen:
+        tried += sweep(backend, data, queries, truth, k, {name: [v] for name, v in b.items()}, {name: [v] for name, v in s.items()}, dim)
+    good = [r for r in tried if r["recall"] >= least]
+    return max(good, key=lambda r: r["items_per_second"], default=None), tried
+
+
 def configurations(backend: str, build: dict[str, list], search: dict[str, list], k: int, dim: int) -> Iterator[tuple[dict, dict]]:
     """Pairs of build and search parameters that the backend's constraints admit."""
     ok = CONSTRAINTS.get(backend, lambda *_: True)

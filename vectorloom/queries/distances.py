@@ -71,6 +71,14 @@ def _sparse(metric: str):
     pairs = f"(SELECT query_id, id, {expression} AS distance FROM q, data)"
     register(f"sparse_knn_{NAMES[metric]}", f"WITH {cte(form)} {sql_rounded(topk(pairs, K, order))}")(query)
 
+    def every_pair(spark, sf_dir):
+        """All pairs of the query set with all rows, digested by query."""
+        rows = sparse.from_dense(data(spark, sf_dir, form))
+        found = sparse.pairwise(rows.where(F.col("id") % 20 == 0), rows, metric, 64, P)
+        return found.groupBy(F.col("xid").alias("query_id")).agg(F.count("yid").alias("n"), (F.round(F.avg("distance"), 5) + 0.0).alias("mean"), (F.round(F.max("distance"), 5) + 0.0).alias("high"))
+
+    register(f"sparse_pairwise_{NAMES[metric]}", f"WITH {cte(form)} SELECT query_id, count(*) AS n, round(avg(distance), 5) + 0.0 AS mean, round(max(distance), 5) + 0.0 AS high FROM {pairs} GROUP BY query_id")(every_pair)
+
 
 for _m in sparse.METRICS:
     _sparse(_m)

@@ -16,7 +16,7 @@ from vectorloom.queries.inputs import CENTERS, D, K, cte, data, label_means, que
 from vectorloom.queries.neighbors import EXACT
 from vectorloom.registry import register
 from vectorloom.runtime import cut_lineage, ensure_checkpoint_dir
-from vectorloom.sources import binary
+from vectorloom.sources import binary, catalog
 from vectorloom.streaming import extend as streams
 
 
@@ -31,6 +31,9 @@ _BASE = f"WITH {cte('scaled')}, {CENTERS}, {_LISTS}"
 _PROBED = f"(SELECT query_id, id, {sq('qv', 'v')} AS distance FROM probes JOIN placed USING (c))"
 
 
+_L1 = "(SELECT query_id, id, list_sum(list_transform(list_zip(qv, v), lambda p: abs(p[1] - p[2]))) AS distance FROM q, data)"
+
+
 def _flat(spark, sf_dir, **args):
     rows = data(spark, sf_dir, "scaled")
     return rows, ivf.build_flat(rows, centers=label_means(rows), **args)
@@ -62,6 +65,14 @@ def ivf_flat_inner_product(spark, sf_dir):
     return rounded(ix.search(queries(rows), K, PROBES))
 
 
+@register("ivf_flat_custom_metric", f"WITH {cte('scaled')} {sql_rounded(topk(_L1))}")
+def ivf_flat_custom_metric(spark, sf_dir):
+    """A metric of one's own (sums of absolute differences) over all lists."""
+    rows = data(spark, sf_dir, "scaled")
+    metric = lambda x, y: np.abs(x[:, None, :] - y[None, :, :]).sum(2)
+    return rounded(ivf.build_flat(rows, 8, metric).search(queries(rows), K, 8))
+
+
 @register("ivf_flat_extend", f"{_BASE} {sql_rounded(topk(_PROBED))}")
 def ivf_flat_extend(spark, sf_dir):
     """Half of the rows at build, the others later."""
@@ -274,6 +285,16 @@ def cagra_filtered(spark, sf_dir):
     return judged(ix.search(queries(rows), K, itopk_size=128, allow=allow).join(allow, "id", "left_semi"), rows, allow)
 
 
+@register("cagra_filtered_by_function", JUDGED)
+def cagra_filtered_by_function(spark, sf_dir):
+    """A predicate over the ids of queries and rows within the search; it gives what a list of ids gives."""
+    rows = data(spark, sf_dir)
+    ix = graphs.build_cagra(rows, intermediate_graph_degree=32, graph_degree=16)
+    allow = rows.where("id % 3 = 1").select("id")
+    found = ix.search(queries(rows), K, itopk_size=128, mask=lambda q, i: (i % 3 == 1) & (q >= 0))
+    return judged(found.join(allow, "id", "left_semi"), rows, allow)
+
+
 @register("cagra_from_graph", JUDGED)
 def cagra_from_graph(spark, sf_dir):
     rows = data(spark, sf_dir)
@@ -483,6 +504,21 @@ def benchmark_sweep(spark, sf_dir):
     return spark.createDataFrame([(r["algo"], k, bool(rises), r["band"] is not None or r["recall"] < 0.8) for k, r in enumerate(order, 1)], "algo string, probes int, recall_rises boolean, banded boolean")
 
 
+@register("benchmark_tune", "SELECT 'ivf_flat' AS algo, 8::BIGINT AS tried, true AS good_enough")
+def benchmark_tune(spark, sf_dir):
+    """The fastest of eight random configurations that reaches a recall of 0.9."""
+    rows = data(spark, sf_dir)
+    truth = cut_lineage(harness.ground_truth(queries(rows), rows, K))
+    best, tried = harness.tune("ivf_flat", rows, queries(rows), truth, K, {"n_lists": [4, 8]}, {"n_probes": [1, 2, 3, 4, 6, 8]}, 64, trials=8)
+    return spark.createDataFrame([("ivf_flat", len(tried), best is not None and best["recall"] >= 0.9)], "algo string, tried long, good_enough boolean")
+
+
+@register("dataset_catalog", "SELECT * FROM (VALUES ('deep-image-96-angular', 10000000, 96, 'inner_product'), ('fashion-mnist-784-euclidean', 60000, 784, 'euclidean'), ('glove-50-angular', 1100000, 50, 'inner_product'), ('glove-100-angular', 1100000, 100, 'inner_product'), ('mnist-784-euclidean', 60000, 784, 'euclidean'), ('nytimes-256-angular', 290000, 256, 'inner_product'), ('sift-128-euclidean', 1000000, 128, 'euclidean'), ('bigann-100M', 100000000, 128, 'euclidean')) t(name, rows, dim, distance)")
+def dataset_catalog(spark, sf_dir):
+    """Known benchmark data sets."""
+    return catalog.catalog(spark)
+
+
 @register("blobs_kmeans", "SELECT CAST(b AS INT) AS blob, 200::BIGINT AS n, 1::BIGINT AS labels FROM range(3) t(b)")
 def blobs_kmeans(spark, sf_dir):
     """Generated blobs, clustered: every blob is one cluster, and there are three."""
