@@ -76,3 +76,20 @@ def test_interval_tree():
     lcp = np.array([3, 5, 5, 2, 0, 4])
     got = sorted(map(tuple, S.lcp_intervals(lcp).tolist()))
     assert got == sorted([(1, 3, 5, 3), (0, 3, 3, 2), (0, 4, 2, 0), (5, 6, 4, 0)])
+
+
+def test_ranges_of_a_document_travel_together():
+    rng = np.random.default_rng(8)
+    rows = np.zeros(3000, dtype=S.RANGE)
+    rows["d"], rows["t"], rows["s"] = rng.integers(-2, 3, 3000), rng.integers(0, 9, 3000), rng.integers(-60, 20_000, 3000)
+    rows["e"] = rows["s"] + rng.integers(0, 90, 3000)
+    want = {}
+    for d, t, s, e in rows.tolist():
+        want.setdefault((d, t), set()).update(range(s, e + 1))
+    sent = S._covers(rows, 4)
+    assert len(sent) == len(want) and {k for _, k, _ in sent} == {S.COVER}
+    for bucket, _, blob in sent:
+        got = np.frombuffer(blob, S.RANGE)
+        assert (got["s"][1:] > got["e"][:-1] + 1).all() and set(got["t"] % 4) == {bucket}
+        assert {x for s, e in zip(got["s"].tolist(), got["e"].tolist(), strict=True) for x in range(s, e + 1)} == want[got["d"][0], got["t"][0]]
+    assert S._covers(rows[:0], 4) == []

@@ -15,7 +15,9 @@ any repeated window share. Every anchor has a context, the bytes that windows ov
 3. GRAM bytes with very many contexts (HOT) are settled by the hashes of their windows instead, dealt by window,
    so that no task has to hold them all.
 
-Texts and ranges are brought together in buckets of documents. Hashes have 64 bits.
+Texts and ranges are brought together in buckets of documents. What is sent for a document is one row per
+sender, with its ranges or places; a context is a row of its own. Only anchors, and windows of hot strings,
+travel as one row per sender and bucket. Hashes have 64 bits.
 
 A null text is empty. Rows that repeat doc_id and text are one document with one result each; different texts
 under one doc_id are ordered by a hash, a null doc_id is the smallest. Texts below WINDOW bytes keep all.
@@ -120,14 +122,37 @@ def _deal(rows: np.ndarray, bucket: np.ndarray, kind: int) -> list[tuple[int, in
     return [(int(bucket[a]), kind, rows[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
+def _by_document(rows: np.ndarray, docs: int, kind: int) -> list[tuple[int, int, bytes]]:
+    """(bucket, kind, bytes) of the rows of every document."""
+    rows = rows[np.lexsort((rows["t"], rows["d"]))]
+    if not len(rows):
+        return []
+    cuts = np.flatnonzero(np.r_[True, (rows["d"][1:] != rows["d"][:-1]) | (rows["t"][1:] != rows["t"][:-1]), True])
+    bucket = rows["t"][cuts[:-1]].astype(np.int64) % docs
+    return [(b, kind, rows[i:j].tobytes()) for b, i, j in zip(bucket.tolist(), cuts[:-1], cuts[1:], strict=True)]
+
+
+def _covers(rows: np.ndarray, docs: int) -> list[tuple[int, int, bytes]]:
+    """(bucket, COVER, ranges) of every document; ranges that touch become one."""
+    rows = rows[np.lexsort((rows["s"], rows["t"], rows["d"]))]
+    if not len(rows):
+        return []
+    new = np.r_[False, (rows["d"][1:] != rows["d"][:-1]) | (rows["t"][1:] != rows["t"][:-1])]
+    shift = np.cumsum(new) << 34  # keeps the reach of a document below the starts of the next
+    reach = np.maximum.accumulate(rows["e"] + shift)
+    at = np.flatnonzero(np.r_[True, rows["s"][1:] + shift[1:] > reach[:-1] + 1])
+    out = rows[at]
+    out["e"] = (reach - shift)[np.r_[at[1:], len(rows)] - 1]
+    return _by_document(out, docs, COVER)
+
+
 def _blobs(found: list[tuple[int, int, bytes]]) -> pa.Table:
     return pa.table([list(x) for x in zip(*found, strict=True)] if found else [[], [], []], schema=BLOB_SCHEMA)
 
 
 def _joined(t: pa.Table, kind: int, dtype: np.dtype) -> np.ndarray:
     """All rows of a kind in a table of blobs."""
-    got = [np.frombuffer(b, dtype) for b, k in zip(t["rows"].to_pylist(), t["kind"].to_pylist(), strict=True) if k == kind]
-    return np.concatenate(got) if got else np.zeros(0, dtype)
+    return np.frombuffer(b"".join(b for b, k in zip(t["rows"].to_pylist(), t["kind"].to_pylist(), strict=True) if k == kind), dtype)
 
 
 def _spread(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -159,8 +184,7 @@ def _settle_locally(rows: np.ndarray, buckets: int, docs: int) -> pa.Table:
     direct = direct.copy()
     rest = np.concatenate([rest, marks])
     rest["k"][len(rest) - len(marks) :] = MARK
-    found = _deal(_ranges(cover), cover["t"].astype(np.int64) % docs, COVER)
-    found += _deal(_wanted(direct, BY_WINDOW), direct["t"].astype(np.int64) % docs, BY_WINDOW)
+    found = _covers(_ranges(cover), docs) + _by_document(_wanted(direct, BY_WINDOW), docs, BY_WINDOW)
     return _blobs(found + _deal(rest, _spread(rest["h"], buckets), FIRST))
 
 
@@ -184,8 +208,7 @@ def _by_gram(docs: int):
         want = np.concatenate([_wanted(windows, BY_WINDOW), _wanted(context, BY_CONTEXT)])
         passed = zip(t["bucket"].to_pylist(), t["kind"].to_pylist(), t["rows"].to_pylist(), strict=True)
         found = [(b, COVER if k == COVER else BY_CONTEXT, r) for b, k, r in passed if k in (COVER, BY_WINDOW)]
-        found += _deal(_ranges(cover), cover["t"].astype(np.int64) % docs, COVER)
-        return _blobs(found + _deal(want, want["t"].astype(np.int64) % docs, BY_CONTEXT))
+        return _blobs(found + _covers(_ranges(cover), docs) + _by_document(want, docs, BY_CONTEXT))
 
     return run
 
@@ -235,13 +258,13 @@ def _fetch(buckets: int, n_docs: int):
                 hashes.append(powers.ranges(powers.prefix(text), s, s + WINDOW))
                 places.append(np.rec.fromarrays([np.full(len(s), want["d"][a]), np.full(len(s), want["t"][a]), s, s], dtype=RANGE))
         context = out[want["k"] == BY_CONTEXT]
-        found = _deal(context, _spread(context["h"], buckets), BY_CONTEXT)
+        found = [(b, BY_CONTEXT, c.tobytes()) for b, c in zip(_spread(context["h"], buckets).tolist(), context, strict=True)]
         if hashes:
             h, rows = np.concatenate(hashes), np.concatenate(places)
             order = np.lexsort((rows["s"], rows["t"], rows["d"], h))
             h, rows = h[order], rows[order]
             first = np.r_[True, h[1:] != h[:-1]]
-            found += _deal(rows[~first], rows["t"][~first].astype(np.int64) % n_docs, COVER)
+            found += _covers(rows[~first], n_docs)
             keyed = np.zeros(first.sum(), dtype=WINDOWED)
             keyed["h"], keyed["row"] = h[first], rows[first]
             found += _deal(keyed, _spread(keyed["h"], buckets), BY_WINDOW)
@@ -344,13 +367,13 @@ def _by_context(docs: int):
             _, hi = np.nonzero(edges == -1)
             out = np.zeros(len(i), dtype=RANGE)
             out["d"], out["t"], out["s"], out["e"] = rows["d"][i], rows["t"][i], rows["p"][i] - (hi - 1), rows["p"][i] - lo
-            found += _deal(out, out["t"].astype(np.int64) % docs, COVER)
+            found += _covers(out, docs)
         windows = _joined(t, BY_WINDOW, WINDOWED)
         if len(windows):
             place = windows["row"]
             windows = windows[np.lexsort((place["s"], place["t"], place["d"], windows["h"]))]
             again = windows["row"][np.r_[False, windows["h"][1:] == windows["h"][:-1]]]
-            found += _deal(again, again["t"].astype(np.int64) % docs, COVER)
+            found += _covers(again, docs)
         return _blobs(found)
 
     return run
