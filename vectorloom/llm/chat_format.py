@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorloom.llm.common import table
+from vectorloom.llm.common import per_process, table
 
 BASE = 50_256
 BOS, TURN, BODY, END, EOS = range(BASE + 1, BASE + 6)
@@ -34,6 +34,8 @@ CONTROLS = [*MARKS.values(), "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</
 FIND = re.compile(r"\\|" + "|".join(re.escape(c) for c in CONTROLS))
 STEP = 1024
 UNDO = re.compile(r"\\(.)", re.S)
+
+
 def escape(text: str) -> str:
     """Text without control strings; unescape() gives the original back."""
     return FIND.sub(lambda m: "\\\\" if m[0] == "\\" else f"{m[0][0]}\\{m[0][1:]}", text)
@@ -44,7 +46,11 @@ def unescape(text: str) -> str:
 
 
 def encoder(path: str | None = None):
-    """The byte-level vocabulary; path defaults to the installed public tokenizer files."""
+    """The byte-level vocabulary, read once a process; path defaults to the installed public tokenizer files."""
+    return per_process(f"byte vocabulary {path or ''}", lambda: _encoder(path))
+
+
+def _encoder(path: str | None):
     import public_tokenizers as P
     import tiktoken
 
@@ -153,10 +159,12 @@ def read_back(formatted: DataFrame, path: str | None = None) -> DataFrame:
                     turns, loss, n, chars, size = hashlib.sha256(), hashlib.sha256(), 0, 0, 0
                 role, said = enc.decode_bytes(ids[s + 1 : m]).decode(), enc.decode_bytes(ids[m + 1 : e]).decode()
                 size += marks + len(role) + len(said)
-                turns.update(f"{unescape(role)}\n{unescape(said)}\n".encode())
+                said = unescape(said)
+                turns.update(f"{unescape(role)}\n{said}\n".encode())
                 n += 1
                 if a < b:
-                    under = unescape(enc.decode_bytes(ids[base + a : base + b]).decode())
+                    # usually the text itself, which has been read already
+                    under = said if (base + a, base + b) == (m + 1, e) else unescape(enc.decode_bytes(ids[base + a : base + b]).decode())
                     loss.update(under.encode())
                     chars += len(under)
                 if last:
