@@ -3,7 +3,8 @@
 import numpy as np
 import pytest
 
-from vectorloom.operators import graphs, ivf, neighbors, quantizers, stats, tiered
+from vectorloom.operators import graphs, ivf, kmeans, neighbors, quantizers, stats, tiered
+from vectorloom.operators.blocks import vectors_of
 from vectorloom.queries.inputs import data, queries
 from vectorloom.sources import binary
 
@@ -153,6 +154,53 @@ def test_cagra_parts(rows, truth):
     assert graphs.hnsw_params(16, 100)["graph_degree"] == 32
 
 
+def test_packed_shards(rows, tmp_path, spark):
+    """A stored index is searched without a shuffle of its shards, and comes back as it was, codes included."""
+    ix = graphs.build_cagra(rows, intermediate_graph_degree=32, graph_degree=16, guarantee_connectivity=True, shard_rows=700)
+    want = sorted(map(tuple, ix.search(queries(rows), K).collect()))
+    assert sorted((r.id, tuple(r.vector)) for r in ix.dataset().collect()) == sorted((r.id, tuple(r.vector)) for r in vectors_of(rows).collect())
+    small = ix.compressed(quantizers.train_pq(rows, 8, 16, use_vq=True, n_iters=4))
+    assert small.packed.selectExpr("sum(length(vectors))").first()[0] == 16 * rows.count()
+    for name, one in (("whole", ix), ("codes", small)):
+        found = sorted(map(tuple, one.search(queries(rows), K).collect()))
+        one.save(f"{tmp_path}/{name}")
+        again = graphs.GraphIndex.load(spark, f"{tmp_path}/{name}")
+        assert sorted(map(tuple, again.search(queries(rows), K).collect())) == found
+        plan = again.search(queries(rows), K)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "FlatMapGroupsInArrow" not in plan
+    assert sorted(map(tuple, graphs.GraphIndex.load(spark, f"{tmp_path}/whole").search(queries(rows), K).collect())) == want
+    more = small.extend(rows.where("id < 40").selectExpr("id + 100000 AS id", "vector"))
+    assert more.dataset().count() == rows.count() + 40 and more.quantizer is small.quantizer
+
+
+def test_graph_over_several_shards(rows, truth):
+    """A given graph of more rows than a shard takes; equal vectors, which no cell can part, are split as well."""
+    graph = graphs.build_cagra(rows, intermediate_graph_degree=32, graph_degree=16, guarantee_connectivity=True).edges()
+    ix = graphs.from_graph(graph, rows, shard_rows=500)
+    sizes = [r["count"] for r in ix.nodes.groupBy("shard").count().collect()]
+    assert len(sizes) > 3 and max(sizes) < 600 and sum(sizes) == rows.count()
+    assert recall(ix.search(queries(rows), K), truth) > 0.95
+    kept = ix.edges().join(graph.select("src", "dst"), ["src", "dst"], "left_semi").count()
+    assert kept > 0.2 * graph.count()
+    same = rows.selectExpr("id", "array(1D, 2D) AS vector")
+    assert graphs.from_graph(graph, same, shard_rows=500).search(same.where("id < 3"), 5).count() == 15
+
+
+def test_balanced_centres_of_equal_rows():
+    """Coarse clusters without rows get no fine centres, so there are k in all."""
+    m = np.zeros((300, 2))
+    m[:20] = np.arange(40).reshape(20, 2)
+    assert kmeans.balanced(m, 64, 4).shape == (64, 2) and kmeans.balanced(np.zeros((300, 2)), 64, 4).shape == (64, 2)
+
+
+def test_scann_store(rows, spark, tmp_path):
+    ix = ivf.build_scann(rows, 16)
+    ix.save(f"{tmp_path}/scann")
+    again = ivf.Scann.load(spark, f"{tmp_path}/scann")
+    assert np.array_equal(again.centers, ix.centers) and np.array_equal(again.codebooks, ix.codebooks)
+    assert sorted(map(tuple, again.codes.select("id", "label", "soar_label").collect())) == sorted(map(tuple, ix.codes.select("id", "label", "soar_label").collect()))
+
+
 def test_default_params():
     for n, dim in ((10, 3), (100_000, 64), (1 << 30, 768)):
         p = ivf.default_params(n, dim)

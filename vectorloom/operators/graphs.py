@@ -1,13 +1,15 @@
 """Graph indexes: pruned neighbour graphs, built and searched shard by shard.
 
-Rows are dealt to shards of about SHARD_ROWS rows by a hash of id; every shard has a graph of its own, is searched by
-best-first beams for a broadcast block of queries in one task of bounded memory, and the shards' lists are merged. The
-number of shards grows with the table. Pruning a whole kNN graph is also given as a DataFrame program.
+Rows are dealt to shards of about SHARD_ROWS rows by a hash of id; every shard has a graph of its own and is kept as one
+row of arrays (ids, levels, vectors or product codes, links as positions). A search reads these rows where they lie, without
+a shuffle of the index: best-first beams run for a broadcast block of queries, shard by shard in bounded memory, and the
+shards' lists are merged. The number of shards grows with the table. Pruning a whole kNN graph is also given as a
+DataFrame program.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -18,13 +20,17 @@ from pyspark.sql import functions as F
 from vectorloom.functions.arrays import matrix, vectors
 from vectorloom.functions.distances import ALIASES, distance, resolve
 from vectorloom.operators.blocks import NEIGHBOR_SCHEMA, NEIGHBORS, Best, Measure, blocks, coarse, gather, rank_rows, share, smallest, union, vectors_of
+from vectorloom.operators.kmeans import balanced, sample, squared
 from vectorloom.operators.neighbors import knn
+from vectorloom.operators.quantizers import ProductQuantizer
 from vectorloom.runtime import cut_lineage
 from vectorloom.sources import store
 
 SHARD_ROWS = 20_000
-GRAPH_SCHEMA = pa.schema([("shard", pa.int32()), ("id", pa.int64()), ("level", pa.int32()), ("vector", pa.list_(pa.float64())), ("neighbors", pa.list_(pa.int64()))])
+MAX_CELLS = 1024
 GRAPH = "shard int, id long, level int, vector array<double>, neighbors array<long>"
+PACKED = "shard int, dim int, ids binary, levels binary, labels binary, vectors binary, degrees binary, links binary"
+PACKED_SCHEMA = pa.schema([("shard", pa.int32()), ("dim", pa.int32()), *((c, pa.binary()) for c in ("ids", "levels", "labels", "vectors", "degrees", "links"))])
 
 
 # pruning as a DataFrame program
@@ -286,14 +292,91 @@ def vamana_graph(m: np.ndarray, degree: int, visited: int, alpha: float, iters:
     return graph
 
 
+def packed_row(shard: int, ids: np.ndarray, level: np.ndarray, m: np.ndarray, degrees: np.ndarray, links: np.ndarray, labels: np.ndarray | None = None) -> pa.RecordBatch:
+    """One shard as a row; vectors are kept in 32 bits where that loses nothing, codes in as few bytes as hold them."""
+    if labels is None:
+        small = m.astype("<f4")
+        values = small if (small == m).all() else m.astype("<f8")
+    else:
+        values = m.astype("<u1" if m.max(initial=0) < 256 else "<u2")
+    cells = [ids.astype("<i8"), level.astype("<i4"), (labels if labels is not None else ids[:0]).astype("<i4"), values, degrees.astype("<i4"), links.astype("<i4")]
+    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([m.shape[1]], pa.int32()), *(pa.array([c.tobytes()], pa.binary()) for c in cells)], schema=PACKED_SCHEMA)
+
+
+class Shard:
+    """The arrays of a packed row, by ascending id; under a quantiser its vectors are decoded."""
+
+    def __init__(self, batch: pa.RecordBatch, i: int, quantizer: ProductQuantizer | None = None):
+        row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+        self.number, self.ids = row["shard"], np.frombuffer(row["ids"], "<i8")
+        self.level, self.degrees, self.links = (np.frombuffer(row[c], "<i4") for c in ("levels", "degrees", "links"))
+        n, size = len(self.ids), len(row["vectors"]) // max(1, len(self.ids) * row["dim"])
+        kind = {1: "<u1", 2: "<u2"}[size] if quantizer else {4: "<f4", 8: "<f8"}[size]
+        m = np.frombuffer(row["vectors"], kind).reshape(n, row["dim"])
+        self.m = quantizer.decode(m.astype(int), np.frombuffer(row["labels"], "<i4")) if quantizer else m.astype(np.float64)
+
+    def graph(self) -> list[np.ndarray]:
+        """Positions of the neighbours of every row."""
+        return np.split(self.links, np.cumsum(self.degrees)[:-1])
+
+
+def _grouped(t: pa.Table) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(shard, ids, levels, vectors, degrees, links) of the rows (GRAPH) of a shard; edges that leave it are left out."""
+    t = t.sort_by("id")
+    ids, lists = t["id"].to_numpy(), t["neighbors"].combine_chunks()
+    flat, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()))
+    at = np.minimum(np.searchsorted(ids, flat), len(ids) - 1)
+    inside = ids[at] == flat
+    return t["shard"][0].as_py(), ids, t["level"].to_numpy(), matrix(t["vector"].combine_chunks()), np.bincount(row[inside], minlength=len(ids)), at[inside]
+
+
+def _pack(nodes: DataFrame) -> DataFrame:
+    """A row for each shard from a row for each vector (GRAPH)."""
+    return nodes.groupBy("shard").applyInArrow(lambda t: pa.Table.from_batches([packed_row(*_grouped(t))]), PACKED)
+
+
 @dataclass
 class GraphIndex:
-    """Shards of vectors with their neighbours; level is the highest layer that holds a row (0: the base alone)."""
+    """Shards of vectors with their neighbours (PACKED); a row's level is the highest layer that holds it (0: the base alone)."""
 
     spark: SparkSession
-    nodes: DataFrame
+    packed: DataFrame
     metric: str
     params: dict = field(default_factory=dict)
+    quantizer: ProductQuantizer | None = None
+
+    @property
+    def nodes(self) -> DataFrame:
+        """(shard, id, level, vector, neighbors) of every row."""
+        sent = share(self.spark, self.quantizer)
+
+        def run(batches):
+            for b in batches:
+                for j in range(b.num_rows):
+                    s = Shard(b, j, sent.value)
+                    graph = s.graph()
+                    for i in range(0, len(s.ids), 4096):
+                        part = slice(i, i + 4096)
+                        links = pa.array([s.ids[g].tolist() for g in graph[part]], type=pa.list_(pa.int64()))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(links), s.number, np.int32)), pa.array(s.ids[part]), pa.array(s.level[part]), vectors(s.m[part]), links], names=["shard", "id", "level", "vector", "neighbors"])
+
+        return self.packed.mapInArrow(run, GRAPH)
+
+    def _places(self) -> DataFrame:
+        """(shard, id) of every row, without reading vectors or links."""
+
+        def run(batches):
+            for b in batches:
+                for number, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    at = np.frombuffer(ids, "<i8")
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), number, np.int32)), pa.array(at)], names=["shard", "id"])
+
+        return self.packed.select("shard", "ids").mapInArrow(run, "shard int, id long")
+
+    def _of(self, nodes: DataFrame):
+        """This index with other rows (GRAPH), coded again if it is compressed."""
+        out = replace(self, packed=_pack(nodes), quantizer=None)
+        return out.compressed(self.quantizer) if self.quantizer else out
 
     def search(self, queries: DataFrame, k: int, itopk_size: int = 64, search_width: int = 1, max_iterations: int = 0, num_random_samplings: int = 1, seed: int = 0x128394, allow: DataFrame | None = None, mask: Callable | None = None) -> DataFrame:
         """(query_id, rank, id, distance) of beam searches in all shards.
@@ -302,28 +385,22 @@ class GraphIndex:
         rows that are ruled out are still walked over.
         """
         itopk = max(itopk_size, k)
-        nodes = self.nodes
+        packed = self.packed.withColumn("allowed", F.lit(None).cast("array<bigint>"))
         if allow is not None:
-            ids = allow.select(F.col("id").cast("long").alias("id")).distinct().withColumn("ok", F.lit(True))
-            nodes = nodes.join(ids, "id", "left").select("shard", "id", "level", "vector", "neighbors", F.coalesce("ok", F.lit(False)).alias("ok"))
-        else:
-            nodes = nodes.withColumn("ok", F.lit(True))
+            ids = allow.select(F.col("id").cast("long").alias("id")).distinct()
+            mine = self._places().join(ids, "id", "left_semi").groupBy("shard").agg(F.collect_list("id").alias("allowed"))  # at most a shard's rows
+            packed = self.packed.join(mine, "shard")
         measure = Measure(self.metric)
         rounds = max_iterations or 4 * itopk // max(1, search_width) + 16
 
         def one(block: DataFrame) -> DataFrame:
-            sent = share(self.spark, gather(block))
-
-            def run(t: pa.Table) -> pa.Table:
-                qid, q = sent.value
-                t = t.sort_by("id")
-                ids, m, level, ok = t["id"].to_numpy(), matrix(t["vector"].combine_chunks()), t["level"].to_numpy(), t["ok"].to_numpy()
-                lists = t["neighbors"].combine_chunks()
-                flat = np.searchsorted(ids, lists.flatten().to_numpy())
-                graph = padded(np.split(flat, np.cumsum(np.diff(lists.offsets.to_numpy()))[:-1]))
+            sent = share(self.spark, (*gather(block), self.quantizer))
+
+            def shard(s: Shard, ok: np.ndarray) -> Iterator[pa.RecordBatch]:
+                qid, q, _ = sent.value
+                ids, m, graph = s.ids, s.m, padded(s.graph())
                 rng = np.random.default_rng(seed)
-                out = []
-                upper = np.flatnonzero(level > 0)
+                upper = np.flatnonzero(s.level > 0)
                 step = max(1, 50_000_000 // len(ids))
                 for i in range(0, len(qid), step):
                     part = q[i : i + step]
@@ -340,10 +417,15 @@ class GraphIndex:
                     r, c = np.nonzero(may)
                     best = Best(len(part), k)
                     best.add(r, ids[who[r, c]], d[r, c])
-                    out.append(pa.table([qid[i : i + step][best.row], best.id, best.d], schema=NEIGHBOR_SCHEMA))
-                return pa.concat_tables(out) if out else NEIGHBOR_SCHEMA.empty_table()
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (qid[i : i + step][best.row], best.id, best.d)], schema=NEIGHBOR_SCHEMA)
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for b in batches:
+                    for j in range(b.num_rows):
+                        s, may = Shard(b, j, sent.value[2]), b.column("allowed")[j]
+                        yield from shard(s, np.isin(s.ids, may.values.to_numpy()) if may.is_valid else np.ones(len(s.ids), dtype=bool))
 
-            return nodes.groupBy("shard").applyInArrow(run, NEIGHBORS)
+            return packed.mapInArrow(run, NEIGHBORS)
 
         found = rank_rows(union([one(b) for b in blocks(vectors_of(queries))]), k)
         return found.select("query_id", "rank", "id", (-F.col("distance") if measure.negated else F.col("distance")).alias("distance"))
@@ -357,10 +439,12 @@ class GraphIndex:
 
     def extend(self, data: DataFrame):
         """More rows as shards of their own; compact() merges them."""
-        top = self.nodes.agg(F.max("shard")).first()[0]
+        top = self.packed.agg(F.max("shard")).first()[0]
         more = _build(data, self.metric, self.params)
-        moved = more.nodes.withColumn("shard", (F.col("shard") + ((top if top is not None else -1) + 1)).cast("int"))
-        return replace(self, nodes=self.nodes.select(*moved.columns).unionByName(moved))
+        if self.quantizer:
+            more = more.compressed(self.quantizer)
+        moved = more.packed.withColumn("shard", (F.col("shard") + ((top if top is not None else -1) + 1)).cast("int"))
+        return replace(self, packed=self.packed.unionByName(moved))
 
     def compact(self):
         """The index built again over all its rows."""
@@ -368,34 +452,52 @@ class GraphIndex:
 
     def with_dataset(self, data: DataFrame):
         """The same graph over other vectors."""
-        return replace(self, nodes=self.nodes.drop("vector").join(vectors_of(data), "id").select("shard", "id", "level", "vector", "neighbors"))
+        return replace(self, packed=_pack(self.nodes.drop("vector").join(vectors_of(data), "id").select("shard", "id", "level", "vector", "neighbors")), quantizer=None)
 
     def with_graph(self, graph: DataFrame):
-        """Other edges (src, rank, dst) over the same vectors; both ends of an edge must lie in one shard."""
+        """Other edges (src, rank, dst) over the same vectors; those that leave a shard are left out."""
         links = graph.groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_list(F.struct("rank", "dst"))).alias("e")).select("id", F.col("e.dst").alias("neighbors"))
         nodes = self.nodes.drop("neighbors").join(links, "id", "left")
-        return replace(self, nodes=nodes.select("shard", "id", "level", "vector", F.coalesce("neighbors", F.array().cast("array<bigint>")).alias("neighbors")))
+        return self._of(nodes.select("shard", "id", "level", "vector", F.coalesce("neighbors", F.array().cast("array<bigint>")).alias("neighbors")))
 
     def with_ids(self, names: DataFrame):
         """Rows renamed by a table (id, new_id)."""
         names = cut_lineage(names.select(F.col("id").cast("long").alias("id"), F.col("new_id").cast("long").alias("new_id")))
         links = self.nodes.select("id", F.posexplode_outer("neighbors").alias("rank", "dst")).join(names.select(F.col("id").alias("dst"), F.col("new_id").alias("to")), "dst", "left").groupBy("id").agg(F.array_sort(F.collect_list(F.when(F.col("to").isNotNull(), F.struct("rank", "to")))).alias("e"))
         nodes = self.nodes.drop("neighbors").join(links, "id").join(names, "id")
-        return replace(self, nodes=nodes.select("shard", F.col("new_id").alias("id"), "level", "vector", F.col("e.to").alias("neighbors")))
+        return self._of(nodes.select("shard", F.col("new_id").alias("id"), "level", "vector", F.col("e.to").alias("neighbors")))
 
-    def compressed(self, quantizer):
-        """The index over what a product quantiser keeps of its vectors; searches rank by decoded distances, refine() restores order."""
+    def compressed(self, quantizer: ProductQuantizer):
+        """The index with product codes in place of its vectors; searches rank by decoded distances, refine() restores order."""
         if self.metric not in ("sqeuclidean", "L2Expanded"):
             raise ValueError("only squared L2 is supported")
-        return self.with_dataset(quantizer.inverse_transform(quantizer.transform(self.dataset())))
+        sent = share(self.spark, (self.quantizer, quantizer))
+
+        def run(batches):
+            old, new = sent.value
+            for b in batches:
+                for j in range(b.num_rows):
+                    s = Shard(b, j, old)
+                    labels = new.labels(s.m)
+                    yield packed_row(s.number, s.ids, s.level, new.encode(s.m, labels), s.degrees, s.links, labels)
+
+        return replace(self, packed=self.packed.mapInArrow(run, PACKED), quantizer=quantizer)
 
     def save(self, path: str) -> None:
-        store.save(self.spark, path, "graph", {"metric": self.metric, "build": self.params}, {"nodes": self.nodes})
+        tables, params, q = {"packed": self.packed}, {"metric": self.metric, "build": self.params}, self.quantizer
+        if q:
+            params["codes"] = {"dim": q.dim, "codebooks": list(q.codebooks.shape), "centers": list(q.centers.shape) if q.centers is not None else None}
+            tables |= {"codebooks": store.matrix_table(self.spark, q.codebooks)}
+            tables |= {"centers": store.matrix_table(self.spark, q.centers)} if q.centers is not None else {}
+        store.save(self.spark, path, "packed graph", params, tables)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str):
-        p = store.load_params(spark, path, "graph")
-        return cls(spark, spark.read.parquet(f"{path}/nodes").select("shard", "id", "level", "vector", "neighbors"), p["metric"], p["build"])
+        p, q = store.load_params(spark, path, "packed graph"), None
+        if c := p.get("codes"):
+            centers = store.load_matrix(spark, f"{path}/centers", c["centers"]) if c["centers"] else None
+            q = ProductQuantizer(store.load_matrix(spark, f"{path}/codebooks", c["codebooks"]), centers, c["dim"])
+        return cls(spark, spark.read.parquet(f"{path}/packed").select(*PACKED_SCHEMA.names), p["metric"], p["build"], q)
 
 
 def _build(data: DataFrame, metric: str, params: dict) -> GraphIndex:
@@ -420,11 +522,10 @@ def _build(data: DataFrame, metric: str, params: dict) -> GraphIndex:
             if kind == "hnsw":
                 level = np.floor(-np.log(np.maximum(rng.random(len(ids)), 1e-12)) / np.log(max(2, params["graph_degree"] // 2))).astype(np.int32)
                 level[medoid(m)] = max(1, int(level.max()))
-        links = pa.array([ids[g].tolist() for g in graph], type=pa.list_(pa.int64()))
-        return pa.table([pa.array(np.full(len(ids), shard, dtype=np.int32)), ids, level, vectors(m), links], schema=GRAPH_SCHEMA)
+        return pa.Table.from_batches([packed_row(shard, ids, level, m, np.array([len(g) for g in graph]), np.concatenate(graph))])
 
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    return GraphIndex(data.sparkSession, dealt.groupBy("shard").applyInArrow(run, GRAPH), metric, params)
+    return GraphIndex(data.sparkSession, dealt.groupBy("shard").applyInArrow(run, PACKED), metric, params)
 
 
 def build_cagra(data: DataFrame, metric: str = "sqeuclidean", intermediate_graph_degree: int = 128, graph_degree: int = 64, guarantee_connectivity: bool = False, shard_rows: int = SHARD_ROWS, seed: int = 0) -> GraphIndex:
@@ -450,14 +551,48 @@ def build_vamana(data: DataFrame, graph_degree: int = 32, visited_size: int = 64
     return _build(data, "sqeuclidean", {"kind": "vamana", "graph_degree": graph_degree, "visited_size": visited_size, "alpha": alpha, "vamana_iters": vamana_iters, "max_fraction": max_fraction, "shard_rows": shard_rows, "seed": seed})
 
 
-def from_graph(graph: DataFrame, data: DataFrame, metric: str = "sqeuclidean") -> GraphIndex:
-    """An index of one shard from a ranked graph (src, rank, dst) and its vectors; at most SHARD_ROWS rows."""
+def _near_shards(rows: DataFrame, n: int, shard_rows: int) -> DataFrame:
+    """Rows with a shard: those of a cell lie together, cells of more than shard_rows rows are split by a hash of id."""
+    _, m = sample(rows, 50_000, 0)
+    sent = share(rows.sparkSession, balanced(m, min(MAX_CELLS, -(-2 * n // shard_rows), len(m)), 10, 0))
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                cell = coarse(squared(matrix(b.column(1)), sent.value)).argmin(1)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32))], names=["id", "vector", "cell"])
+
+    placed = rows.mapInArrow(run, "id long, vector array<double>, cell int")
+    sizes = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}  # at most MAX_CELLS rows
+    parts = np.array([-(-sizes.get(c, 0) // shard_rows) for c in range(len(sent.value))])
+    first = np.cumsum(parts) - parts
+    start, width = (F.element_at(F.lit(x.tolist()), F.col("cell") + 1) for x in (first, np.maximum(parts, 1)))
+    return placed.select("id", "vector", (start + F.pmod(F.xxhash64("id"), width)).cast("int").alias("shard"))
+
+
+def from_graph(graph: DataFrame, data: DataFrame, metric: str = "sqeuclidean", shard_rows: int = SHARD_ROWS) -> GraphIndex:
+    """An index from a ranked graph (src, rank, dst) and its vectors.
+
+    Up to shard_rows rows are one shard with the graph as it is. More rows are dealt to shards of rows that lie close to
+    each other: edges within a shard are kept, in their order, those that leave it are replaced by the nearest rows of the shard.
+    """
     rows = vectors_of(data)
-    if rows.limit(SHARD_ROWS + 1).count() > SHARD_ROWS:
-        raise ValueError(f"a graph over more than {SHARD_ROWS} rows does not fit one shard")
-    links = graph.groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_list(F.struct("rank", "dst"))).alias("e")).select("id", F.col("e.dst").alias("neighbors"))
-    nodes = rows.join(links, "id", "left").select(F.lit(0).alias("shard"), "id", F.lit(0).alias("level"), "vector", F.coalesce("neighbors", F.array().cast("array<bigint>")).alias("neighbors"))
-    return GraphIndex(data.sparkSession, nodes, metric, {"kind": "cagra", "intermediate_graph_degree": 128, "graph_degree": 64, "guarantee_connectivity": False, "shard_rows": SHARD_ROWS, "seed": 0})
+    n, measure = rows.count(), Measure(metric)
+    dealt = rows.withColumn("shard", F.lit(0)) if n <= shard_rows else _near_shards(rows, n, shard_rows)
+    links = graph.groupBy(F.col("src").cast("long").alias("id")).agg(F.array_sort(F.collect_list(F.struct("rank", F.col("dst").cast("long").alias("dst")))).alias("e")).select("id", F.col("e.dst").alias("neighbors"))
+    nodes = dealt.join(links, "id", "left").select("shard", "id", F.lit(0).alias("level"), "vector", F.coalesce("neighbors", F.array().cast("array<bigint>")).alias("neighbors"))
+
+    def repaired(t: pa.Table) -> pa.Table:
+        want = t.sort_by("id")["neighbors"].combine_chunks().value_lengths().to_numpy()
+        shard, ids, level, m, degrees, links = _grouped(t)
+        if (degrees < want).any():
+            near, kept = exact_graph(m, int(want.max()), measure), np.split(links, np.cumsum(degrees)[:-1])
+            out = [np.r_[g, near[i][~np.isin(near[i], g)]][:w] if len(g) < w else g for i, (g, w) in enumerate(zip(kept, want, strict=True))]
+            degrees, links = np.array([len(g) for g in out]), np.concatenate(out)
+        return pa.Table.from_batches([packed_row(shard, ids, level, m, degrees, links)])
+
+    packed = _pack(nodes) if n <= shard_rows else nodes.groupBy("shard").applyInArrow(repaired, PACKED)
+    return GraphIndex(data.sparkSession, packed, metric, {"kind": "cagra", "intermediate_graph_degree": 128, "graph_degree": 64, "guarantee_connectivity": False, "shard_rows": shard_rows, "seed": 0})
 
 
 def merge(parts: list[GraphIndex], allow: DataFrame | None = None) -> GraphIndex:

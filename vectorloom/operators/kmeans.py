@@ -233,9 +233,9 @@ def balanced(m: np.ndarray, k: int, n_iters: int = 20, seed: int = 0, metric: st
     top = _balance(m, init_random(m, coarse_k, rng), n_iters, rng, metric)
     label = squared(m, top).argmin(1)
     size = np.bincount(label, minlength=coarse_k)
-    want = np.minimum(np.maximum(1, np.floor(k * size / len(m)).astype(int)), np.maximum(1, size))
+    want = np.minimum(np.maximum(1, np.floor(k * size / len(m)).astype(int)), size)
     while want.sum() != k:
-        gap = size / want
+        gap = size / np.maximum(want, 1)
         at = int(np.where(want < size, gap, -1).argmax()) if want.sum() < k else int(np.where(want > 1, gap, np.inf).argmin())
         want[at] += 1 if want.sum() < k else -1
     fine = [_balance(m[label == i], init_random(m[label == i], want[i], rng), n_iters, rng, metric) for i in range(coarse_k) if size[i]]
