@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from vectorloom.operators import graphs, ivf, kmeans, neighbors, quantizers, stats, tiered
+from vectorloom.operators import blocks, graphs, ivf, kmeans, neighbors, quantizers, stats, tiered
 from vectorloom.operators.blocks import vectors_of
 from vectorloom.queries.inputs import data, queries
 from vectorloom.sources import binary
@@ -173,6 +173,21 @@ def test_packed_shards(rows, tmp_path, spark):
     assert more.dataset().count() == rows.count() + 40 and more.quantizer is small.quantizer
 
 
+def test_large_query_sets_meet_shards(rows, monkeypatch):
+    """Queries beyond a broadcast's size meet parts of the shards, with the same results; filters and predicates hold."""
+    ix = graphs.build_cagra(rows, intermediate_graph_degree=32, graph_degree=16, guarantee_connectivity=True, shard_rows=500)
+    ix = graphs.GraphIndex(ix.spark, ix.packed.cache(), ix.metric, ix.params)
+    some = rows.where("id < 300")
+    search = lambda **a: sorted(map(tuple, ix.search(some, 5, **a).collect()))
+    cases = [{}, {"allow": rows.where("id % 3 = 0").select("id")}, {"mask": lambda q, i: q % 2 == i % 2}]
+    want = [search(**c) for c in cases]
+    assert all(len(w) == 1500 for w in want)
+    monkeypatch.setattr(blocks, "MAX_BLOCK_FLOATS", 2000)
+    monkeypatch.setattr(graphs, "MAX_PART_FLOATS", 20_000)
+    assert [search(**c) for c in cases] == want
+    assert ix.search(some.where("false"), 5).collect() == [] and ix.search(some, 5, allow=rows.where("false").select("id")).collect() == []
+
+
 def test_graph_over_several_shards(rows, truth):
     """A given graph of more rows than a shard takes; equal vectors, which no cell can part, are split as well."""
     graph = graphs.build_cagra(rows, intermediate_graph_degree=32, graph_degree=16, guarantee_connectivity=True).edges()

@@ -123,19 +123,20 @@ def _columns(t: pa.Table) -> list[np.ndarray]:
     return [(matrix(c) if pa.types.is_list(c.type) else c.to_numpy(zero_copy_only=False))[order] for c in whole]
 
 
-def meet(queries: DataFrame, data: DataFrame, work: Callable, schema: str) -> DataFrame:
+def meet(queries: DataFrame, data: DataFrame, work: Callable, schema: str, key: str = "id", data_parts: Callable[[], int] | None = None) -> DataFrame:
     """work(query columns, batches of data) for queries (id, vector, ...) and every part of data (id, vector, ...).
 
     The queries come as arrays ordered by id; work yields record batches and may be called for any pair of parts.
+    Data of another form names the column that it is dealt by, and into how many parts.
     """
     parts = n_blocks(queries)
     if parts == 1:
         sent = share(data.sparkSession, _columns(queries.toArrow()))
         return data.mapInArrow(lambda batches: work(sent.value, batches), schema)
-    others = n_blocks(data)
+    others = max(1, data_parts()) if data_parts else n_blocks(data)
     names = [f"q{i}" for i in range(len(queries.columns))]
     left = queries.select(F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(others - 1))), *queries.columns).toDF("qpart", "qother", *names)
-    right = data.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(others)).cast("int").alias("other"), *data.columns)
+    right = data.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.pmod(F.xxhash64(key, F.lit(1)), F.lit(others)).cast("int").alias("other"), *data.columns)
 
     def run(mine: pa.Table, rows: pa.Table) -> pa.Table:
         got = list(work(_columns(mine.select(names)), rows.drop_columns(["part", "other"]).combine_chunks().to_batches()))

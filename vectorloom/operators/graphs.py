@@ -2,14 +2,14 @@
 
 Rows are dealt to shards of about SHARD_ROWS rows by a hash of id; every shard has a graph of its own and is kept as one
 row of arrays (ids, levels, vectors or product codes, links as positions). A search reads these rows where they lie, without
-a shuffle of the index: best-first beams run for a broadcast block of queries, shard by shard in bounded memory, and the
-shards' lists are merged. The number of shards grows with the table. Pruning a whole kNN graph is also given as a
+a shuffle of the index: best-first beams run for the broadcast queries, shard by shard in bounded memory, and the
+shards' lists are merged. More queries than a broadcast takes meet the shards part by part on the executors. The number of shards grows with the table. Pruning a whole kNN graph is also given as a
 DataFrame program.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from vectorloom.functions.arrays import matrix, vectors
 from vectorloom.functions.distances import ALIASES, distance, resolve
-from vectorloom.operators.blocks import NEIGHBOR_SCHEMA, NEIGHBORS, Best, Measure, blocks, coarse, gather, rank_rows, share, smallest, union, vectors_of
+from vectorloom.operators.blocks import NEIGHBOR_SCHEMA, NEIGHBORS, Best, Measure, coarse, meet, rank_rows, share, smallest, union, vectors_of
 from vectorloom.operators.kmeans import balanced, sample, squared
 from vectorloom.operators.neighbors import knn
 from vectorloom.operators.quantizers import ProductQuantizer
@@ -28,6 +28,7 @@ from vectorloom.sources import store
 
 SHARD_ROWS = 20_000
 MAX_CELLS = 1024
+MAX_PART_FLOATS = 8_000_000
 GRAPH = "shard int, id long, level int, vector array<double>, neighbors array<long>"
 PACKED = "shard int, dim int, ids binary, levels binary, labels binary, vectors binary, degrees binary, links binary"
 PACKED_SCHEMA = pa.schema([("shard", pa.int32()), ("dim", pa.int32()), *((c, pa.binary()) for c in ("ids", "levels", "labels", "vectors", "degrees", "links"))])
@@ -393,41 +394,41 @@ class GraphIndex:
         measure = Measure(self.metric)
         rounds = max_iterations or 4 * itopk // max(1, search_width) + 16
 
-        def one(block: DataFrame) -> DataFrame:
-            sent = share(self.spark, (*gather(block), self.quantizer))
-
-            def shard(s: Shard, ok: np.ndarray) -> Iterator[pa.RecordBatch]:
-                qid, q, _ = sent.value
-                ids, m, graph = s.ids, s.m, padded(s.graph())
-                rng = np.random.default_rng(seed)
-                upper = np.flatnonzero(s.level > 0)
-                step = max(1, 50_000_000 // len(ids))
-                for i in range(0, len(qid), step):
-                    part = q[i : i + step]
-                    if len(upper):
-                        _, c = smallest(coarse(measure(part, m[upper])), upper, min(len(upper), 4))
-                        seeds = upper[c].reshape(len(part), -1)
-                    else:
-                        n = min(len(ids), num_random_samplings * max(32, int(4 * np.sqrt(len(ids)))))
-                        seeds = np.tile(rng.choice(len(ids), n, replace=False), (len(part), 1))
-                    who, d = beam(part, m, graph, seeds, itopk if ok.all() and mask is None else itopk * 4, search_width, rounds, measure)
-                    may = (who >= 0) & ok[np.maximum(who, 0)]
-                    if mask is not None:
-                        may &= mask(qid[i : i + step, None], ids[np.maximum(who, 0)])
-                    r, c = np.nonzero(may)
-                    best = Best(len(part), k)
-                    best.add(r, ids[who[r, c]], d[r, c])
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (qid[i : i + step][best.row], best.id, best.d)], schema=NEIGHBOR_SCHEMA)
-
-            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for b in batches:
-                    for j in range(b.num_rows):
-                        s, may = Shard(b, j, sent.value[2]), b.column("allowed")[j]
-                        yield from shard(s, np.isin(s.ids, may.values.to_numpy()) if may.is_valid else np.ones(len(s.ids), dtype=bool))
-
-            return packed.mapInArrow(run, NEIGHBORS)
-
-        found = rank_rows(union([one(b) for b in blocks(vectors_of(queries))]), k)
+        coder = share(self.spark, self.quantizer)
+
+        def shard(s: Shard, ok: np.ndarray, qid: np.ndarray, q: np.ndarray) -> Iterator[pa.RecordBatch]:
+            ids, m, graph = s.ids, s.m, padded(s.graph())
+            rng = np.random.default_rng(seed)
+            upper = np.flatnonzero(s.level > 0)
+            step = max(1, 50_000_000 // len(ids))
+            for i in range(0, len(qid), step):
+                part = q[i : i + step]
+                if len(upper):
+                    _, c = smallest(coarse(measure(part, m[upper])), upper, min(len(upper), 4))
+                    seeds = upper[c].reshape(len(part), -1)
+                else:
+                    n = min(len(ids), num_random_samplings * max(32, int(4 * np.sqrt(len(ids)))))
+                    seeds = np.tile(rng.choice(len(ids), n, replace=False), (len(part), 1))
+                who, d = beam(part, m, graph, seeds, itopk if ok.all() and mask is None else itopk * 4, search_width, rounds, measure)
+                may = (who >= 0) & ok[np.maximum(who, 0)]
+                if mask is not None:
+                    may &= mask(qid[i : i + step, None], ids[np.maximum(who, 0)])
+                r, c = np.nonzero(may)
+                best = Best(len(part), k)
+                best.add(r, ids[who[r, c]], d[r, c])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (qid[i : i + step][best.row], best.id, best.d)], schema=NEIGHBOR_SCHEMA)
+
+        def work(block: list[np.ndarray], batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for j in range(b.num_rows):
+                    s, may = Shard(b, j, coder.value), b.column("allowed")[j]
+                    yield from shard(s, np.isin(s.ids, may.values.to_numpy()) if may.is_valid else np.ones(len(s.ids), dtype=bool), *block)
+
+        def parts() -> int:
+            n, most = packed.agg(F.count(F.lit(1)), F.max(F.octet_length("ids") / 8 * F.col("dim"))).first()
+            return int(-(-n * (most or 0) // MAX_PART_FLOATS))
+
+        found = rank_rows(meet(vectors_of(queries), packed, work, NEIGHBORS, "shard", parts), k)
         return found.select("query_id", "rank", "id", (-F.col("distance") if measure.negated else F.col("distance")).alias("distance"))
 
     def edges(self) -> DataFrame:
