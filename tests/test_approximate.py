@@ -173,6 +173,17 @@ def test_packed_shards(rows, tmp_path, spark):
     assert more.dataset().count() == rows.count() + 40 and more.quantizer is small.quantizer
 
 
+def test_memory_estimate(rows):
+    """What a stored index takes is within its estimate, and near it."""
+    whole = rows.selectExpr("id", "transform(vector, x -> double(float(x))) AS vector")
+    packed = graphs.build_cagra(whole, intermediate_graph_degree=32, graph_degree=16).packed
+    got = packed.selectExpr("sum(length(ids) + length(levels) + length(vectors) + length(degrees) + length(links))").first()[0]
+    want = graphs.memory_estimate(2000, 24, 16, 32)
+    assert want["shards"] == 1 and 0.8 * want["index"] < got <= want["index"] < want["task"]
+    large = graphs.memory_estimate(10**9, 64)
+    assert large["shards"] == 50_000 and large["task"] < 1 << 30
+
+
 def test_large_query_sets_meet_shards(rows, monkeypatch):
     """Queries beyond a broadcast's size meet parts of the shards, with the same results; filters and predicates hold."""
     ix = graphs.build_cagra(rows, intermediate_graph_degree=32, graph_degree=16, guarantee_connectivity=True, shard_rows=500)

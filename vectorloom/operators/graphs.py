@@ -571,6 +571,18 @@ def _near_shards(rows: DataFrame, n: int, shard_rows: int) -> DataFrame:
     return placed.select("id", "vector", (start + F.pmod(F.xxhash64("id"), width)).cast("int").alias("shard"))
 
 
+def memory_estimate(n: int, dim: int, graph_degree: int = 64, intermediate_graph_degree: int = 128, shard_rows: int = SHARD_ROWS, value_bytes: int = 4) -> dict[str, int]:
+    """Bytes of an index of n rows, of one of its shards, and of what a task holds at most while it builds or searches one.
+
+    value_bytes: 4 for vectors that 32 bits hold, else 8. A task's vectors have 64 bits, and blocks of distances come on top.
+    """
+    shards = max(1, -(-n // shard_rows))
+    rows = -(-n // shards)
+    row = dim * value_bytes + 4 * graph_degree + 16  # vector, links, id, level, degree
+    held = rows * (8 * dim + 8 * (intermediate_graph_degree + 2 * graph_degree)) + 3 * 8 * 256 * rows
+    return {"shards": shards, "index": n * row, "shard": rows * row, "task": held + rows * row}
+
+
 def from_graph(graph: DataFrame, data: DataFrame, metric: str = "sqeuclidean", shard_rows: int = SHARD_ROWS) -> GraphIndex:
     """An index from a ranked graph (src, rank, dst) and its vectors.
 
