@@ -156,3 +156,46 @@ def test_keep_first_on_the_given_documents(spark):
     for r, (i, _) in zip(root, rows, strict=True):
         least[r] = min(least.get(r, i), i)
     assert {r.doc_id for r in simhash.keep_first(small(spark)).collect()} == set(least.values())
+
+
+def test_keep_first_links_fingerprints(spark):
+    """Fingerprints of five-word shingles within two bits are links, repeated shingles count; three bits are none."""
+    rng = np.random.default_rng(8)
+    page = "all rights reserved by us " * 200
+
+    def tail(k):
+        return " ".join(f"t{k}x{i}" for i in rng.integers(0, 10_000, 10))
+
+    one = [page + tail(k) for k in range(4)]
+    words = [f"w{i}" for i in rng.integers(0, 50_000, 300)]
+    by: dict = {}
+    for k in range(4000):
+        text = " ".join([*words, *(f"{c}{k}" for c in "abcdefgh"[: k % 8 + 1])] * (1 + k % 2))
+        by.setdefault((simhash.fingerprint(text.encode(), 5) ^ simhash.fingerprint(" ".join(words).encode(), 5)).bit_count(), text)
+    rows = [*((20 + k, t) for k, t in enumerate(one)), (30, " ".join(words)), *((40 + d, t) for d, t in sorted(by.items()))]
+    fps = [plain_fingerprint(t, 5) for _, t in rows]
+    assert max(jaccard(a, b) for a, b in itertools.combinations(one, 2)) < 0.8 and len(set(fps[:4])) == 1
+    marked = simhash._sets(docs(spark, rows), 5)[0]
+    nodes = [r.node for r in sorted(marked.collect(), key=lambda r: r.doc_id)]
+    links = simhash.close_links(marked).collect()
+    a, b = (np.array([nodes.index(r[i]) for r in links]) for i in (0, 1))
+    assert len(set(nodes)) == len(rows) and {1, 2, 3} < set(by)
+    assert simhash.label_components(len(rows), a, b).tolist() == plain_components(fps)
+    assert [r.doc_id for r in simhash.keep_first(docs(spark, rows[:4])).collect()] == [20]
+
+
+def test_keep_first_against_all_pairs(spark):
+    """Components of both kinds of links together, by all pairs."""
+    page = "terms of use apply here " * 50
+    rows = [(r.doc_id, r.text) for r in small(spark).collect()]
+    top = max(i for i, _ in rows) + 1
+    rows += [(top + i, page + " ".join(f"z{i}y{k}" for k in range(6))) for i in range(5)]
+    rows += [(top + 10, rows[0][1] + " one more word or two"), (top + 11, None), (top + 12, " ")]
+    fps = [plain_fingerprint(t, 5) for _, t in rows]
+    sets = [set(simhash.shingles((t or "").encode(), 5)) for _, t in rows]
+    a, b = zip(*((i, j) for i, j in itertools.combinations(range(len(rows)), 2) if (fps[i] ^ fps[j]).bit_count() <= 2 or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])), strict=True)
+    label = simhash.label_components(len(rows), np.array(a), np.array(b))
+    least: dict = {}
+    for (i, _), x in zip(rows, label.tolist(), strict=True):
+        least[x] = min(least.get(x, i), i)
+    assert {r.doc_id for r in simhash.keep_first(docs(spark, rows)).collect()} == set(least.values())

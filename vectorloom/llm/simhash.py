@@ -9,11 +9,12 @@ anchor compares its home fingerprints with its replicas. Only distinct fingerpri
 many fingerprints is not compared pairwise: two words are within two bits exactly if a single-bit change (or
 none) of both gives the same word, so equal variants are joined by sorting, in linear time.
 
-The pipeline's near-dedup stage (keep_first) has a rule of its own, since two bits are far fewer than what a
-Jaccard similarity of 0.8 leaves apart: texts are linked whose sets of word shingles have a similarity of at
-least SIMILAR. Candidates meet in BANDS buckets of ROWS min-hashes each (a pair at exactly 0.8 shares none with
-probability (1 - 0.8 ** 4) ** 28, 4 in ten million), and every link is verified on the sets themselves, within the bucket, so a
-candidate of less similarity is never dropped.
+The pipeline's near-dedup stage (keep_first) links texts by fingerprints of its own shingles in the same way, over the
+same anchors. Two bits are far fewer than what a Jaccard similarity of 0.8 leaves apart, so it also links texts whose
+sets of word shingles have a similarity of at least SIMILAR; components are those of both kinds of links together.
+Candidates of the second kind meet in BANDS buckets of ROWS min-hashes each (a pair at exactly 0.8 shares none with
+probability (1 - 0.8 ** 4) ** 28, 4 in ten million), and are verified on the sets themselves, within the bucket. A
+fingerprint counts repeated shingles, a set does not: each kind finds links that the other one misses.
 
 Nulls and empty texts have fingerprint zero and are linked like any other; rows that repeat a doc_id get one
 result row each; a null doc_id never becomes a component_id unless all members have none.
@@ -58,10 +59,14 @@ def shingles(text: bytes | None, shingle: int) -> list[int]:
 
 def fingerprint(text: bytes | None, shingle: int = 3) -> int:
     """64-bit SimHash of the word shingles of a text given as UTF-8 bytes."""
-    hashes = shingles(text, shingle)
-    if not hashes:
+    return majority(np.array(shingles(text, shingle), dtype="<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; 0 for none."""
+    if not len(hashes):
         return 0
-    bits = np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     ones = bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes)
     return int(np.packbits(ones, bitorder="little").view("<u8")[0])
 
@@ -179,8 +184,8 @@ def _compare(table: pa.Table) -> pa.Table:
     return pa.table({"src": pa.array(fps[child].view(np.int64)), "dst": pa.array(fps[root[child]].view(np.int64))})
 
 
-def link_components(fps: DataFrame, parts: int | None = None) -> DataFrame:
-    """(node, component) of the distinct fingerprints in column fp that have a link within two bits."""
+def fingerprint_links(fps: DataFrame, parts: int | None = None) -> DataFrame:
+    """(src, dst) links that span the components of the distinct fingerprints in column fp, linked within two bits."""
     parts = parts or 2 * shuffle_width(fps.sparkSession)
 
     def replicate():
@@ -197,7 +202,7 @@ def link_components(fps: DataFrame, parts: int | None = None) -> DataFrame:
         return run
 
     blobs = map_rows(fps.select("fp"), replicate, "part int, keys binary, fps binary")
-    return connected_components(blobs.groupBy("part").applyInArrow(_compare, "src long, dst long"))
+    return blobs.groupBy("part").applyInArrow(_compare, "src long, dst long")
 
 
 def _classes(docs: DataFrame, doc_id: str, text: str, shingle: int) -> tuple[DataFrame, DataFrame]:
@@ -209,7 +214,7 @@ def _classes(docs: DataFrame, doc_id: str, text: str, shingle: int) -> tuple[Dat
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(text)).alias("h"))
     marked = cut_lineage(map_rows(rows, make, "doc_id long, h long, fp long"))
     first = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    linked = link_components(first)
+    linked = connected_components(fingerprint_links(first))
     owned = first.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     least = owned.groupBy("component").agg(F.min("first").alias("component_id"))
     return marked, owned.join(least, "component").select("fp", "component", "component_id")
@@ -298,8 +303,8 @@ def _verify(table: pa.Table) -> pa.Table:
     return pa.table({"src": pa.array(np.concatenate(none + src)), "dst": pa.array(np.concatenate(none + dst))})
 
 
-def similar_components(marked: DataFrame) -> DataFrame:
-    """(node, component) of the nodes (node, keys, grams; repeated rows count once) that are similar to another."""
+def similar_links(marked: DataFrame, grams: DataFrame) -> DataFrame:
+    """(src, dst) links that span the components of similar nodes (node, keys and node, grams; repeated rows count once)."""
     spark = marked.sparkSession
     parts, finer = 2 * shuffle_width(spark), 4 * shuffle_width(spark)
 
@@ -319,38 +324,65 @@ def similar_components(marked: DataFrame) -> DataFrame:
 
     blobs = map_rows(marked.where("node <> 0").select("node", "keys"), deal, "part int, keys binary, nodes binary")
     members = cut_lineage(blobs.groupBy("part").applyInArrow(_buckets, "bucket long, node long").distinct())
-    sets = marked.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("grams").alias("grams"))
+    sets = grams.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("grams").alias("grams"))
     met = members.join(sets, "node").withColumn("part", F.pmod(F.xxhash64("bucket"), F.lit(finer)))
-    return connected_components(met.groupBy("part").applyInArrow(_verify, "src long, dst long"))
+    return met.groupBy("part").applyInArrow(_verify, "src long, dst long")
 
 
-def _sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, h, node, keys, grams) of every row: node is a hash of the set of shingles, 0 for the empty one."""
+def close_links(marked: DataFrame) -> DataFrame:
+    """(src, dst) links that span the components of nodes (node, fp) whose fingerprints are within two bits."""
+    pairs = cut_lineage(marked.select("node", "fp").distinct())
+    owner = pairs.groupBy("fp").agg(F.min("node").alias("own"))
+    same = pairs.join(owner, "fp").select(F.col("node").alias("src"), F.col("own").alias("dst")).where("src <> dst")
+    src, dst = (owner.select(F.col("fp").alias(x), F.col("own").alias(f"{x}_own")) for x in ("src", "dst"))
+    other = fingerprint_links(owner.select("fp")).distinct().join(src, "src").join(dst, "dst")
+    return same.union(other.select("src_own", "dst_own"))
 
-    def make():
+
+def _sets(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h, node, fp, keys) and (node, grams) of every row: node is a hash of the set of shingles, 0 for the empty one.
+
+    The sets, by far the largest, are not kept: they are made again for the texts that share a bucket.
+    """
+
+    def name(s: np.ndarray) -> int:
+        return _signed(xxhash.xxh64_intdigest(s.tobytes(), 7)) if len(s) else 0
+
+    def mark():
         def run(batch: pa.RecordBatch) -> dict:
-            node, keys, grams = [], [], []
+            node, fp, keys = [], [], []
             for t in raw_texts(batch.column(1)):
-                s = np.unique(np.array(shingles(t, shingle), dtype=np.uint64))
-                node.append(_signed(xxhash.xxh64_intdigest(s.tobytes(), 7)) if len(s) else 0)
+                hashes = np.array(shingles(t, shingle), dtype="<u8")
+                s = np.unique(hashes)
+                node.append(name(s))
+                fp.append(_signed(majority(hashes)))
                 keys.append(bands(s).tobytes() if len(s) else b"")
-                grams.append(np.unique((s >> np.uint64(32)).astype("<u4")).tobytes())
-            return {"doc_id": batch.column(0), "h": batch.column(2), "node": node, "keys": keys, "grams": grams}
+            return {"doc_id": batch.column(0), "h": batch.column(2), "node": node, "fp": fp, "keys": keys}
+
+        return run
+
+    def gather():
+        def run(batch: pa.RecordBatch) -> dict:
+            sets = [np.unique(np.array(shingles(t, shingle), dtype="<u8")) for t in raw_texts(batch.column(0))]
+            return {"node": [name(s) for s in sets], "grams": [np.unique((s >> np.uint64(32)).astype("<u4")).tobytes() for s in sets]}
 
         return run
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text")).alias("h"))
-    return cut_lineage(map_rows(rows, make, "doc_id long, h long, node long, keys binary, grams binary"))
+    text = F.col("text").cast("string").alias("text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, F.xxhash64(F.col("text")).alias("h"))
+    marked = cut_lineage(map_rows(rows, mark, "doc_id long, h long, node long, fp long, keys binary"))
+    return marked, map_rows(docs.select(text), gather, "node long, grams binary")
 
 
 def keep_first(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """One row of each component of similar texts (Jaccard similarity of shingles), columns unchanged: the smallest doc_id (null last), then the smallest text hash.
+    """One row of each component of near-duplicate texts, columns unchanged: the smallest doc_id (null last), then the smallest text hash.
 
+    Texts are linked whose fingerprints are within two bits, and texts whose sets of shingles are similar (Jaccard).
     Of rows that repeat both, the one with the smallest other columns stays.
     """
-    marked = _sets(docs, shingle)
+    marked, grams = _sets(docs, shingle)
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("h").alias("h"))
-    linked = similar_components(marked)
+    linked = connected_components(close_links(marked).union(similar_links(marked, grams)))
     named = marked.select("node", "doc_id", "h").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     best = named.groupBy("component").agg(F.min(order).alias("m"))
     d, h, r = fresh(docs, "__d"), fresh(docs, "__h"), fresh(docs, "__r")
