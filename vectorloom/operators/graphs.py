@@ -416,7 +416,8 @@ class GraphIndex:
                 r, c = np.nonzero(may)
                 best = Best(len(part), k)
                 best.add(r, ids[who[r, c]], d[r, c])
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (qid[i : i + step][best.row], best.id, best.d)], schema=NEIGHBOR_SCHEMA)
+                row, id, d = best.all()
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (qid[i : i + step][row], id, d)], schema=NEIGHBOR_SCHEMA)
 
         def work(block: list[np.ndarray], batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
