@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vectorloom.operators import blocks
+from vectorloom.operators import blocks, neighbors
 
 
 def table(spark, m, first=0):
@@ -48,3 +48,31 @@ def test_many_queries_meet_the_table_on_all_cores(spark):
     assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     best = blocks.rank_rows(found, 1).collect()
     assert len(best) == blocks.SPREAD_ROWS + 1 and all(r["id"] == r["query_id"] for r in best)
+
+
+def test_landmark_searches_skip_and_stay_exact(spark):
+    """Clusters far apart: results are those of all pairs, and no pair of rows is made outside the tasks."""
+    rng = np.random.default_rng(2)
+    m = np.concatenate([rng.standard_normal((300, 6)) + 50 * i for i in range(4)])
+    rows = table(spark, m).repartition(3)
+    landmarks, members = neighbors.build_landmarks(rows)
+    found = neighbors.landmark_knn(rows, landmarks, members, 4)
+    assert "SortMergeJoin" not in found._jdf.queryExecution().toString() and "BroadcastHashJoin" not in found._jdf.queryExecution().toString()
+    want, far = brute(m, m, 4)
+    got = sorted((r["query_id"], r["rank"], r["id"], r["distance"]) for r in found.collect())
+    assert [g[2] for g in got] == want.ravel().tolist() and [g[3] for g in got] == pytest.approx(np.sqrt(far).ravel().tolist())
+    close = neighbors.landmark_eps(rows.where("id < 500"), landmarks, members, 1.5).collect()
+    d = np.sqrt(((m[:500, None, :] - m[None, :, :]) ** 2).sum(2))
+    assert sorted((r["xid"], r["yid"]) for r in close) == list(zip(*(x.tolist() for x in np.nonzero(d <= 1.5)), strict=True))
+    few = spark.createDataFrame([(1, [0.0] * 6)], "id long, vector array<double>")
+    assert neighbors.landmark_knn(rows.limit(5), *neighbors.build_landmarks(few), 4).count() == 5
+
+
+def test_digests_return_a_row_for_each_query_and_task(spark):
+    rng = np.random.default_rng(3)
+    m = np.abs(rng.standard_normal((400, 8)))
+    rows = table(spark, m / m.sum(1)[:, None])
+    for metric in ("jensenshannon", "l1", "cosine"):
+        got = {r["query_id"]: r for r in neighbors.digest(rows.where("id < 20"), rows, metric).collect()}
+        pairs = neighbors.pairwise(rows.where("id < 20"), rows, metric).groupBy("xid").agg(F.count("yid"), F.avg("distance"), F.min("distance"), F.max("distance")).collect()
+        assert len(got) == 20 and all(tuple(got[p[0]])[1:] == pytest.approx(tuple(p)[1:]) for p in pairs)
