@@ -1,10 +1,11 @@
 """What bounds the work and memory of large tables: pieces that would hold, or fail, at any size."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from vectorloom.operators import blocks, neighbors
+from vectorloom.operators import blocks, neighbors, sparse
 
 
 def table(spark, m, first=0):
@@ -76,3 +77,20 @@ def test_digests_return_a_row_for_each_query_and_task(spark):
         got = {r["query_id"]: r for r in neighbors.digest(rows.where("id < 20"), rows, metric).collect()}
         pairs = neighbors.pairwise(rows.where("id < 20"), rows, metric).groupBy("xid").agg(F.count("yid"), F.avg("distance"), F.min("distance"), F.max("distance")).collect()
         assert len(got) == 20 and all(tuple(got[p[0]])[1:] == pytest.approx(tuple(p)[1:]) for p in pairs)
+
+
+def test_sparse_digests_and_searches_return_no_pairs(spark):
+    """Sums of pairs for every metric, by query and task; equal rows are at distance 0 and in the order of their ids."""
+    rng = np.random.default_rng(4)
+    m = np.where(rng.random((120, 12)) < 0.4, rng.random((120, 12)), 0.0)
+    m[50] = m[70] = m[3]
+    rows = sparse.from_dense(table(spark, m))
+    for metric in sparse.METRICS:
+        got = {r["query_id"]: r for r in sparse.digest(rows.where("id < 9"), rows, metric, 12, 3.0).collect()}
+        pairs = sparse.pairwise(rows.where("id < 9"), rows, metric, 12, 3.0).groupBy("xid").agg(F.count("yid"), F.avg("distance"), F.min("distance"), F.max("distance")).collect()
+        assert len(got) == 9 and all(tuple(got[p[0]])[1:] == pytest.approx(tuple(p)[1:], nan_ok=True) for p in pairs)
+    for metric in ("jensenshannon", "l1", "canberra", "L2Unexpanded", "hamming"):
+        near = sparse.knn(rows.where("id = 3"), rows, 3, metric, 12).orderBy("rank").collect()
+        assert [r["id"] for r in near] == [3, 50, 70] and [r["distance"] for r in near] == [0.0, 0.0, 0.0]
+    q = sparse.Rows(*(c for c in (np.arange(300), pa.array([[0]] * 300), pa.array([[1.0]] * 300))))
+    assert [(i, len(t.ids)) for i, t in sparse._tiles(q)] == [(0, 256), (256, 44)]
