@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from vectorloom.operators import blocks, neighbors, sparse
+from vectorloom.operators import blocks, graphs, neighbors, sparse
 
 
 def table(spark, m, first=0):
@@ -94,3 +94,36 @@ def test_sparse_digests_and_searches_return_no_pairs(spark):
         assert [r["id"] for r in near] == [3, 50, 70] and [r["distance"] for r in near] == [0.0, 0.0, 0.0]
     q = sparse.Rows(*(c for c in (np.arange(300), pa.array([[0]] * 300), pa.array([[1.0]] * 300))))
     assert [(i, len(t.ids)) for i, t in sparse._tiles(q)] == [(0, 256), (256, 44)]
+
+
+def test_equal_rows_are_one_node_of_a_graph(spark):
+    """Copies would fill each other's links: all of them are found, in the order of their ids, and filters act on each."""
+    rng = np.random.default_rng(5)
+    m = np.tile(rng.standard_normal((150, 16)), (20, 1))
+    rows = table(spark, m)
+    for ix in (graphs.build_cagra(rows, intermediate_graph_degree=16, graph_degree=8), graphs.build_hnsw(rows, M=6), graphs.build_vamana(rows, graph_degree=8, visited_size=16)):
+        found = ix.search(rows.where("id < 40"), 20, itopk_size=48).collect()
+        got = {(r["query_id"], r["rank"]): (r["id"], r["distance"]) for r in found}
+        assert len(got) == 800 and sum(got[q, k + 1] == (q + 150 * k, 0.0) for q in range(40) for k in range(20)) >= 0.95 * 800
+    ix = graphs.build_cagra(rows, intermediate_graph_degree=16, graph_degree=8)
+    some = rows.where("id < 5")
+    listed = ix.search(some, 3, itopk_size=48, allow=rows.where("id % 7 = 0").select("id")).collect()
+    assert sorted(listed) == sorted(ix.search(some, 3, itopk_size=48, mask=lambda q, i: i % 7 == 0).collect()) and all(r["id"] % 7 == 0 for r in listed)
+
+
+def test_components_are_joined_by_their_nearest_rows():
+    """The nearest row of a component is looked for among all its rows, not among the first ones."""
+    m = np.r_[np.arange(100.0), 300.0 - np.arange(100.0)][:, None]
+    chain = [np.array([j for j in (i - 1, i + 1) if j // 100 == i // 100 and j >= 0]) for i in range(200)]
+    graph = graphs.connect(m, chain, blocks.Measure("sqeuclidean"))
+    assert 199 in graph[99] and 99 in graph[199] and sum(len(g) for g in graph) == 2 * 198 + 2
+
+
+def test_distances_of_pairs_come_in_parts(monkeypatch):
+    """However many pairs a beam offers, few vectors are gathered at a time."""
+    most, measure = [], blocks.Measure("sqeuclidean")
+    monkeypatch.setattr(measure, "pairs", lambda x, y: (most.append(len(x)), ((x - y) ** 2).sum(1))[1])
+    m = np.random.default_rng(6).standard_normal((500, 4))
+    i, j = np.repeat(np.arange(500), 100), np.tile(np.arange(100), 500)
+    d = graphs.indexed_distance(m, m, i, j, measure)
+    assert max(most) <= graphs.PAIRS and d == pytest.approx(((m[i] - m[j]) ** 2).sum(1))
