@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from vectorloom.operators import blocks, graphs, neighbors, sparse
+from vectorloom.operators import blocks, graphs, linkage, neighbors, sparse, stats
 
 
 def table(spark, m, first=0):
@@ -127,3 +127,22 @@ def test_distances_of_pairs_come_in_parts(monkeypatch):
     i, j = np.repeat(np.arange(500), 100), np.tile(np.arange(100), 500)
     d = graphs.indexed_distance(m, m, i, j, measure)
     assert max(most) <= graphs.PAIRS and d == pytest.approx(((m[i] - m[j]) ** 2).sum(1))
+
+
+def test_sums_of_l1_distances_need_no_pairs(spark):
+    rng = np.random.default_rng(7)
+    q, m = rng.integers(-3, 4, (30, 5)).astype(float), rng.integers(-3, 4, (80, 5)).astype(float)
+    assert stats.sums_of_gaps(q, m) == pytest.approx(np.abs(q[:, None, :] - m[None, :, :]).sum((1, 2)))
+    rows = table(spark, m).withColumn("label", F.col("id") % 3)
+    got = {r["id"]: r["silhouette"] for r in stats.silhouette_samples(rows, metric="l1").collect()}
+    d, lab = np.abs(m[:, None, :] - m[None, :, :]).sum(2), np.arange(80) % 3
+    mean = np.stack([d[:, lab == v].sum(1) / np.where(lab == v, (lab == v).sum() - 1, (lab == v).sum()) for v in range(3)], axis=1)
+    a, b = mean[np.arange(80), lab], np.where(np.arange(3) == lab[:, None], np.inf, mean).min(1)
+    assert [got[i] for i in range(80)] == pytest.approx(((b - a) / np.maximum(a, b)).tolist())
+
+
+def test_spanning_trees_of_ties_have_no_cycle(spark):
+    """A lattice, where every edge has many equals: ties are ordered the same way from both ends."""
+    m = np.array([(x, y) for x in range(5) for y in range(4)], dtype=float)
+    tree = linkage.tree_of_points(table(spark, m)).collect()
+    assert len(tree) == 19 and len({(r["src"], r["dst"]) for r in tree}) == 19 and sum(r["weight"] for r in tree) == 19.0
