@@ -146,3 +146,22 @@ def test_spanning_trees_of_ties_have_no_cycle(spark):
     m = np.array([(x, y) for x in range(5) for y in range(4)], dtype=float)
     tree = linkage.tree_of_points(table(spark, m)).collect()
     assert len(tree) == 19 and len({(r["src"], r["dst"]) for r in tree}) == 19 and sum(r["weight"] for r in tree) == 19.0
+
+
+def test_trustworthiness_measures_a_pair_once(spark, monkeypatch):
+    """The neighbours of a row share one pass over the table."""
+    seen, whole = [], stats.meet
+    monkeypatch.setattr(stats, "meet", lambda q, d, work, *args: (seen.append((q, work)), whole(q, d, work, *args))[1])
+    rng = np.random.default_rng(8)
+    m = rng.standard_normal((90, 6))
+    m[10] = m[11]
+    rows, head = table(spark, m), table(spark, m[:, :2])
+    got = stats.trustworthiness(rows, head, 4).first()[0]
+    order = lambda x: np.argsort(np.where(np.eye(90, dtype=bool), np.inf, ((x[:, None, :] - x[None, :, :]) ** 2).sum(2)), axis=1, kind="stable")
+    near, rank = order(m[:, :2])[:, :4], order(m).argsort(1) + 1
+    over = np.maximum(0, np.take_along_axis(rank, near, 1) - 4).sum()
+    assert got == pytest.approx(1 - over * 2.0 / (90 * 4 * (180 - 13)))
+    queries, work = seen[0]
+    t = queries.toArrow().sort_by("id").combine_chunks()
+    sides = [t["id"].to_numpy(), stats.matrix(t["vector"].combine_chunks()), t["nid"].to_numpy(), stats.matrix(t["nv"].combine_chunks())]
+    assert len(sides[0]) == 360 and len(np.unique(sides[0])) == 90 and sum(b.num_rows for b in work(sides, rows.toArrow().to_batches())) == 360
